@@ -205,7 +205,7 @@ def identify(docs: DataFrame, learn_from: Column | None = None, sample_rows: int
                 {
                     "doc_id": batch.column("doc_id"),
                     "lang_pred": pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()),
-                    "score": pa.array(np.where(letters, score, 0.0)),
+                    "score": pa.array(np.round(np.where(letters, score, 0.0), 6)),
                     "ambiguous": pa.array(close),
                 }
             )
