@@ -33,8 +33,8 @@ BLOCK_WORDS = 2_000_000
 SLICE_POSTINGS = 1_000_000
 _POSITION_BITS = np.int64(40)
 
-INDEX_SCHEMA = "doc_id bigint, n_words bigint, term array<int>, position array<int>"
-MATCH_SCHEMA = "doc_id bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
+INDEX_SCHEMA = "doc_id bigint, text_hash bigint, n_words bigint, term array<int>, position array<int>"
+MATCH_SCHEMA = "doc_id bigint, text_hash bigint, n_words bigint, spans array<struct<start:int,end:int>>, items array<string>"
 
 
 def text_hashes(texts: Iterable[str | None]) -> list[np.ndarray]:
@@ -103,13 +103,14 @@ def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
+                    "text_hash": part.column("text_hash"),
                     "n_words": pa.array(np.diff(first), pa.int64()),
                     "term": pa.ListArray.from_arrays(cuts, pa.array(term[order], pa.int32())),
                     "position": pa.ListArray.from_arrays(cuts, pa.array(place[order], pa.int32())),
                 }
             )
 
-    return docs.select("doc_id", "text").mapInArrow(index, INDEX_SCHEMA)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(index, INDEX_SCHEMA)
 
 
 def term_counts(index: DataFrame, n_terms: int) -> np.ndarray:
@@ -217,6 +218,7 @@ def search(index: DataFrame, terms: np.ndarray, phrases: np.ndarray, facts: np.n
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
+                    "text_hash": part.column("text_hash"),
                     "n_words": part.column("n_words"),
                     "spans": pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[heads], edges), pa.int32()), spans),
                     "items": pa.ListArray.from_arrays(pa.array(np.searchsorted(pair_doc, edges), pa.int32()), pa.array(names[pair_item], pa.string())),
@@ -227,7 +229,7 @@ def search(index: DataFrame, terms: np.ndarray, phrases: np.ndarray, facts: np.n
 
 
 def matches(docs: DataFrame, items: DataFrame, *, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, within: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each document: doc_id, n_words, spans (merged, in words) and the items that match it, by id.
+    """For each document: doc_id, text_hash (xxhash64), n_words, spans (merged, in words) and the items that match it, by id.
 
     ``within`` None asks for exact windows of ``window`` item words, else for proximity matches. ``docs`` need doc_id
     and text. With more than one block of items, documents are named by (doc_id, text hash) when blocks are merged.
@@ -245,9 +247,9 @@ def matches(docs: DataFrame, items: DataFrame, *, item_id: str = "item_id", item
     for one in found[1:]:
         every = every.unionByName(one)
     return (
-        every.groupBy("doc_id", "n_words")
+        every.groupBy("doc_id", "text_hash", "n_words")
         .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        .select("doc_id", "n_words", merged_spans("spans").alias("spans"), "items")
+        .select("doc_id", "text_hash", "n_words", merged_spans("spans").alias("spans"), "items")
     )
 
 

@@ -130,7 +130,7 @@ def bit_weights(counts: dict[str, np.ndarray], code: np.ndarray) -> np.ndarray:
 
 
 def margins(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """doc_id, lang, letters (whether the text has any) and the raw margins of all bits."""
+    """doc_id, text_hash, lang, letters (whether the text has any) and the raw margins of all bits."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +148,14 @@ def margins(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
+                    "text_hash": part.column("text_hash"),
                     "lang": part.column("lang"),
                     "letters": pa.array(letters, pa.bool_()),
                     "margins": pa.FixedSizeListArray.from_arrays(pa.array((sums / np.maximum(n, 1)[:, None]).ravel()), max(bits, 1)).cast(pa.list_(pa.float64())) if bits else pa.array([[]] * len(part), pa.list_(pa.float64())),
                 }
             )
 
-    return docs.select("doc_id", "lang", "text").mapInArrow(measure, "doc_id bigint, lang string, letters boolean, margins array<double>")
+    return docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(measure, "doc_id bigint, text_hash bigint, lang string, letters boolean, margins array<double>")
 
 
 def calibration(measured: DataFrame, langs: list[str], code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ def decode(margin: np.ndarray, code: np.ndarray, centre: np.ndarray, scale: np.n
 
 
 def identify(docs: DataFrame, learn_from: Column | None = None, sample_rows: int = SAMPLE_ROWS, gap: float = GAP) -> DataFrame:
-    """For each row: doc_id, lang_pred, score and ambiguous. Learns from rows with a label where ``learn_from`` holds."""
+    """For each row: doc_id, text_hash (xxhash64), lang_pred, score and ambiguous. Learns from rows with a label where ``learn_from`` holds."""
     chosen = F.coalesce(learn_from if learn_from is not None else ~held_out(), F.lit(False)) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()
     counts = gram_counts(docs.where(chosen).select("doc_id", "text", "lang"), sample_rows)
     langs = list(counts)
@@ -204,10 +205,11 @@ def identify(docs: DataFrame, learn_from: Column | None = None, sample_rows: int
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
+                    "text_hash": batch.column("text_hash"),
                     "lang_pred": pa.array([langs[k] if ok else UNKNOWN for k, ok in zip(best, letters, strict=True)], pa.string()),
                     "score": pa.array(np.round(np.where(letters, score, 0.0), 6)),
                     "ambiguous": pa.array(close),
                 }
             )
 
-    return measured.mapInArrow(choose, "doc_id bigint, lang_pred string, score double, ambiguous boolean")
+    return measured.mapInArrow(choose, "doc_id bigint, text_hash bigint, lang_pred string, score double, ambiguous boolean")

@@ -60,3 +60,10 @@ def test_groups_against_brute_force(spark, monkeypatch):
     assert len({c for _, _, c in brute(docs)}) > 8
     assert result(spark, docs) == brute(docs)
     assert result(spark, docs, range_bytes=500) == brute(docs)
+    monkeypatch.setattr(near.classified, "__defaults__", (near.K, 3, 200))
+    assert result(spark, docs) == brute(docs)
+
+
+def test_one_id_of_several_texts_is_one_document(spark):
+    texts = ["a b c d e f g", "h i j k l m n", "o p q"]
+    assert result(spark, [(3, texts[0]), (2, texts[0]), (3, texts[1]), (1, texts[1]), (4, texts[2])]) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1), (4, 1, 4)]
