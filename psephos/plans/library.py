@@ -1 +1,3 @@
 """Imports every module that registers queries of the reference operators."""
+
+from . import contests  # noqa: F401
