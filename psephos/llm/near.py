@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import stored
-from .words import LOWER, SPACED, mix, owners, powers, runs, slices, window_starts, word_bounds, word_hashes
+from .words import LOWER, SPACED, mix, powers, runs, slices, word_bounds, word_hashes
 
 K = 5
 #: Jaccard similarity as a fraction.
@@ -38,31 +38,35 @@ NUM, DEN = 3, 4
 #: Shingles that come last in the global order, at most; those that a task meets COMMON times among GATHER are candidates.
 FREQUENT, COMMON = 1 << 17, 3
 #: Shingles that a task gathers before it sends them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: Bytes of text whose index entries meet in one range of hashes.
 RANGE_BYTES = 8 << 20
 #: Lists up to this length are compared pair by pair at once, longer ones along their order first.
 SHORT = 24
 BLOCK = 64
+#: Documents and shingles of a cluster that is compared in one place.
+MEMBERS, HELD = 4096, 1 << 21
 
 _FRESH = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingles(data: np.ndarray, ends: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the distinct shingles, sorted."""
-    starts, stops, first = word_bounds(LOWER[data], ends, SPACED)
-    words = word_hashes(LOWER[data], starts, stops)
+    data = LOWER[data]
+    starts, stops, first = word_bounds(data, ends, SPACED)
+    words = word_hashes(data, starts, stops)
     n = np.diff(first)
     up, down = powers(len(words) + 1)
     sums = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[:-1], out=sums[1:])
-    short = np.flatnonzero((n > 0) & (n < k))
-    at = np.concatenate([window_starts(first, k), first[short]])
-    width = np.concatenate([np.full(len(at) - len(short), k), n[short]])
+    count = np.where(n >= k, n - k + 1, n > 0)
+    at = np.repeat(first[:-1], count) + runs(count)
+    width = np.repeat(np.minimum(n, k), count)
     hashes = mix((sums[at + width] - sums[at]) * down[at] + width.astype(np.uint64) * _FRESH)
-    doc = owners(first)[at] if len(at) else at
-    order = np.lexsort((hashes, doc))
-    doc, hashes = doc[order], hashes[order]
+    doc = np.repeat(np.arange(len(n)), count)
+    edge = np.concatenate([[0], np.cumsum(count)]).tolist()
+    for i, j in zip(edge[:-1], edge[1:], strict=True):
+        hashes[i:j].sort()
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
     return doc[new], hashes[new]
@@ -143,7 +147,7 @@ def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_rang
             if len(common):
                 at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
                 last = np.where(common[at] == hashes, rank[at], 0)
-            order = np.lexsort((hashes, last, doc))
+            order = np.argsort(doc * np.int64(2 * FREQUENT) + last, kind="stable")  # hashes are in order, and few move
             doc, hashes = doc[order], hashes[order]
             n = np.bincount(doc, minlength=len(ids))
             place = runs(n)
@@ -184,9 +188,8 @@ def _possible(n1, p1, n2, p2):
     return (DEN * small >= NUM * large) & ((NUM + DEN) * (1 + np.minimum(n1 - p1, n2 - p2) - 1) >= NUM * (n1 + n2))
 
 
-def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All possible pairs of a list (with labels: of different labels only); blocks of partners are skipped by their extremes."""
-    out = []
+def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All possible pairs of a list with different labels, by blocks; blocks of partners are skipped by their extremes."""
     heads = np.arange(0, len(ids), BLOCK)
     most_left = np.maximum.reduceat(size - place, heads)
     least, largest = np.minimum.reduceat(size, heads), np.maximum.reduceat(size, heads)
@@ -195,106 +198,226 @@ def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.
         reach = np.minimum(most_left[i], most_left[i:]) * (NUM + DEN) >= NUM * (least[i] + least[i:])
         for j in np.flatnonzero(reach & (DEN * largest[i] >= NUM * least[i:])) + i:
             sb = slice(heads[j], heads[j] + BLOCK)
-            good = _possible(size[sa, None], place[sa, None], size[None, sb], place[None, sb])
-            if label is not None:
-                good &= label[sa, None] != label[None, sb]
+            good = _possible(size[sa, None], place[sa, None], size[None, sb], place[None, sb]) & (label[sa, None] != label[None, sb])
             x, y = np.nonzero(good)
-            if i == j:
-                x, y = x[x < y], y[x < y]
-            out.append((ids[sa][x], ids[sb][y]))
-    return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (ids[:0], ids[:0])
+            if len(x):
+                yield ids[sa][x], ids[sb][y]
 
 
-def _pair_batch(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    a = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
-    b = np.concatenate([np.zeros(0, np.int64), *(y for _, y in found)])
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-    return pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+def _pair_batch(a: np.ndarray, b: np.ndarray, **flags: np.ndarray) -> pa.RecordBatch:
+    """Different pairs (smaller, larger), each flag set where any of its rows has it."""
+    pairs, inverse = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_inverse=True)
+    out = {"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())}
+    return pa.record_batch(out | {name: pa.array(np.bincount(inverse.ravel(), v, pairs.shape[1]) > 0) for name, v in flags.items()})
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify first: all of short lists, neighbours of long ones."""
+    """Pairs (a, b, long): all possible ones of short lists; of long lists the neighbours by size.
+
+    Two sets of a long list that may reach the threshold hang together by these neighbours, as sizes that are apart
+    too far stay apart for all behind them.
+    """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edge = batch.column("docs").offsets.to_numpy()
+            length = np.diff(batch.column("docs").offsets.to_numpy())
             ids, size, place = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("docs", "sizes", "places"))
-            edge = edge - edge[0]
-            found = []
-            length = np.diff(edge)
+            at, lengths = runs(length), np.repeat(length, length)
+            a, b, long = [], [], []
             for step in range(1, SHORT):
-                # Entries ``step`` apart in lists that are short (or next to each other in any).
-                x = np.flatnonzero(np.repeat((length > step) & ((length <= SHORT) | (step == 1)), length) & (runs(length) < np.repeat(length, length) - step))
-                good = x[_possible(size[x], place[x], size[x + step], place[x + step])]
-                found.append((ids[good], ids[good + step]))
-            yield _pair_batch(found)
-
-    return lists.mapInArrow(pair, "a bigint, b bigint").distinct()
-
-
-def later_pairs(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """Possible pairs of long lists whose sets are in different classes."""
-    long = lists.where(F.size("docs") > SHORT)
-    entries = long.select("token", F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("token", "e.*")
-    labelled = entries.join(classes.withColumnRenamed("node", "docs"), "docs", "left").withColumn("component", F.coalesce("component", "docs"))
+                x = np.flatnonzero((lengths <= SHORT) & (at < lengths - step))
+                x = x[_possible(size[x], place[x], size[x + step], place[x + step])]
+                a.append(x), b.append(x + step), long.append(np.zeros(len(x)))
+            x = np.flatnonzero((lengths > SHORT) & (at < lengths - 1))
+            x = x[DEN * size[x] >= NUM * size[x + 1]]
+            a.append(x), b.append(x + 1), long.append(np.ones(len(x)))
+            a, b, long = ids[np.concatenate(a)], ids[np.concatenate(b)], np.concatenate(long)
+            yield _pair_batch(a[a != b], b[a != b], long=long[a != b])
+
+    return lists.mapInArrow(pair, "a bigint, b bigint, long boolean").groupBy("a", "b").agg(F.bool_or("long").alias("long"))
+
+
+def later_pairs(lists: DataFrame, labels: DataFrame, step: int | None) -> DataFrame:
+    """Possible pairs of long lists whose sets have different labels: those ``step`` places apart, or all."""
+    entries = lists.where(F.size("docs") > SHORT).select("token", F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("token", "e.*")
+    labelled = entries.join(labels.withColumnRenamed("node", "docs"), "docs")
     mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_lists = (
-        labelled.join(mixed, "token")
-        .groupBy("token")
-        .agg(F.array_sort(F.collect_list(F.struct("sizes", "places", "docs", "component"))).alias("e"))
-        .select(*(F.col(f"e.{c}").alias(c) for c in ("docs", "sizes", "places", "component")))
-    )
+    open_lists = labelled.join(mixed, "token").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("sizes", "places", "docs", "component"))).alias("e"))
+    columns = ("docs", "sizes", "places", "component")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c) for c in ("docs", "sizes", "places", "component")]
-            yield _pair_batch([_list_pairs(*(np.asarray(c[i].values).astype(np.int64) for c in columns)) for i in range(len(batch))])
+            for i in range(len(batch)):
+                ids, size, place, label = (np.asarray(batch.column(c)[i].values).astype(np.int64) for c in columns)
+                if step is None:
+                    for a, b in _list_pairs(ids, size, place, label):
+                        yield _pair_batch(a, b)
+                elif step < len(ids):
+                    good = (label[step:] != label[:-step]) & _possible(size[step:], place[step:], size[:-step], place[:-step])
+                    yield _pair_batch(ids[step:][good], ids[:-step][good])
 
-    return open_lists.mapInArrow(pair, "a bigint, b bigint").distinct()
+    return open_lists.select(*(F.col(f"e.{c}").alias(c) for c in columns)).mapInArrow(pair, "a bigint, b bigint").distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
+    """The rows of ``wanted`` (doc_id and more) with the sets of their documents, as bytes."""
+    names = [c for c in wanted.columns if c != "doc_id"]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in slices(batches):
             doc, hashes = shingles(data, ends, k)
             edge = np.searchsorted(doc, np.arange(len(part) + 1))
-            yield pa.record_batch({"doc_id": part.column("doc_id"), "hashes": pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in range(len(part))], pa.binary())})
+            sets = pa.array([hashes[edge[i] : edge[i + 1]].tobytes() for i in range(len(part))], pa.binary())
+            yield pa.record_batch({c: part.column(c) for c in ("doc_id", *names)} | {"hashes": sets})
+
+    more = "".join(f", {c} {t}" for c, t in wanted.dtypes if c != "doc_id")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(whole, f"doc_id bigint{more}, hashes binary")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or DEN * len(x) < NUM * len(y):
+        return False
+    both = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return DEN * both >= NUM * (len(x) + len(y) - both)
+
+
+def verified(docs: DataFrame, pairs: DataFrame, k: int = K) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold; each pair is checked by itself, wherever its sets meet."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = np.count_nonzero(y[np.minimum(at, len(y) - 1)] == x)
-                good.append(DEN * both >= NUM * (len(x) + len(y) - both) > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    sets = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(whole, "doc_id bigint, hashes binary")
-    left = pairs.join(sets.withColumnRenamed("hashes", "x"), F.col("a") == F.col("doc_id")).drop("doc_id")
-    both = left.join(sets.withColumnRenamed("hashes", "y"), F.col("b") == F.col("doc_id")).drop("doc_id")
+            sets = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y"))
+            yield batch.select(["a", "b"]).filter(pa.array([similar(x, y) for x, y in zip(*sets, strict=True)], pa.bool_()))
+
+    sets = stored(whole_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), k), "sets")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
     return both.mapInArrow(compare, "a bigint, b bigint")
 
 
+def _root(parent: dict[int, int], x: int) -> int:
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _close(docs: list[int], of: dict[int, list[np.ndarray]], parent: dict[int, int]) -> None:
+    """Join the classes of a cluster that any pair links: smallest classes first, each set once against all others.
+
+    The overlaps of a set with all others are counted from the lists of its shingles. The last class is not looked at,
+    nor are sets within a class compared: they have the answers of their class.
+    """
+    piece = np.repeat(np.arange(sum(len(of[d]) for d in docs)), [len(h) for d in docs for h in of[d]])
+    sizes = np.bincount(piece)
+    doc_of = np.array([i for i, d in enumerate(docs) for _ in of[d]])
+    tokens, token = np.unique(np.concatenate([h for d in docs for h in of[d]]), return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    lists, edge = piece[order], np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens)))])
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    done = np.zeros(len(docs), bool)
+    while True:
+        classes: dict[int, list[int]] = {}
+        for i, d in enumerate(docs):
+            classes.setdefault(_root(parent, d), []).append(i)
+        waiting = sorted((len(m), r) for r, m in classes.items() if not done[m].all())
+        if not waiting or (len(waiting) == 1 and waiting[0][0] == max(map(len, classes.values()))):
+            return
+        members = classes[waiting[0][1]]
+        for i in members:
+            if done[i]:
+                continue
+            done[i] = True
+            for p in np.flatnonzero(doc_of == i):
+                own = token[starts[p] : starts[p + 1]]
+                found = lists[np.repeat(edge[own], edge[own + 1] - edge[own]) + runs(edge[own + 1] - edge[own])]
+                both = np.bincount(found, minlength=len(sizes))
+                for j in np.unique(doc_of[(both > 0) & (DEN * both >= NUM * (sizes + len(own) - both))]):
+                    x, y = _root(parent, docs[i]), _root(parent, docs[j])
+                    parent[max(x, y)] = min(x, y)
+
+
+def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: DataFrame, measured: DataFrame, k: int = K, members: int = MEMBERS, held: int = HELD) -> DataFrame:
+    """(node, component) of the documents that links join, from ``pairs`` (a, b, long) of first documents of equal sets.
+
+    Pairs hang together in clusters, which no link leaves. Small clusters meet in bins, each set once, and a pair is
+    compared only while its two sets are in different classes: a set takes over the answers of a set that it is linked
+    with. In clusters of more than ``members`` documents or ``held`` shingles, pairs are verified one by one and classes
+    are made by Spark, in rounds of wider and wider steps along the long lists, and at last all pairs of different classes.
+    """
+    clusters = stored(components(pairs), "clusters")
+    size = measured.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
+    weighed = clusters.join(size.withColumnRenamed("doc_id", "node"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
+    weighed = stored(weighed.withColumn("large", (F.col("docs") > members) | (F.col("n") > held)), "clusters")
+    total, large = weighed.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.count_if("large")).first()
+    bins = max(1, -(-(total or 0) // held))
+    small = weighed.where(~F.col("large")).select("component", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
+    binned = clusters.join(small, "component")
+    sets = whole_sets(docs, binned.select(F.col("node").alias("doc_id"), "component", "bin"), k)
+    open_pairs = pairs.join(binned.select(F.col("node").alias("a"), "bin"), "a").select("bin", "a", "b", "long")
+
+    def link(key: tuple, sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        of: dict[int, list[np.ndarray]] = {}
+        cluster: dict[int, list[int]] = {}
+        for doc, c, hashes in zip(*(sets[n].to_pylist() for n in ("doc_id", "component", "hashes")), strict=True):
+            if doc not in of:
+                cluster.setdefault(c, []).append(doc)
+            of.setdefault(doc, []).append(np.frombuffer(hashes, np.uint64))
+        home = {doc: c for c, docs in cluster.items() for doc in docs}
+        parent = {doc: doc for doc in of}
+        several = set()
+        for a, b, long in zip(*(pairs[n].to_pylist() for n in ("a", "b", "long")), strict=True):
+            x, y = _root(parent, a), _root(parent, b)
+            if x != y and any(similar(p, q) for p in of[a] for q in of[b]):
+                parent[max(x, y)] = min(x, y)
+            if long:
+                several.add(home[a])
+        for c in several:
+            _close(cluster[c], of, parent)
+        nodes = list(parent)
+        return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([_root(parent, doc) for doc in nodes], pa.int64())})
+
+    found = sets.groupBy("bin").cogroup(open_pairs.groupBy("bin")).applyInArrow(link, "node bigint, component bigint")
+    if not large:
+        return stored(found, "classes")
+    inside = stored(clusters.join(weighed.where("large"), "component").select("node"), "large")
+    links = stored(verified(docs, stored(pairs.join(inside.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b"), "pairs"), k), "links")
+    copied = copies.join(inside.withColumnRenamed("node", "first"), "first")
+    nodes = inside.select("node", F.col("node").alias("first")).unionByName(copied.select(F.col("doc_id").alias("node"), "first"))
+    for step in (2, 8, 32, 128, 512, 2048, None):
+        labels = nodes.join(components(links).withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("component", "first").alias("component"))
+        more = stored(_first_of(later_pairs(lists, labels, step), copies), "pairs")
+        if not more.isEmpty():
+            links = stored(links.unionByName(verified(docs, more, k)), "links")
+    return stored(found.unionByName(components(links)), "classes")
+
+
+def _first_of(pairs: DataFrame, copies: DataFrame) -> DataFrame:
+    """The pairs between the first documents of equal sets."""
+    for c in ("a", "b"):
+        pairs = pairs.join(copies.select(F.col("doc_id").alias(c), "first"), c, "left").withColumn(c, F.coalesce("first", c)).drop("first")
+    pairs = pairs.where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
+    return pairs.groupBy("a", "b").agg(F.bool_or("long").alias("long")) if "long" in pairs.columns else pairs.distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     measured = stored(sizes(docs, k), "set-sizes")
-    known = measured.where("doc_id is not null")
-    equal = known.where("f is not null").groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("a"))
-    same = known.join(equal, ["f", "g", "n_shingles"]).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    known = measured.where("doc_id is not null and f is not null")
+    equal = known.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("first"))
+    same = stored(known.join(equal, ["f", "g", "n_shingles"]).select("doc_id", "first").distinct(), "equal-sets")
+    # A doc_id of several different texts stands for all of them: its sets then stay apart and are joined at the end.
+    several = not same.groupBy("doc_id").count().where("count > 1").isEmpty()
+    copies = same.where(F.lit(not several) & (F.col("doc_id") != F.col("first")))
     lists = stored(index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k), "index-lists")
-    links = stored(verified(docs, stored(first_pairs(lists), "pairs"), k).unionByName(same), "links")
-    classes = components(links)
-    if not lists.where(F.size("docs") > SHORT).isEmpty():
-        more = stored(later_pairs(lists, classes), "pairs")
-        if not more.isEmpty():
-            classes = components(links.unionByName(verified(docs, more, k)))
+    classes = classified(docs, lists, stored(_first_of(first_pairs(lists), copies), "pairs"), copies, measured, k)
+    if several:
+        ends = same.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+        classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ends))
+    else:
+        classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
     return (
         measured.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries of the reference operators."""
 
-from . import contests, timing  # noqa: F401
+from . import averages, contests, timing  # noqa: F401
