@@ -6,10 +6,10 @@ share a shingle of it, goes to an inverted index dealt by shingle. Lists of one
 
 * Index-level skipping: an entry knows its set's size and the shingle's position in it, so a pair is dropped where what
   is left behind the positions can't reach the threshold; lists are cut in blocks by (size, position), whose extremes
-  drop whole blocks of partners.
+  drop whole blocks of partners. The indexed part of a set is longer by ``SHARED`` - 1 shingles than the least that finds
+  all pairs, so a pair must share that many more, and chance meetings of long documents are no candidates.
 * Answer-level skipping: equal sets share one set of answers, and a set that is linked with a similar set takes over
-  that set's class: in a long list each set is first compared with its neighbours only, and then pairs of sets
-  in different classes alone are compared.
+  that set's class: pairs are compared only while their sets are in different classes.
 
 All candidates are verified by their whole sets. Only the order of shingles comes from counts with a bound
 (``FREQUENT`` shingles); it changes the work, never the result.
@@ -36,7 +36,7 @@ K = 5
 #: Jaccard similarity as a fraction.
 NUM, DEN = 3, 4
 #: Shingles that come last in the global order, at most; those that a task meets COMMON times among GATHER are candidates.
-FREQUENT, COMMON = 1 << 17, 3
+FREQUENT, COMMON = 1 << 19, 2
 #: Shingles that a task gathers before it sends them on.
 GATHER = 1 << 20
 #: Bytes of text whose index entries meet in one range of hashes.
@@ -44,6 +44,10 @@ RANGE_BYTES = 8 << 20
 #: Lists up to this length are compared pair by pair at once, longer ones along their order first.
 SHORT = 24
 BLOCK = 64
+#: Shingles that two similar sets share in the indexed parts at least (all of them, if these are fewer).
+SHARED = 12
+#: Lists up to this length are spanned by possible pairs, still longer ones by neighbours in size.
+SPANNED = 4096
 #: Documents and shingles of a cluster that is compared in one place.
 MEMBERS, HELD = 4096, 1 << 21
 
@@ -142,16 +146,19 @@ def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_rang
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, rank = sent.value
+        seen = np.zeros(1 << 23, bool)  # by the upper bits; most shingles are told rare by one look
+        seen[common >> np.uint64(41)] = True
         for ids, doc, hashes in _gathered(batches, k):
             last = np.zeros(len(hashes), np.int64)
-            if len(common):
-                at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-                last = np.where(common[at] == hashes, rank[at], 0)
+            maybe = np.flatnonzero(seen[hashes >> np.uint64(41)])
+            if len(maybe):
+                at = np.minimum(np.searchsorted(common, hashes[maybe]), len(common) - 1)
+                last[maybe] = np.where(common[at] == hashes[maybe], rank[at], 0)
             order = np.argsort(doc * np.int64(2 * FREQUENT) + last, kind="stable")  # hashes are in order, and few move
             doc, hashes = doc[order], hashes[order]
             n = np.bincount(doc, minlength=len(ids))
             place = runs(n)
-            head = place <= n[doc] - -(-NUM * n[doc] // DEN)
+            head = place < n[doc] - -(-NUM * n[doc] // DEN) + SHARED
             doc, hashes, place = doc[head], hashes[head], place[head]
             order = np.argsort(hashes)
             doc, hashes, place = doc[order], hashes[order], place[order]
@@ -182,10 +189,10 @@ def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_rang
     return entries.groupBy("range").applyInArrow(gather, LIST_SCHEMA)
 
 
-def _possible(n1, p1, n2, p2):
-    """Whether two sets that share the shingle at these places as their first may reach the threshold."""
+def _possible(n1, p1, n2, p2, before=0):
+    """Whether two sets that share the shingle at these places may reach the threshold, if they share at most ``before`` earlier ones."""
     small, large = np.minimum(n1, n2), np.maximum(n1, n2)
-    return (DEN * small >= NUM * large) & ((NUM + DEN) * (1 + np.minimum(n1 - p1, n2 - p2) - 1) >= NUM * (n1 + n2))
+    return (DEN * small >= NUM * large) & ((NUM + DEN) * (before + np.minimum(n1 - p1, n2 - p2)) >= NUM * (n1 + n2))
 
 
 def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -195,46 +202,86 @@ def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.
     least, largest = np.minimum.reduceat(size, heads), np.maximum.reduceat(size, heads)
     for i, a in enumerate(heads):
         sa = slice(a, a + BLOCK)
-        reach = np.minimum(most_left[i], most_left[i:]) * (NUM + DEN) >= NUM * (least[i] + least[i:])
+        reach = (SHARED - 1 + np.minimum(most_left[i], most_left[i:])) * (NUM + DEN) >= NUM * (least[i] + least[i:])
         for j in np.flatnonzero(reach & (DEN * largest[i] >= NUM * least[i:])) + i:
             sb = slice(heads[j], heads[j] + BLOCK)
-            good = _possible(size[sa, None], place[sa, None], size[None, sb], place[None, sb]) & (label[sa, None] != label[None, sb])
+            good = _possible(size[sa, None], place[sa, None], size[None, sb], place[None, sb], SHARED - 1) & (label[sa, None] != label[None, sb])
             x, y = np.nonzero(good)
             if len(x):
                 yield ids[sa][x], ids[sb][y]
 
 
-def _pair_batch(a: np.ndarray, b: np.ndarray, **flags: np.ndarray) -> pa.RecordBatch:
-    """Different pairs (smaller, larger), each flag set where any of its rows has it."""
-    pairs, inverse = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1, return_inverse=True)
-    out = {"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())}
-    return pa.record_batch(out | {name: pa.array(np.bincount(inverse.ravel(), v, pairs.shape[1]) > 0) for name, v in flags.items()})
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """The different pairs (smaller, larger)."""
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+
+def _spanning(size: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Possible pairs of one list that join all entries which any chain of possible pairs joins."""
+    waiting = np.ones(len(size), bool)
+    a, b = [], []
+    for root in range(len(size)):
+        found = [root] if waiting[root] else []
+        waiting[root] = False
+        while found:
+            x = found.pop()
+            new = np.flatnonzero(waiting)
+            new = new[_possible(size[x], place[x], size[new], place[new], SHARED - 1)]
+            waiting[new] = False
+            found += new.tolist()
+            a.append(np.full(len(new), x)), b.append(new)
+    return a, b
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b, long): all possible ones of short lists; of long lists the neighbours by size.
+    """Pairs (a, b, long): the possible ones of short lists, and so many of long lists that all their possible pairs hang together by them.
 
-    Two sets of a long list that may reach the threshold hang together by these neighbours, as sizes that are apart
-    too far stay apart for all behind them.
+    A similar pair shares ``SHARED`` shingles of the indexed parts. Either one of them is in a long list, then the first
+    of those has fewer than ``SHARED`` before it; or all are in short lists and can be counted there.
     """
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length = np.diff(batch.column("docs").offsets.to_numpy())
+            first = np.cumsum(length) - length
             ids, size, place = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("docs", "sizes", "places"))
             at, lengths = runs(length), np.repeat(length, length)
-            a, b, long = [], [], []
+            a, b = [], []
             for step in range(1, SHORT):
                 x = np.flatnonzero((lengths <= SHORT) & (at < lengths - step))
-                x = x[_possible(size[x], place[x], size[x + step], place[x + step])]
-                a.append(x), b.append(x + step), long.append(np.zeros(len(x)))
-            x = np.flatnonzero((lengths > SHORT) & (at < lengths - 1))
+                x = x[DEN * size[x] >= NUM * size[x + step]]
+                a.append(x), b.append(x + step)
+            n_short = sum(map(len, a))
+            for i in np.flatnonzero((length > SHORT) & (length <= SPANNED)):
+                part = slice(first[i], first[i] + length[i])
+                x, y = _spanning(size[part], place[part])
+                a += [v + first[i] for v in x]
+                b += [v + first[i] for v in y]
+            x = np.flatnonzero((lengths > SPANNED) & (at < lengths - 1))
             x = x[DEN * size[x] >= NUM * size[x + 1]]
-            a.append(x), b.append(x + 1), long.append(np.ones(len(x)))
-            a, b, long = ids[np.concatenate(a)], ids[np.concatenate(b)], np.concatenate(long)
-            yield _pair_batch(a[a != b], b[a != b], long=long[a != b])
-
-    return lists.mapInArrow(pair, "a bigint, b bigint, long boolean").groupBy("a", "b").agg(F.bool_or("long").alias("long"))
+            a.append(x), b.append(x + 1)
+            a, b = np.concatenate(a), np.concatenate(b)
+            short = np.arange(len(a)) < n_short
+            pairs, of = np.unique(np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])]), axis=1, return_inverse=True)
+            of, n = of.ravel(), pairs.shape[1]
+            both = size[a] + size[b]
+            needed = np.zeros(n, np.int64)
+            np.maximum.at(needed, of, np.minimum(SHARED, -(-NUM * both // (NUM + DEN))))
+            any_of = lambda flag, of=of, n=n: np.bincount(of, flag.astype(float), n)
+            columns = {
+                "a": pa.array(pairs[0], pa.int64()),
+                "b": pa.array(pairs[1], pa.int64()),
+                "shared": pa.array(any_of(short).astype(np.int64)),
+                "needed": pa.array(needed),
+                "possible": pa.array(any_of(short & _possible(size[a], place[a], size[b], place[b])) > 0),
+                "long": pa.array(any_of(~short) > 0),
+            }
+            yield pa.record_batch(columns).filter(pa.array(pairs[0] != pairs[1]))
+
+    found = lists.mapInArrow(pair, "a bigint, b bigint, shared bigint, needed bigint, possible boolean, long boolean").groupBy("a", "b")
+    sums = found.agg(F.sum("shared").alias("shared"), F.max("needed").alias("needed"), F.bool_or("possible").alias("possible"), F.bool_or("long").alias("long"))
+    return sums.where("long or (possible and shared >= needed)").select("a", "b", "long")
 
 
 def later_pairs(lists: DataFrame, labels: DataFrame, step: int | None) -> DataFrame:
@@ -253,7 +300,7 @@ def later_pairs(lists: DataFrame, labels: DataFrame, step: int | None) -> DataFr
                     for a, b in _list_pairs(ids, size, place, label):
                         yield _pair_batch(a, b)
                 elif step < len(ids):
-                    good = (label[step:] != label[:-step]) & _possible(size[step:], place[step:], size[:-step], place[:-step])
+                    good = (label[step:] != label[:-step]) & _possible(size[step:], place[step:], size[:-step], place[:-step], SHARED - 1)
                     yield _pair_batch(ids[step:][good], ids[:-step][good])
 
     return open_lists.select(*(F.col(f"e.{c}").alias(c) for c in columns)).mapInArrow(pair, "a bigint, b bigint").distinct()

@@ -60,7 +60,9 @@ def test_groups_against_brute_force(spark, monkeypatch):
     assert len({c for _, _, c in brute(docs)}) > 8
     assert result(spark, docs) == brute(docs)
     assert result(spark, docs, range_bytes=500) == brute(docs)
-    monkeypatch.setattr(near.classified, "__defaults__", (near.K, 3, 200))
+    monkeypatch.setattr(near, "SPANNED", 8)
+    assert result(spark, docs) == brute(docs)
+    monkeypatch.setattr(near.classified, "__defaults__", (near.K, 3, 200))  # nearly all clusters are large
     assert result(spark, docs) == brute(docs)
 
 
