@@ -1,3 +1,3 @@
 """Imports every module that registers queries of the reference operators."""
 
-from . import averages, contests, models, timing  # noqa: F401
+from . import averages, contests, models, names, records, timing  # noqa: F401
