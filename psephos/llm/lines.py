@@ -28,15 +28,16 @@ DEPTH, MIN_TOKENS, MIN_DOCS, AGREE = 3, 3, 10, 0.7
 WILD = "<*>"
 
 
-def masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), F.lit(WILD)).otherwise(token)
+def masked(text: Column) -> Column:
+    """Every token with a digit becomes a wildcard."""
+    return F.regexp_replace(text, "[^ ]*[0-9][^ ]*", WILD)
 
 
 def _leaf(line: Column) -> Column:
-    """The place in the tree of a line; null for lines that are too short."""
-    tokens = F.split(F.trim(line), " ")
-    lead = [masked(tokens[k]) for k in range(DEPTH)]
-    return F.when(F.size(tokens) >= MIN_TOKENS, F.xxhash64(F.size(tokens), *lead))
+    """The place in the tree of a line; null for lines that are too short. Only the leading tokens are taken apart."""
+    text = F.trim(line)
+    n = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
+    return F.when(n >= MIN_TOKENS, F.xxhash64(n, masked(F.substring_index(text, " ", DEPTH))))
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
@@ -54,7 +55,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The lines of leaves with at least ``min_docs`` lines and the template of each: doc_id, hash, pos, before, after, template."""
     every = tree_lines(docs)
     leaves = every.groupBy("leaf").count().where(F.col("count") >= min_docs).withColumnRenamed("count", "n_lines")
-    lines = every.join(leaves, "leaf").withColumn("tokens", F.transform(F.split(F.trim("line"), " "), masked)).drop("line")
+    lines = every.join(leaves, "leaf").withColumn("tokens", F.split(masked(F.trim("line")), " ")).drop("line")
     lines = stored(lines, "template-lines")
     tokens = lines.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token"))
     counted = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines")).where(2 * F.col("n") >= F.col("n_lines"))
@@ -77,12 +78,13 @@ def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` with text less the lines of recurring templates, and n_lines and n_dropped."""
     found = stored(templates(docs, min_docs), "templates")
-    drops = found.join(recurring(found, min_docs), "template").groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("_drop"))
-    rows = docs.withColumns({"_key": F.xxhash64("text"), "_id": F.col("doc_id")})
-    joined = rows.join(drops.withColumnsRenamed({"doc_id": "_doc"}), F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("hash")), "left")
+    drops = found.join(recurring(found, min_docs), "template").groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop"))
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    joined = docs.select(*names).join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = F.split("text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("_drop", k)), "\n")
-    return joined.withColumns({"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"), "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)}).select(*docs.columns, "n_lines", "n_dropped")
+    counts = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("bigint"), "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint")}
+    return joined.withColumns({**counts, "text": F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)}).select(*names, *counts)
 
 
 ORACLE_SQL = f"""

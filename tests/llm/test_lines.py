@@ -4,7 +4,7 @@ from psephos.llm import lines
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id bigint, text string, pos int")
+    return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in docs], "doc_id bigint, text string, pos int, hash int, n_lines int")
 
 
 def test_recurring_templates_go_and_copies_stay(spark):
