@@ -121,3 +121,32 @@ def specials_summary(df: DataFrame, keys: Sequence[str], value: str, weight: str
         F.stddev_samp(value).alias("sd"),
         (F.stddev_samp(value) / F.sqrt(F.count(value))).alias("se"),
     )
+
+
+def label_precedence(df: DataFrame, keys: Sequence[str], party: str, order: Sequence[str]) -> DataFrame:
+    """One label per key: the first in ``order`` that any of its rows has, else OTHER."""
+    label = F.lit("OTHER")
+    for p in reversed(order):
+        label = F.when(F.bool_or(F.col(party) == p), p).otherwise(label)
+    return df.groupBy(*keys).agg(label.alias("label"))
+
+
+def suspect_states(df: DataFrame, keys: Sequence[str], first: str, second: str, total: str, least: float = 0.5) -> DataFrame:
+    """Sums per key, and whether the two parties have less than ``least`` of all votes."""
+    sums = df.groupBy(*keys).agg(F.sum(first).alias("first_votes"), F.sum(second).alias("second_votes"), F.sum(total).alias("total_votes"))
+    two = F.col("first_votes") + F.col("second_votes")
+    return sums.withColumn("two_party_suspect", F.coalesce(two / F.nullif(F.col("total_votes").cast("double"), F.lit(0.0)) < least, F.lit(True)))
+
+
+def worst(df: DataFrame, error: str, k: int, tie: Sequence[str]) -> DataFrame:
+    """The k rows of the largest absolute error."""
+    return df.orderBy(F.abs(error).desc(), *tie).limit(k)
+
+
+def with_override(df: DataFrame, overrides: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """``value`` replaced where a reviewed table names the row's keys (null as null), and whether it was."""
+    condition = F.lit(True)
+    for k in keys:
+        condition &= F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}"))
+    joined = df.alias("l").join(overrides.alias("o"), condition, "left")
+    return joined.select(*(F.col(f"l.{c}") for c in df.columns if c != value), F.coalesce(f"o.{value}", f"l.{value}").alias(value), F.col(f"o.{value}").isNotNull().alias("overridden"))
