@@ -10,11 +10,9 @@ from .catalog import register, table
 from .timing import PANEL_SQL, events, panel
 
 NATIONAL_SQL = f"SELECT year, sum(share * (first_votes + second_votes)) / sum(first_votes + second_votes) AS m FROM ({PANEL_SQL}) WHERE share IS NOT NULL GROUP BY year"
-TOTAL = F.col("first_votes") + F.col("second_votes")
-
 
 def weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panel(spark, sf_dir).withColumn("w", TOTAL)
+    return panel(spark, sf_dir).withColumn("w", F.col("first_votes") + F.col("second_votes"))
 
 
 @register("national_weighted_mean", f"SELECT year, round(m, 9) AS mean_share FROM ({NATIONAL_SQL})")
