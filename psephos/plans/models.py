@@ -80,8 +80,10 @@ def district_baseline(spark, sf_dir):
     u AS (SELECT *, sum(pop) OVER (PARTITION BY region, unit) AS tp, count(*) OVER (PARTITION BY region, unit) AS n FROM b),
     f AS (SELECT u.region, u.block, sum(v.votes * CASE WHEN tp > 0 THEN pop / tp ELSE 1.0 / n END) AS x FROM u JOIN v ON v.region = u.region AND v.unit = u.unit GROUP BY 1, 2),
     r AS (SELECT region, sum(votes) AS rest FROM v WHERE (region, unit) NOT IN (SELECT region, unit FROM b) GROUP BY 1),
-    e AS (SELECT b.region, b.block, coalesce(f.x, 0) AS x, sum(coalesce(f.x, 0)) OVER (PARTITION BY b.region) AS t FROM b LEFT JOIN f ON f.region = b.region AND f.block = b.block)
-    SELECT e.region, e.block, round(e.x + coalesce(r.rest, 0) * e.x / e.t, 6) AS votes, 0.0 AS unplaced FROM e LEFT JOIN r ON r.region = e.region""",
+    e AS (SELECT b.region, b.block, coalesce(f.x, 0) AS x, sum(coalesce(f.x, 0)) OVER w AS t, CASE WHEN sum(b.pop) OVER w > 0 THEN b.pop / sum(b.pop) OVER w ELSE 1.0 / count(*) OVER w END AS s
+        FROM b LEFT JOIN f ON f.region = b.region AND f.block = b.block WINDOW w AS (PARTITION BY b.region))
+    SELECT coalesce(e.region, r.region) AS region, e.block, round(coalesce(e.x + coalesce(r.rest, 0) * CASE WHEN e.t > 0 THEN e.x / e.t ELSE e.s END, 0), 6) AS votes, CASE WHEN e.block IS NULL THEN r.rest ELSE 0.0 END AS unplaced
+    FROM e FULL JOIN r ON r.region = e.region""",
 )
 def block_apportion(spark, sf_dir):
     blocks = table(spark, sf_dir, "supplier").where("s_nationkey % 3 <> 0").select(
