@@ -129,8 +129,8 @@ def frequent_shingles(docs: DataFrame, k: int = K, most: int = FREQUENT) -> tupl
             yield pa.record_batch({"hash": pa.array(found[many].view(np.int64)), "n": pa.array(times[many], pa.int64())})
 
     counted = docs.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "hash").limit(most).toPandas()
-    hashes = rows["hash"].to_numpy(np.int64).view(np.uint64)
+    rows = counted.orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow()  # 8 bytes each
+    hashes = rows["hash"].to_numpy().view(np.uint64)
     rank = np.arange(len(hashes), 0, -1)
     order = np.argsort(hashes)
     return hashes[order], rank[order]
@@ -452,9 +452,10 @@ def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES)
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     measured = stored(sizes(docs, k), "set-sizes")
-    known = measured.where("doc_id is not null and f is not null")
-    equal = known.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("first"))
-    same = stored(known.join(equal, ["f", "g", "n_shingles"]).select("doc_id", "first").distinct(), "equal-sets")
+    known = measured.where("doc_id is not null and f is not null").select("doc_id", "f", "g", "n_shingles").distinct()
+    # Apart from the join, so that Spark may split a set that very many documents have.
+    equal = stored(known.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("first")), "first-documents")
+    same = stored(known.join(equal, ["f", "g", "n_shingles"]).select("doc_id", "first"), "equal-sets")
     # A doc_id of several different texts stands for all of them: its sets then stay apart and are joined at the end.
     several = not same.groupBy("doc_id").count().where("count > 1").isEmpty()
     copies = same.where(F.lit(not several) & (F.col("doc_id") != F.col("first")))
