@@ -54,7 +54,8 @@ def tree_lines(docs: DataFrame) -> DataFrame:
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The lines of leaves with at least ``min_docs`` lines and the template of each: doc_id, hash, pos, before, after, template."""
     every = tree_lines(docs)
-    leaves = every.groupBy("leaf").count().where(F.col("count") >= min_docs).withColumnRenamed("count", "n_lines")
+    # Counted apart from the join, so that Spark may split a leaf with very many lines.
+    leaves = stored(every.groupBy("leaf").count().where(F.col("count") >= min_docs).withColumnRenamed("count", "n_lines"), "leaves")
     lines = every.join(leaves, "leaf").withColumn("tokens", F.split(masked(F.trim("line")), " ")).drop("line")
     lines = stored(lines, "template-lines")
     tokens = lines.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token"))
@@ -78,7 +79,7 @@ def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """The columns of ``docs`` with text less the lines of recurring templates, and n_lines and n_dropped."""
     found = stored(templates(docs, min_docs), "templates")
-    drops = found.join(recurring(found, min_docs), "template").groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop"))
+    drops = found.join(stored(recurring(found, min_docs), "recurring"), "template").groupBy(F.col("doc_id").alias("_doc"), F.col("hash").alias("_hash")).agg(F.collect_set("pos").alias("_drop"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*names).join(drops, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash")), "left")
     lines = F.split("text", "\n")
