@@ -71,8 +71,8 @@ def incumbency(spark, sf_dir):
     return seats.incumbency(winners, o, "seat", "cycle", "winner", "o_orderpriority", 2).withColumn("incumbent_won", F.coalesce("incumbent_won", F.lit(False)))
 
 
-@register("seat_universe", """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'model' WHEN c_custkey % 2 = 0 THEN 'partisanship_prior' ELSE 'recent_result' END AS source, CASE WHEN c_acctbal > 5000 THEN 0.6 WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 0.4 END AS mean_share,
-    CASE WHEN c_acctbal > 5000 THEN 0.05 ELSE 0.1 END AS sigma FROM customer WHERE c_acctbal > 5000 OR c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
+@register("seat_universe", """SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 'model' WHEN c_custkey % 2 = 0 THEN 'partisanship_prior' ELSE 'recent_result' END AS source, CAST(CASE WHEN c_acctbal > 5000 THEN 0.6 WHEN c_custkey % 2 = 0 THEN 0.5 ELSE 0.4 END AS DOUBLE) AS mean_share,
+    CAST(CASE WHEN c_acctbal > 5000 THEN 0.05 ELSE 0.1 END AS DOUBLE) AS sigma FROM customer WHERE c_acctbal > 5000 OR c_custkey % 2 = 0 OR c_custkey % 3 = 0""")
 def seat_universe(spark, sf_dir):
     when = lambda c, v: F.when(c, F.lit(v))
     rows = table(spark, sf_dir, "customer").select("c_custkey", when(F.col("c_acctbal") > 5000, 0.6).alias("m"), when(F.col("c_custkey") % 2 == 0, 0.5).alias("p"), when(F.col("c_custkey") % 3 == 0, 0.4).alias("r"), F.lit(None).cast("double").alias("s"))
