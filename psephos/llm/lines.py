@@ -61,7 +61,7 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     tokens = lines.select("leaf", "n_lines", F.posexplode("tokens").alias("place", "token"))
     counted = tokens.groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("n_lines").alias("n_lines")).where(2 * F.col("n") >= F.col("n_lines"))
     constant = counted.groupBy("leaf", "place").agg(F.max(F.struct("n", "token"))["token"].alias("token"))
-    known = constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constant"))
+    known = stored(constant.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constant")), "leaf-templates")
     same = F.size(F.filter(F.transform("tokens", lambda t, k: F.coalesce(F.try_element_at("constant", k) == t, F.lit(False))), lambda x: x))
     of_leaf = same >= AGREE * F.size("tokens")
     own = F.xxhash64(F.lit("line"), F.array_join("tokens", " "))
