@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import stored
-from .words import LOWER, SPACED, mix, powers, runs, slices, word_bounds, word_hashes
+from .words import LOWER, SPACED, mix, powers, release, runs, slices, word_bounds, word_hashes
 
 K = 5
 #: Jaccard similarity as a fraction.
@@ -38,7 +38,7 @@ NUM, DEN = 3, 4
 #: Shingles that come last in the global order, at most; those that a task meets COMMON times among GATHER are candidates.
 FREQUENT, COMMON = 1 << 19, 2
 #: Shingles that a task gathers before it sends them on.
-GATHER = 1 << 20
+GATHER = 1 << 19
 #: Bytes of text whose index entries meet in one range of hashes.
 RANGE_BYTES = 8 << 20
 #: Lists up to this length are compared pair by pair at once, longer ones along their order first.
@@ -398,7 +398,7 @@ def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: Data
     weighed = clusters.join(size.withColumnRenamed("doc_id", "node"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     weighed = stored(weighed.withColumn("large", (F.col("docs") > members) | (F.col("n") > held)), "clusters")
     total, large = weighed.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.count_if("large")).first()
-    bins = max(1, -(-(total or 0) // held))
+    bins = max(1, -(-(total or 0) // max(1, held // 8)))  # small bins for many tasks; a cluster of up to ``held`` may fill one alone
     small = weighed.where(~F.col("large")).select("component", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
     binned = clusters.join(small, "component")
     sets = whole_sets(docs, binned.select(F.col("node").alias("doc_id"), "component", "bin"), k)
@@ -423,6 +423,8 @@ def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: Data
         for c in several:
             _close(cluster[c], of, parent)
         nodes = list(parent)
+        of.clear()
+        release()
         return pa.table({"node": pa.array(nodes, pa.int64()), "component": pa.array([_root(parent, doc) for doc in nodes], pa.int64())})
 
     found = sets.groupBy("bin").cogroup(open_pairs.groupBy("bin")).applyInArrow(link, "node bigint, component bigint")
