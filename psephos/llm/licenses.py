@@ -1,6 +1,8 @@
 """License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance along directories.
 
-A header is any line of a file, wherever it stands; a licence file is one with a licence file's name, taken as a whole.
+A header is any line of a file, wherever it stands, any sentence of a line, or a block: up to ``BLOCK_LINES`` lines with
+strong cues (cue terms but for stop words) in a row, at most one other line between two of them, so wrapped notices
+count as one text. A licence file is one with a licence file's name, taken as a whole.
 Both are compared with all templates by the cosine of TF-IDF vectors (weights from the templates; a term that no
 template has weighs as one that a single template has). Only lines that can reach the threshold are taken apart: a
 line without any of the templates' cue terms shares so little weight with each of them that its cosine stays below it
@@ -10,7 +12,8 @@ A file's licence is that of its best header, else that of the licence file in th
 joining the file's ancestor directories with the directories of licence files.
 
 Cases: null text states nothing; null path has no directory and inherits nothing; several licences in a file or
-directory: the highest cosine, then the name; a tie of a header and an inherited licence can't be, as headers win;
+directory: the highest cosine, then the name, but "All rights reserved." only where nothing else is found, as
+licensed files say so too; a tie of a header and an inherited licence can't be, as headers win;
 no files give no rows; repeated rows give repeated results; other columns are ignored.
 """
 
@@ -51,6 +54,10 @@ TEMPLATES = [
 TERM = "[a-z0-9]+(?:\\.[0-9]+)*"
 #: Words that any English text has; as cues they come last.
 STOP_WORDS = frozenset("a all an and any are as at be by can either for from has have in is it may met not of on or other that the this to under use v with without work you your".split())
+#: A notice that licensed files have too: it gives way to any other.
+RESERVED = ["all", "rights", "reserved"]
+BLOCK_LINES = 12
+SENTENCE_END = "(?<=[.!?;]) +(?=[A-Z])"
 FILE_NAMES = "(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
@@ -93,6 +100,7 @@ def _best(texts: DataFrame, key: str, templates: list[tuple[str, str]], threshol
     """The best (key, license, cosine) of each key over its rows (key, part, text) that reaches the threshold."""
     spark = texts.sparkSession
     weights, idf, other = template_weights(templates)
+    weak = [k for k, (_, t) in enumerate(templates) if terms(t) == RESERVED]
     # Both tables are as large as the templates, which are given by the caller's program.
     table = spark.createDataFrame(weights, "template int, license string, term string, w double")
     idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
@@ -102,10 +110,44 @@ def _best(texts: DataFrame, key: str, templates: list[tuple[str, str]], threshol
     norm = bag.groupBy(key, "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dot = bag.join(F.broadcast(table), "term").groupBy(key, "part", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
     scored = dot.join(norm, [key, "part"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "license"))
+    best = F.min(F.struct(F.col("template").isin(weak).alias("weak"), (-F.col("cosine")).alias("c"), "license"))
     return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
+def _cue(text: Column, cues: list[str]) -> Column:
+    """Whether a text has any of the terms."""
+    return F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(map(re.escape, cues))})([^a-z0-9]|$)")
+
+
+def headers(texts: DataFrame, cues: list[str]) -> DataFrame:
+    """The lines, sentences and blocks of (_row, text) that may be headers: _row, part (a hash of the text), text."""
+    strong = [c for c in cues if c not in STOP_WORDS]
+    lines = texts.where(_cue(F.col("text"), cues)).select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(_cue(F.col("text"), cues))
+    # A line and its sentences in one pass; most lines have no strong cue.
+    split = F.filter(F.split("text", SENTENCE_END), lambda t: _cue(t, strong))
+    texts_of = F.when(_cue(F.col("text"), strong), F.array_union(F.array("text"), split)).otherwise(F.array("text"))
+    single = lines.select("_row", F.explode(texts_of).alias("text"))
+
+    marked = lines.where(_cue(F.col("text"), strong)).dropDuplicates(["_row", "pos"])
+    order = Window.partitionBy("_row").orderBy("pos")
+    first = F.coalesce(F.col("pos") - F.lag("pos").over(order) > 2, F.lit(True)).cast("bigint")
+    runs = marked.withColumn("first", first).withColumn("run", F.sum("first").over(order)).withColumn("k", F.row_number().over(order))
+    # A line belongs to the blocks that start at it or at one of the lines before, within its run.
+    members = runs.select("_row", "run", "k", "text")
+    block = F.collect_list("text").over(Window.partitionBy("_row", "run").orderBy("k").rowsBetween(0, BLOCK_LINES - 1))
+    starts = members.select("_row", block.alias("lines")).where(F.size("lines") > 1)
+    blocks = starts.select("_row", F.explode(F.transform(F.sequence(F.lit(2), F.size("lines")), lambda n: F.array_join(F.slice("lines", F.lit(1), n), " "))).alias("text"))
+    return single.unionByName(blocks).select("_row", F.xxhash64("text").alias("part"), "text")
+
+
+def stated(texts: DataFrame, key: str, longest: int, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The keys of (key, text) whose whole text, of at most ``longest`` characters, is a licence statement: key, license, cosine."""
+    templates = templates or TEMPLATES
+    cues = cue_terms(template_weights(templates)[0], threshold)
+    whole = texts.where((F.length("text") <= longest) & _cue(F.col("text"), cues)).select(key, F.lit(0).alias("part"), "text")
+    return _best(whole.dropDuplicates([key]), key, templates, threshold)
+
+
 def _parents(path: Column) -> Column:
     """The directories above a path, the nearest first, with "" as the root."""
     steps = F.split(path, "/")
@@ -115,12 +157,11 @@ def _parents(path: Column) -> Column:
 def effective_licenses(files: DataFrame, key: str = "path", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``files`` (key, path, text): key, license, cosine, origin (header, file, inherited or none) and source_dir."""
     templates = templates or TEMPLATES
-    cues = "|".join(map(re.escape, cue_terms(template_weights(templates)[0], threshold)))
+    cues = cue_terms(template_weights(templates)[0], threshold)
     rows = files.select(F.col(key).alias("key"), "path", "text").withColumn("_row", F.xxhash64("key", "path", "text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES), F.lit(False))
-    lines = rows.where(~is_file & F.lower("text").rlike(f"(^|[^a-z0-9])({cues})([^a-z0-9]|$)")).select("_row", F.posexplode(F.split("text", "\n")).alias("part", "text"))
-    heads = lines.where(F.lower("text").rlike(f"(^|[^a-z0-9])({cues})([^a-z0-9]|$)"))
-    whole = rows.where(is_file).select("_row", F.lit(0).alias("part"), "text")
+    heads = headers(rows.where(~is_file).select("_row", "text"), cues)
+    whole = rows.where(is_file).select("_row", F.xxhash64("text").alias("part"), "text")
     direct = stored(_best(heads.unionByName(whole).dropDuplicates(["_row", "part"]), "_row", templates, threshold), "licenses")
 
     facts = rows.select("_row", "key", "path", is_file.alias("is_file"))

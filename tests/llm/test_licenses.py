@@ -1,4 +1,5 @@
 import math
+import textwrap
 from collections import Counter
 
 from psephos.llm import licenses
@@ -47,3 +48,21 @@ def test_headers_files_and_inheritance(spark):
         key=str,
     )
     assert licenses.effective_licenses(d.limit(0)).collect() == []
+
+
+GPL = next(t for name, t in licenses.TEMPLATES if name == "GPL-3.0" and len(t) > 100)
+APACHE = max((t for name, t in licenses.TEMPLATES if name == "Apache-2.0"), key=len)
+
+
+def test_wrapped_and_combined_headers(spark):
+    rows = [
+        ("gpl72.py", "\n".join("# " + x for x in textwrap.wrap(GPL, 72)), "GPL-3.0"),
+        ("gpl30.py", "import os\n" + textwrap.fill(GPL, 30) + "\n\nprint(1)", "GPL-3.0"),
+        ("two.py", "Copyright 2024 Foo Inc. All rights reserved. Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("both.py", "// Copyright 2024 Foo Inc. All rights reserved.\n//\n" + textwrap.fill(APACHE, 60), "Apache-2.0"),
+        ("own.py", "Copyright 2024 Foo Inc. All rights reserved.", "Proprietary"),
+        ("apart.py", "\n\n\n".join(textwrap.wrap(APACHE, 12)), "none"),
+        ("prose.py", "The end of the tale.\nIt may not be the same to all.", "none"),
+    ]
+    d = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
+    assert {r.path: r.license for r in licenses.effective_licenses(d).collect()} == {p: n for p, _, n in rows}
