@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, substrings, topk
+from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,9 +119,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_line_dedup"] = lines.ORACLE_SQL
 
 
+#: Characters of a document that can stand as a licence file; the longest template has 242.
+LICENCE_CHARS = 500
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Licences of the documents' headers, each document being a file of the tree given by its source and language."""
-    docs = table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))
-    return licenses.effective_licenses(docs.select("doc_id", path.alias("path"), "text"), "doc_id")
+    """Effective licences of the documents, each being a file of the tree given by its source and language.
+
+    A document of at most ``LICENCE_CHARS`` characters that is a licence statement as a whole is a licence file of its directory.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mark = F.xxhash64("doc_id", "text")
+    # As small as the licence files are few: Spark broadcasts it or not by its size.
+    found = stored(licenses.stated(docs.select(mark.alias("_mark"), "text"), "_mark", LICENCE_CHARS).select("_mark"), "licence-files")
+    named = docs.join(found, mark == F.col("_mark"), "left")
+    name = F.when(F.col("_mark").isNotNull(), F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
+    return licenses.effective_licenses(named.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text"), "doc_id")

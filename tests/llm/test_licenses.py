@@ -1,8 +1,9 @@
 import math
+import re
 import textwrap
 from collections import Counter
 
-from psephos.llm import licenses
+from psephos.llm import licenses, queries
 
 
 def cosine(text, template, idf, other):
@@ -66,3 +67,55 @@ def test_wrapped_and_combined_headers(spark):
     ]
     d = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
     assert {r.path: r.license for r in licenses.effective_licenses(d).collect()} == {p: n for p, _, n in rows}
+
+
+def brute(docs):
+    weights, idf, other = licenses.template_weights(licenses.TEMPLATES)
+    strong = set(licenses.cue_terms(weights, licenses.THRESHOLD)) - licenses.STOP_WORDS
+
+    def best(texts):
+        found = [(licenses.terms(t) == licenses.RESERVED, -round(c, 9), n) for x in texts for n, t in licenses.TEMPLATES if (c := cosine(x, t, idf, other)) >= licenses.THRESHOLD]
+        return (min(found)[2], -min(found)[1]) if found else None
+
+    def parts(text):
+        lines = text.split("\n")
+        yield from lines
+        for line in lines:
+            yield from (x for x in re.split(licenses.SENTENCE_END, line) if strong & set(licenses.terms(x)))
+        at = [k for k, x in enumerate(lines) if strong & set(licenses.terms(x))]
+        for i in range(len(at)):
+            for j in range(i + 1, min(len(at), i + licenses.BLOCK_LINES)):
+                if at[j] - at[j - 1] > 2:
+                    break
+                yield " ".join(lines[k] for k in at[i : j + 1])
+
+    whole = {i: best([text]) if text is not None and len(text) <= queries.LICENCE_CHARS else None for i, text, *_ in docs}
+    folders = {}
+    for i, _, lang, source in docs:
+        if whole[i]:
+            folders.setdefault(f"{source}/{lang}", []).append((-whole[i][1], whole[i][0]))
+    out = []
+    for i, text, lang, source in docs:
+        own, folder = whole[i] or best(parts(text or "")), f"{source}/{lang}"
+        if own:
+            out.append((i, own[0], "file" if whole[i] else "header", None))
+        elif folder in folders:
+            out.append((i, min(folders[folder])[1], "inherited", folder))
+        else:
+            out.append((i, "none", "none", None))
+    return sorted(out)
+
+
+def test_query_inherits_from_licence_documents(spark, tmp_path):
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    docs = [tuple(r) for r in real] + [
+        (90001, "A.\nReleased under the MIT License.", "en", "src1"),
+        (90002, "Licensed under the Apache License, Version 2.0.", "de", "src2"),
+        (90003, "All rights reserved.\n" * 100, "fr", "src3"),
+        (90004, None, "en", "src1"),
+        (90005, textwrap.fill(GPL, 50) + "\nwords " * 200, "en", "src1"),
+    ]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((r.doc_id, r.license, r.origin, r.source_dir) for r in queries.op3_license_scan(spark, str(tmp_path)).collect())
+    assert found == brute(docs)
+    assert {o for _, _, o, _ in found} == {"file", "header", "inherited", "none"}
