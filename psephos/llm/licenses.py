@@ -119,8 +119,21 @@ def _cue(text: Column, cues: list[str]) -> Column:
     return F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(map(re.escape, cues))})([^a-z0-9]|$)")
 
 
-def headers(texts: DataFrame, cues: list[str]) -> DataFrame:
+def _reaches(text: Column, weights: list[tuple[int, str, str, float]], threshold: float) -> Column:
+    """Whether a text may reach the threshold: by the bound of ``cue_terms``, its cosine with a template is at most the length of the template's part in the text's terms."""
+    n = max(w[0] for w in weights) + 1
+    squares: dict[str, list[float]] = {}
+    for k, _, t, w in weights:
+        squares.setdefault(t, [0.0] * n)[k] += w * w
+    table = F.create_map(*[x for t, v in squares.items() for x in (F.lit(t), F.array(*map(F.lit, v)))])
+    seen = F.array_intersect(F.array(*map(F.lit, squares)), F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1))
+    sums = F.aggregate(seen, F.array_repeat(F.lit(0.0), n), lambda a, t: F.zip_with(a, table[t], lambda x, y: x + y))
+    return F.array_max(sums) >= (threshold * 0.999) ** 2
+
+
+def headers(texts: DataFrame, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
     """The lines, sentences and blocks of (_row, text) that may be headers: _row, part (a hash of the text), text."""
+    cues = cue_terms(weights, threshold)
     strong = [c for c in cues if c not in STOP_WORDS]
     lines = texts.where(_cue(F.col("text"), cues)).select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(_cue(F.col("text"), cues))
     # A line and its sentences in one pass; most lines have no strong cue.
@@ -131,13 +144,14 @@ def headers(texts: DataFrame, cues: list[str]) -> DataFrame:
     marked = lines.where(_cue(F.col("text"), strong)).dropDuplicates(["_row", "pos"])
     order = Window.partitionBy("_row").orderBy("pos")
     first = F.coalesce(F.col("pos") - F.lag("pos").over(order) > 2, F.lit(True)).cast("bigint")
-    runs = marked.withColumn("first", first).withColumn("run", F.sum("first").over(order)).withColumn("k", F.row_number().over(order))
-    # A line belongs to the blocks that start at it or at one of the lines before, within its run.
-    members = runs.select("_row", "run", "k", "text")
-    block = F.collect_list("text").over(Window.partitionBy("_row", "run").orderBy("k").rowsBetween(0, BLOCK_LINES - 1))
-    starts = members.select("_row", block.alias("lines")).where(F.size("lines") > 1)
-    blocks = starts.select("_row", F.explode(F.transform(F.sequence(F.lit(2), F.size("lines")), lambda n: F.array_join(F.slice("lines", F.lit(1), n), " "))).alias("text"))
-    return single.unionByName(blocks).select("_row", F.xxhash64("text").alias("part"), "text")
+    runs = marked.withColumn("first", first).withColumn("run", F.sum("first").over(order))
+    whole = runs.groupBy("_row", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"].alias("lines"))
+    # A run that can't reach the threshold has no block that can.
+    whole = whole.where(F.size("lines") > 1).where(_reaches(F.array_join("lines", " "), weights, threshold))
+    starts = whole.select("_row", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - 1)).alias("i"))
+    ends = F.sequence(F.lit(2), F.least(F.lit(BLOCK_LINES), F.size("lines") - F.col("i") + 1))
+    blocks = starts.select("_row", F.explode(F.transform(ends, lambda n: F.array_join(F.slice("lines", F.col("i"), n), " "))).alias("text"))
+    return single.unionByName(blocks).where(_reaches(F.col("text"), weights, threshold)).select("_row", F.xxhash64("text").alias("part"), "text")
 
 
 def stated(texts: DataFrame, key: str, longest: int, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -157,10 +171,9 @@ def _parents(path: Column) -> Column:
 def effective_licenses(files: DataFrame, key: str = "path", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of ``files`` (key, path, text): key, license, cosine, origin (header, file, inherited or none) and source_dir."""
     templates = templates or TEMPLATES
-    cues = cue_terms(template_weights(templates)[0], threshold)
     rows = files.select(F.col(key).alias("key"), "path", "text").withColumn("_row", F.xxhash64("key", "path", "text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES), F.lit(False))
-    heads = headers(rows.where(~is_file).select("_row", "text"), cues)
+    heads = headers(rows.where(~is_file).select("_row", "text"), template_weights(templates)[0], threshold)
     whole = rows.where(is_file).select("_row", F.xxhash64("text").alias("part"), "text")
     direct = stored(_best(heads.unionByName(whole).dropDuplicates(["_row", "part"]), "_row", templates, threshold), "licenses")
 
