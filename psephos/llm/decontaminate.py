@@ -10,13 +10,16 @@ stay together, so a term or passage found in a third of all documents costs each
 Benchmarks go to the tasks in blocks of at most ``BLOCK_WORDS`` words, so what is broadcast has a fixed bound; more
 blocks mean more searches of the same size.
 
+Words are compared by 64-bit hashes; a false match needs all words of a window to collide in place.
+
 Cases: null text has no words; an item or document without words matches nothing; an item of fewer words than the
-window is one window; items of null id are left out; items of one id count as one item; repeated rows give repeated
-results; other columns are ignored.
+window is one window; items of null id are left out; items of one id count as one item that has the windows of all its
+rows, in however many blocks they stand; repeated rows of documents give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -64,18 +67,19 @@ def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) ->
 
 
 def phrases_of(block: list[tuple[str, np.ndarray]], window: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows as rows of word hashes, short ones marked by their length, the item of each, and the items' ids."""
+    """Windows as rows of word hashes, short ones marked by their length, the item of each, and the items' ids (each once)."""
     rows, lengths, owner = [], [], []
-    for k, (_, words) in enumerate(block):
+    ids = {key: k for k, key in enumerate(dict.fromkeys(key for key, _ in block))}
+    for key, words in block:
         n = min(window, len(words))
         view = np.zeros((len(words) - n + 1, window), np.uint64)
         view[:, :n] = np.lib.stride_tricks.sliding_window_view(words, n)
         rows.append(view)
         lengths.append(np.full(len(view), n))
-        owner.append(np.full(len(view), k))
+        owner.append(np.full(len(view), ids[key]))
     if not rows:
         return np.zeros((0, window), np.uint64), np.zeros((0, 2), np.int64), []
-    return np.concatenate(rows), np.column_stack([np.concatenate(lengths), np.concatenate(owner)]), [k for k, _ in block]
+    return np.concatenate(rows), np.column_stack([np.concatenate(lengths), np.concatenate(owner)]), list(ids)
 
 
 def build_index(docs: DataFrame, terms: np.ndarray) -> DataFrame:
@@ -232,25 +236,23 @@ def matches(docs: DataFrame, items: DataFrame, *, item_id: str = "item_id", item
     """For each document: doc_id, text_hash (xxhash64), n_words, spans (merged, in words) and the items that match it, by id.
 
     ``within`` None asks for exact windows of ``window`` item words, else for proximity matches. ``docs`` need doc_id
-    and text. With more than one block of items, documents are named by (doc_id, text hash) when blocks are merged.
+    and text.
     """
-    blocks = list(item_blocks(items, item_id, item_text, block_words))
     found = []
-    for block in blocks:
+    for block in item_blocks(items, item_id, item_text, block_words):
         phrases, facts, ids = phrases_of(block, window)
         terms = np.unique(np.concatenate([words for _, words in block])) if block else np.zeros(0, np.uint64)
         index = stored(build_index(docs, terms), "positional-index")
         found.append(search(index, terms, phrases, facts, ids, term_counts(index, len(terms)), within))
     if len(found) == 1:
         return found[0]
-    every = found[0]
-    for one in found[1:]:
-        every = every.unionByName(one)
-    return (
-        every.groupBy("doc_id", "text_hash", "n_words")
-        .agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-        .select("doc_id", "text_hash", "n_words", merged_spans("spans").alias("spans"), "items")
-    )
+    # Rows of one id and text have one result in each block: they are merged once and repeated at the end.
+    key = ["doc_id", "text_hash", "n_words"]
+    once = [one.groupBy(key).agg(F.first("spans").alias("spans"), F.first("items").alias("items"), F.count("*").alias("copies")) for one in found]
+    every = functools.reduce(DataFrame.unionByName, once)
+    merged = every.groupBy(key).agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("copies").alias("copies"))
+    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy")
+    return merged.select(*key, merged_spans("spans").alias("spans"), "items", again).drop("copy")
 
 
 def merged_spans(column: str):
