@@ -111,6 +111,9 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+ORACLES["op7_mix_sources"] = mixing.ORACLE_SQL
+
+
 @query
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
