@@ -65,13 +65,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
-    counts = {f"n_{kind}": F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)") for kind in pii.KINDS}
+    counts = {f"n_{kind}": F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)") for kind in pii.BASE_KINDS}
     return found.select(
         "doc_id",
         *(c.alias(name) for name, c in counts.items()),
         F.sha2(pii.spans_text("base"), 256).alias("base_sha256"),
         pii.spans_text(F.concat("base", "found")).alias("spans"),
         F.size("found").cast("bigint").alias("n_found"),
+        (F.size("base") + F.size("found") > 0).alias("flagged"),
     )
 
 
