@@ -50,7 +50,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_LIKE = re.compile(r"[^\s<>\"'=|,;]*[0-9@][^\s<>\"'=|,;]*")
+# Tried only where a run starts, so a run without a digit or @ is read once.
+_LIKE = re.compile(r"(?<![^\s<>\"'=|,;])[^\s<>\"'=|,;0-9@]*+[0-9@][^\s<>\"'=|,;]*+")
 _TOKEN = re.compile(r"\S+")
 _MASK = re.compile(r"[0-9]+")
 #: Forms of credentials whose values are seeds.
