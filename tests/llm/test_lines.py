@@ -1,10 +1,11 @@
 import duckdb
+from pyspark.sql import functions as F
 
 from psephos.llm import lines
 
 
 def frame(spark, docs):
-    return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in docs], "doc_id bigint, text string, pos int, hash int, n_lines int")
+    return spark.createDataFrame([(i, t, 1, 2, 3) for i, t in docs], "doc_id bigint, text string, pos int, hash int, n_lines int").withColumns({c: F.lit(1) for c in ("_doc", "_hash", "r", "d", "h", "drop", "template", "n", "leaf")})
 
 
 def test_recurring_templates_go_and_copies_stay(spark):
@@ -16,6 +17,18 @@ def test_recurring_templates_go_and_copies_stay(spark):
     assert rows[105].text == docs[20][1] and rows[105].n_dropped == 0
 
 
+def test_blocks_of_recurring_lines_go_whole(spark):
+    """A footer of three lines and short lines go from all texts, also from copies, and a group of copies keeps the rest."""
+    footer = "\nShare this page\nAll about us\nTop"
+    docs = [(i, f"own{chr(97 + i % 26)}{chr(97 + i // 26)} line" + footer) for i in range(40)]
+    near = ["this long text", "has been copied", "very many times", "with small edits", "in one of lines", "and it stays", "as it was", "to the end"]
+    docs += [(100 + i, "\n".join([*near[: i % 8], f"edit{chr(97 + i)}x {near[i % 8]}", *near[i % 8 + 1 :]]) + "\nTop") for i in range(26)]
+    docs += [(200 + i, "a whole copy\nof two lines") for i in range(20)]
+    rows = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, docs)).collect()}
+    for i, text in docs:
+        assert rows[i] == text.replace(footer, "").replace("\nTop", "")
+
+
 def test_cases(spark):
     docs = [(1, None), (2, ""), (3, "\n\n"), (4, "a b c"), (4, "a b c"), (None, "a b c"), (5, "a b c\n" * 3000), (6, "z " * 50000)]
     rows = lines.deduplicated(frame(spark, docs)).collect()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from psephos.llm import langid, mixing
 
@@ -43,3 +45,14 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text, "en", "a", 5), (None, text, "en", "a", 5)], SCHEMA)
     assert sorted((r.doc_id or 0) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == [0, 1]
     assert mixing.mixed(docs).count() == 4
+
+
+def test_clashing_names(spark):
+    """Further columns may be named like anything that a stage uses."""
+    names = ["h", "r", "d", "x", "_id", "_hash", "_doc", "hash", "n", "s", "b", "turn", "start", "place", "period", "count", "first", "component_id", "node", "term", "spans", "lang_pred", "template", "pos"]
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs = docs.unionByName(docs.limit(3)).select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, sf).collect()
+        assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows)
