@@ -9,7 +9,9 @@ share a shingle of it, goes to an inverted index dealt by shingle. Lists of one
   drop whole blocks of partners. The indexed part of a set is longer by ``SHARED`` - 1 shingles than the least that finds
   all pairs, so a pair must share that many more, and chance meetings of long documents are no candidates.
 * Answer-level skipping: equal sets share one set of answers, and a set that is linked with a similar set takes over
-  that set's class: pairs are compared only while their sets are in different classes.
+  that set's class: pairs are compared only while their sets are in different classes. Small clusters of candidates
+  meet in one task each; the sets of large ones are first joined along spanning pairs, then dealt in tiles of one class
+  each, and only tiles of different classes and of sizes that may link meet, each pair of tiles a task of its own.
 
 All candidates are verified by their whole sets. Only the order of shingles comes from counts with a bound
 (``FREQUENT`` shingles); it changes the work, never the result.
@@ -48,8 +50,8 @@ BLOCK = 64
 SHARED = 12
 #: Lists up to this length are spanned by possible pairs, still longer ones by neighbours in size.
 SPANNED = 4096
-#: Documents and shingles of a cluster that is compared in one place.
-MEMBERS, HELD = 4096, 1 << 21
+#: Documents and shingles of a cluster that is compared in one place, and of a tile of a larger one.
+MEMBERS, HELD = 512, 1 << 18
 
 _FRESH = np.uint64(0xD6E8FEB86659FD93)
 
@@ -195,43 +197,35 @@ def _possible(n1, p1, n2, p2, before=0):
     return (DEN * small >= NUM * large) & ((NUM + DEN) * (before + np.minimum(n1 - p1, n2 - p2)) >= NUM * (n1 + n2))
 
 
-def _list_pairs(ids: np.ndarray, size: np.ndarray, place: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All possible pairs of a list with different labels, by blocks; blocks of partners are skipped by their extremes."""
-    heads = np.arange(0, len(ids), BLOCK)
-    most_left = np.maximum.reduceat(size - place, heads)
-    least, largest = np.minimum.reduceat(size, heads), np.maximum.reduceat(size, heads)
-    for i, a in enumerate(heads):
-        sa = slice(a, a + BLOCK)
-        reach = (SHARED - 1 + np.minimum(most_left[i], most_left[i:])) * (NUM + DEN) >= NUM * (least[i] + least[i:])
-        for j in np.flatnonzero(reach & (DEN * largest[i] >= NUM * least[i:])) + i:
-            sb = slice(heads[j], heads[j] + BLOCK)
-            good = _possible(size[sa, None], place[sa, None], size[None, sb], place[None, sb], SHARED - 1) & (label[sa, None] != label[None, sb])
-            x, y = np.nonzero(good)
-            if len(x):
-                yield ids[sa][x], ids[sb][y]
-
-
-def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """The different pairs (smaller, larger)."""
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-    return pa.record_batch({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-
-def _spanning(size: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Possible pairs of one list that join all entries which any chain of possible pairs joins."""
-    waiting = np.ones(len(size), bool)
-    a, b = [], []
+def spanning(size: np.ndarray, place: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], int]:
+    """Possible pairs of one list that join all entries which any chain of possible pairs joins, and how many blocks were skipped.
+
+    The list is in the order of size and place. An entry looks only at blocks with waiting entries whose extremes of
+    size, and of what is left behind the place, allow a partner.
+    """
+    heads = np.arange(0, len(size), BLOCK)
+    least, largest, left = np.minimum.reduceat(size, heads), np.maximum.reduceat(size, heads), np.maximum.reduceat(size - place, heads)
+    waiting, in_block = np.ones(len(size), bool), np.diff(np.append(heads, len(size)))
+    a, b, skipped = [], [], 0
     for root in range(len(size)):
-        found = [root] if waiting[root] else []
+        if not waiting[root]:
+            continue
         waiting[root] = False
+        in_block[root // BLOCK] -= 1
+        found = [root]
         while found:
             x = found.pop()
-            new = np.flatnonzero(waiting)
-            new = new[_possible(size[x], place[x], size[new], place[new], SHARED - 1)]
-            waiting[new] = False
-            found += new.tolist()
-            a.append(np.full(len(new), x)), b.append(new)
-    return a, b
+            fits = (DEN * size[x] >= NUM * least) & (DEN * largest >= NUM * size[x])
+            fits &= (NUM + DEN) * (SHARED - 1 + np.minimum(size[x] - place[x], left)) >= NUM * (size[x] + least)
+            skipped += np.count_nonzero((in_block > 0) & ~fits)
+            for k in np.flatnonzero((in_block > 0) & fits):
+                new = heads[k] + np.flatnonzero(waiting[heads[k] : heads[k] + BLOCK])
+                new = new[_possible(size[x], place[x], size[new], place[new], SHARED - 1)]
+                waiting[new] = False
+                in_block[k] -= len(new)
+                found += new.tolist()
+                a.append(np.full(len(new), x)), b.append(new)
+    return a, b, int(skipped)
 
 
 def first_pairs(lists: DataFrame) -> DataFrame:
@@ -255,7 +249,7 @@ def first_pairs(lists: DataFrame) -> DataFrame:
             n_short = sum(map(len, a))
             for i in np.flatnonzero((length > SHORT) & (length <= SPANNED)):
                 part = slice(first[i], first[i] + length[i])
-                x, y = _spanning(size[part], place[part])
+                x, y, _ = spanning(size[part], place[part])
                 a += [v + first[i] for v in x]
                 b += [v + first[i] for v in y]
             x = np.flatnonzero((lengths > SPANNED) & (at < lengths - 1))
@@ -284,28 +278,6 @@ def first_pairs(lists: DataFrame) -> DataFrame:
     return sums.where("long or (possible and shared >= needed)").select("a", "b", "long")
 
 
-def later_pairs(lists: DataFrame, labels: DataFrame, step: int | None) -> DataFrame:
-    """Possible pairs of long lists whose sets have different labels: those ``step`` places apart, or all."""
-    entries = lists.where(F.size("docs") > SHORT).select("token", F.explode(F.arrays_zip("docs", "sizes", "places")).alias("e")).select("token", "e.*")
-    labelled = entries.join(labels.withColumnRenamed("node", "docs"), "docs")
-    mixed = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_lists = labelled.join(mixed, "token").groupBy("token").agg(F.array_sort(F.collect_list(F.struct("sizes", "places", "docs", "component"))).alias("e"))
-    columns = ("docs", "sizes", "places", "component")
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                ids, size, place, label = (np.asarray(batch.column(c)[i].values).astype(np.int64) for c in columns)
-                if step is None:
-                    for a, b in _list_pairs(ids, size, place, label):
-                        yield _pair_batch(a, b)
-                elif step < len(ids):
-                    good = (label[step:] != label[:-step]) & _possible(size[step:], place[step:], size[:-step], place[:-step], SHARED - 1)
-                    yield _pair_batch(ids[step:][good], ids[:-step][good])
-
-    return open_lists.select(*(F.col(f"e.{c}").alias(c) for c in columns)).mapInArrow(pair, "a bigint, b bigint").distinct()
-
-
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int = K) -> DataFrame:
     """The rows of ``wanted`` (doc_id and more) with the sets of their documents, as bytes."""
     names = [c for c in wanted.columns if c != "doc_id"]
@@ -385,20 +357,85 @@ def _close(docs: list[int], of: dict[int, list[np.ndarray]], parent: dict[int, i
                     parent[max(x, y)] = min(x, y)
 
 
+def tile_members(inside: DataFrame, members: int, held: int) -> DataFrame:
+    """(tiles, side, node, n, label): the rows of ``inside`` (component, node, n, label) in each pair of tiles that must meet.
+
+    Sets of one cluster and class with as many as ``members`` rows have tiles of their own; others share tiles. Sizes are
+    dealt in steps of the threshold, so a set links only within its step and with the next. Tiles of one class don't meet.
+    """
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(DEN / NUM))).cast("int")
+    large = stored(inside.groupBy("component", "label").count().where(F.col("count") >= members).select("component", "label", F.lit(True).alias("pure")), "large-classes")
+    dealt = inside.join(large, ["component", "label"], "left").withColumn("kind", F.when(F.col("pure"), F.col("label"))).withColumn("step", step).drop("pure")
+    key = ["component", "step", "kind"]
+    count = dealt.groupBy(*key).agg(F.greatest(F.ceil(F.count("*") / members), F.ceil(F.sum("n") / held)).cast("int").alias("n_tiles"))
+    count = stored(count, "tiles")
+    tiles = count.select("component", "step", "kind", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("tile"))
+    tiles = tiles.withColumn("id", F.xxhash64("component", "step", "kind", "tile"))
+    x, y = tiles.withColumn("to", F.explode(F.array("step", F.col("step") + 1))).alias("x"), tiles.alias("y")
+    meet = x.join(y, (F.col("x.component") == F.col("y.component")) & (F.col("x.to") == F.col("y.step")))
+    pure = F.coalesce(F.col("x.kind") == F.col("y.kind"), F.lit(False))
+    meet = meet.where(~pure & ((F.col("x.step") < F.col("y.step")) | (F.col("x.id") <= F.col("y.id"))))
+    meet = meet.select(F.xxhash64("x.id", "y.id").alias("tiles"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    sides = meet.select("tiles", F.lit(0).alias("side"), F.col("a").alias("id")).unionByName(meet.where("a <> b").select("tiles", F.lit(1).alias("side"), F.col("b").alias("id")))
+    c = count.select(*(F.col(k).alias(f"_{k}") for k in key), "n_tiles")
+    on = (F.col("component") == F.col("_component")) & (F.col("step") == F.col("_step")) & F.col("kind").eqNullSafe(F.col("_kind"))
+    placed = dealt.join(c, on).withColumn("id", F.xxhash64("component", "step", "kind", F.pmod(F.xxhash64("node"), F.col("n_tiles")).cast("int")))
+    return placed.join(stored(sides, "tile-pairs"), "id").select("tiles", "side", "node", "n", "label")
+
+
+def tile_links(rows: pa.Table) -> pa.Table:
+    """Links (a, b) between the sets of two tiles, or of one, that join all their classes which any link joins.
+
+    ``rows``: side, node, label, hashes. A set's overlaps with all others are counted from the lists of their shingles;
+    sets that are in one class by then are not looked at.
+    """
+    side, node = (rows[c].to_numpy() for c in ("side", "node"))
+    label = rows["label"].to_pylist()
+    sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"].to_pylist()]
+    parent = {x: x for x in label}
+    second = np.flatnonzero(side == 1)
+    first = np.flatnonzero(side == 0)
+    others = second if len(second) else first
+    a, b, open_classes = [], [], len(parent)
+    if len(others) and open_classes > 1:
+        sizes = np.array([len(sets[j]) for j in others])
+        tokens, token = np.unique(np.concatenate([sets[j] for j in others]), return_inverse=True)
+        lists = np.repeat(np.arange(len(others)), sizes)[np.argsort(token, kind="stable")]
+        edge = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(tokens)))])
+        for i in first:
+            if open_classes == 1:
+                break
+            root = _root(parent, label[i])
+            away = np.array([_root(parent, label[j]) != root for j in others])
+            if not away.any():
+                continue
+            at = np.minimum(np.searchsorted(tokens, sets[i]), len(tokens) - 1)
+            own = at[tokens[at] == sets[i]]
+            n = edge[own + 1] - edge[own]
+            both = np.bincount(lists[np.repeat(edge[own], n) + runs(n)], minlength=len(others))
+            for k in np.flatnonzero(away & (both > 0) & (DEN * both >= NUM * (sizes + len(sets[i]) - both))):
+                x, y = _root(parent, label[i]), _root(parent, label[others[k]])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    open_classes -= 1
+                    a.append(node[i]), b.append(node[others[k]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: DataFrame, measured: DataFrame, k: int = K, members: int = MEMBERS, held: int = HELD) -> DataFrame:
     """(node, component) of the documents that links join, from ``pairs`` (a, b, long) of first documents of equal sets.
 
     Pairs hang together in clusters, which no link leaves. Small clusters meet in bins, each set once, and a pair is
     compared only while its two sets are in different classes: a set takes over the answers of a set that it is linked
-    with. In clusters of more than ``members`` documents or ``held`` shingles, pairs are verified one by one and classes
-    are made by Spark, in rounds of wider and wider steps along the long lists, and at last all pairs of different classes.
+    with. In clusters of more than ``members`` documents or ``held`` shingles, pairs are verified one by one, and then
+    all sets of different classes in tiles, so no task holds more than two tiles.
     """
     clusters = stored(components(pairs), "clusters")
     size = measured.groupBy("doc_id").agg(F.sum("n_shingles").alias("n"))
     weighed = clusters.join(size.withColumnRenamed("doc_id", "node"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
     weighed = stored(weighed.withColumn("large", (F.col("docs") > members) | (F.col("n") > held)), "clusters")
     total, large = weighed.agg(F.sum(F.when(~F.col("large"), F.col("n"))), F.count_if("large")).first()
-    bins = max(1, -(-(total or 0) // max(1, held // 8)))  # small bins for many tasks; a cluster of up to ``held`` may fill one alone
+    bins = max(1, -(-(total or 0) // max(1, held // 4)))
     small = weighed.where(~F.col("large")).select("component", F.pmod(F.xxhash64("component"), F.lit(bins)).alias("bin"))
     binned = clusters.join(small, "component")
     sets = whole_sets(docs, binned.select(F.col("node").alias("doc_id"), "component", "bin"), k)
@@ -432,14 +469,13 @@ def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: Data
         return stored(found, "classes")
     inside = stored(clusters.join(weighed.where("large"), "component").select("node"), "large")
     links = stored(verified(docs, stored(pairs.join(inside.withColumnRenamed("node", "a"), "a", "left_semi").select("a", "b"), "pairs"), k), "links")
-    copied = copies.join(inside.withColumnRenamed("node", "first"), "first")
-    nodes = inside.select("node", F.col("node").alias("first")).unionByName(copied.select(F.col("doc_id").alias("node"), "first"))
-    for step in (2, 8, 32, 128, 512, 2048, None):
-        labels = nodes.join(components(links).withColumnRenamed("node", "first"), "first", "left").select("node", F.coalesce("component", "first").alias("component"))
-        more = stored(_first_of(later_pairs(lists, labels, step), copies), "pairs")
-        if not more.isEmpty():
-            links = stored(links.unionByName(verified(docs, more, k)), "links")
-    return stored(found.unionByName(components(links)), "classes")
+    labels = inside.join(components(links).withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sized = measured.where("n_shingles > 0").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n")).distinct()
+    large_clusters = clusters.join(weighed.where("large").select("component"), "component")
+    dealt = stored(tile_members(large_clusters.join(labels, "node").join(sized, "node"), members, held), "tile-members")
+    whole = whole_sets(docs, dealt.select(F.col("node").alias("doc_id")).distinct(), k).select(F.col("doc_id").alias("node"), (F.octet_length("hashes") / 8).cast("bigint").alias("n"), "hashes")
+    more = dealt.join(stored(whole, "tile-sets"), ["node", "n"]).groupBy("tiles").applyInArrow(tile_links, "a bigint, b bigint")
+    return stored(found.unionByName(components(links.unionByName(stored(more, "tile-links")))), "classes")
 
 
 def _first_of(pairs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -458,16 +494,18 @@ def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES)
     # Apart from the join, so that Spark may split a set that very many documents have.
     equal = stored(known.groupBy("f", "g", "n_shingles").agg(F.min("doc_id").alias("first")), "first-documents")
     same = stored(known.join(equal, ["f", "g", "n_shingles"]).select("doc_id", "first"), "equal-sets")
-    # A doc_id of several different texts stands for all of them: its sets then stay apart and are joined at the end.
-    several = not same.groupBy("doc_id").count().where("count > 1").isEmpty()
-    copies = same.where(F.lit(not several) & (F.col("doc_id") != F.col("first")))
+    # A doc_id of several different texts stands for all of them: it stays apart as a node and is joined at the end.
+    several = stored(same.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several-texts")
+    single = same.join(several, "doc_id", "left_anti")
+    lowest = stored(single.groupBy("first").agg(F.min("doc_id").alias("single")), "first-documents")
+    # The first document of equal sets is one of a single text, if there is any.
+    copies = single.join(lowest, "first").where(F.col("doc_id") != F.col("single")).select("doc_id", F.col("single").alias("first"))
     lists = stored(index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k), "index-lists")
     classes = classified(docs, lists, stored(_first_of(first_pairs(lists), copies), "pairs"), copies, measured, k)
-    if several:
-        ends = same.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
+    if not several.isEmpty():
+        ends = same.join(several, "doc_id").join(lowest, "first", "left").select(F.col("doc_id").alias("a"), F.coalesce("single", "first").alias("b"))
         classes = components(classes.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(ends))
-    else:
-        classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
     return (
         measured.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

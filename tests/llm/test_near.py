@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from psephos.llm import near
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -64,6 +66,40 @@ def test_groups_against_brute_force(spark, monkeypatch):
     assert result(spark, docs) == brute(docs)
     monkeypatch.setattr(near.classified, "__defaults__", (near.K, 3, 200))  # nearly all clusters are large
     assert result(spark, docs) == brute(docs)
+    again = docs + [(docs[0][0], docs[30][1]), (5001, docs[0][1]), (docs[5][0], docs[-1][1]), (5000, docs[5][1]), (5000, docs[5][1])]
+    assert result(spark, again) == brute(again)
+
+
+def test_large_group_meets_in_tiles(spark):
+    """A group of more than MEMBERS documents with the production limits; some sets are linked only through few others."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.012 else f"x{rng.randrange(9)}" for w in base)) for i in range(near.MEMBERS + 150)]
+    docs += [(5000 + k, " ".join(base[: 60 - k])) for k in range(30)] + [(6000 + k, " ".join(base[k:] + [f"y{j}" for j in range(k)])) for k in range(25)]
+    assert result(spark, docs) == brute(docs)
+
+
+def test_blocks_are_skipped():
+    rng = np.random.default_rng(5)
+    size = np.sort(rng.integers(20, 4000, 700))
+    place = (rng.random(700) * size * 0.3).astype(int)
+    order = np.lexsort((place, size))
+    size, place = size[order], place[order]
+    a, b, skipped = near.spanning(size, place)
+    parent = list(range(700))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in zip(np.concatenate(a), np.concatenate(b), strict=True):
+        assert near._possible(size[x], place[x], size[y], place[y], near.SHARED - 1)
+        parent[root(x)] = root(y)
+    for x in range(700):
+        for y in np.flatnonzero(near._possible(size[x], place[x], size, place, near.SHARED - 1)):
+            assert root(x) == root(y)
+    assert skipped > 0
 
 
 def test_one_id_of_several_texts_is_one_document(spark):
