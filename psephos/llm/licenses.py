@@ -4,12 +4,12 @@ A header is any line of a file, wherever it stands, any sentence of a line, or a
 strong cues (cue terms but for stop words) in a row, at most one other line between two of them, so wrapped notices
 count as one text. A licence file is one with a licence file's name, taken as a whole.
 Both are compared with all templates by the cosine of TF-IDF vectors (weights from the templates; a term that no
-template has weighs as one that a single template has). Only lines that can reach the threshold are taken apart: a
-line without any of the templates' cue terms shares so little weight with each of them that its cosine stays below it
-(``cue_terms`` proves that bound, so the filter loses nothing).
+template has weighs as one that a single template has), by joins of terms in Spark. One pass over the texts sends only
+parts there that can reach the threshold: the cosine with a template is at most the length of the template's part in
+the terms that both have, so a part whose terms hold less of each template is left out and nothing is lost.
 
 A file's licence is that of its best header, else that of the licence file in the nearest directory above it, found by
-joining the file's ancestor directories with the directories of licence files.
+joining the file's ancestor directories with the directories of licence files. Terms ignore the case of A-Z only.
 
 Cases: null text states nothing; null path has no directory and inherits nothing; several licences in a file or
 directory: the highest cosine, then the name, but "All rights reserved." only where nothing else is found, as
@@ -22,12 +22,16 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import stored
+from .words import LOWER, slices, word_bounds, word_hashes
 
 THRESHOLD = 0.6
 
@@ -61,8 +65,17 @@ SENTENCE_END = "(?<=[.!?;]) +(?=[A-Z])"
 FILE_NAMES = "(?i)^(un)?licen[cs]e|^copying|^notice"
 
 
+_AZ = {k: k + 32 for k in range(65, 91)}
+#: Terms begin with runs of these bytes, once A-Z are small letters.
+_RUNS = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyz0123456789"))
+
+
 def terms(text: str) -> list[str]:
-    return re.findall(TERM, text.lower())
+    return re.findall(TERM, text.translate(_AZ))
+
+
+def _small(text: str | Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
@@ -104,7 +117,7 @@ def _best(texts: DataFrame, key: str, templates: list[tuple[str, str]], threshol
     # Both tables are as large as the templates, which are given by the caller's program.
     table = spark.createDataFrame(weights, "template int, license string, term string, w double")
     idfs = spark.createDataFrame(list(idf.items()), "term string, idf double")
-    found = texts.select(key, "part", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({TERM})"), 1)).alias("term"))
+    found = texts.select(key, "part", F.explode(F.regexp_extract_all(_small("text"), F.lit(f"({TERM})"), 1)).alias("term"))
     bag = found.groupBy(key, "part", "term").agg(F.count("*").alias("n")).join(F.broadcast(idfs), "term", "left")
     bag = bag.withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
     norm = bag.groupBy(key, "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
@@ -114,51 +127,129 @@ def _best(texts: DataFrame, key: str, templates: list[tuple[str, str]], threshol
     return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
-def _cue(text: Column, cues: list[str]) -> Column:
-    """Whether a text has any of the terms."""
-    return F.lower(text).rlike(f"(^|[^a-z0-9])({'|'.join(map(re.escape, cues))})([^a-z0-9]|$)")
+class Bound:
+    """What the terms of a text may reach: for each template the sum of squared weights of the terms that both have.
 
+    The vectorised form tells terms by the hash of their first run of letters and digits; terms that begin alike are
+    added up, so its sums are never too small.
+    """
 
-def _reaches(text: Column, weights: list[tuple[int, str, str, float]], threshold: float) -> Column:
-    """Whether a text may reach the threshold: by the bound of ``cue_terms``, its cosine with a template is at most the length of the template's part in the text's terms."""
-    n = max(w[0] for w in weights) + 1
-    squares: dict[str, list[float]] = {}
-    for k, _, t, w in weights:
-        squares.setdefault(t, [0.0] * n)[k] += w * w
-    table = F.create_map(*[x for t, v in squares.items() for x in (F.lit(t), F.array(*map(F.lit, v)))])
-    seen = F.array_intersect(F.array(*map(F.lit, squares)), F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1))
-    sums = F.aggregate(seen, F.array_repeat(F.lit(0.0), n), lambda a, t: F.zip_with(a, table[t], lambda x, y: x + y))
-    return F.array_max(sums) >= (threshold * 0.999) ** 2
+    def __init__(self, weights: list[tuple[int, str, str, float]], threshold: float):
+        self.least = (threshold * 0.999) ** 2
+        n = max(w[0] for w in weights) + 1
+        self.squares: dict[str, np.ndarray] = {}
+        for k, _, t, w in weights:
+            self.squares.setdefault(t, np.zeros(n))[k] += w * w
+        strong = [c for c in cue_terms(weights, threshold) if c not in STOP_WORDS]
+        self.strong = re.compile(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, strong))})(?![a-z0-9])")
+        heads: dict[str, np.ndarray] = {}
+        for t, v in self.squares.items():
+            heads[t.split(".")[0]] = heads.get(t.split(".")[0], np.zeros(n)) + v
+        data = np.frombuffer(" ".join(heads).encode(), np.uint8)
+        starts, ends, _ = word_bounds(data, np.array([0, len(data)]), _RUNS)
+        hashes = word_hashes(data, starts, ends)
+        order = np.argsort(hashes)
+        self.hashes, self.table = hashes[order], np.array(list(heads.values()))[order]
+        self.is_strong = np.isin(np.array(list(heads)), [c.split(".")[0] for c in strong])[order]
+
+    def reached(self, text: str) -> bool:
+        found = [self.squares[t] for t in set(terms(text)) if t in self.squares]
+        return bool(found) and np.sum(found, axis=0).max() >= self.least
+
+    def cued(self, text: str) -> bool:
+        return self.strong.search(text.translate(_AZ)) is not None
+
+    def known(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The byte offsets of the runs that begin a template's term, and which of the table's each is."""
+        data = LOWER[data]
+        starts, stops, _ = word_bounds(data, ends, _RUNS)
+        hashes = word_hashes(data, starts, stops)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        mine = np.flatnonzero(self.hashes[at] == hashes)
+        return starts[mine], at[mine]
+
+    def groups(self, group: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """Which of n groups of terms may reach the threshold."""
+        pairs = np.unique(group * np.int64(len(self.hashes)) + term)
+        group, term = pairs // len(self.hashes), pairs % len(self.hashes)
+        most = np.zeros(n)
+        for k in range(self.table.shape[1]):
+            most = np.maximum(most, np.bincount(group, self.table[term, k], n))
+        return most >= self.least
+
+
+def text_parts(lines: dict[int, str], single: list[int], bound: Bound) -> list[str]:
+    """The different lines and sentences of ``single``, and blocks of cued lines, that may reach the threshold."""
+    out: dict[str, None] = {}
+    for k in single:
+        sentences = (t for t in re.split(SENTENCE_END, lines[k]) if bound.cued(t))
+        out.update((t, None) for t in [lines[k], *sentences] if bound.reached(t))
+    at = [k for k in sorted(lines) if bound.cued(lines[k])]
+    for i in range(len(at)):
+        for j in range(i + 1, min(len(at), i + BLOCK_LINES)):
+            if at[j] - at[j - 1] > 2:
+                break
+            block = " ".join(lines[k] for k in at[i : j + 1])
+            if bound.reached(block):
+                out[block] = None
+    return list(out)
 
 
 def headers(texts: DataFrame, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
     """The lines, sentences and blocks of (_row, text) that may be headers: _row, part (a hash of the text), text."""
-    cues = cue_terms(weights, threshold)
-    strong = [c for c in cues if c not in STOP_WORDS]
-    lines = texts.where(_cue(F.col("text"), cues)).select("_row", F.posexplode(F.split("text", "\n")).alias("pos", "text")).where(_cue(F.col("text"), cues))
-    # A line and its sentences in one pass; most lines have no strong cue.
-    split = F.filter(F.split("text", SENTENCE_END), lambda t: _cue(t, strong))
-    texts_of = F.when(_cue(F.col("text"), strong), F.array_union(F.array("text"), split)).otherwise(F.array("text"))
-    single = lines.select("_row", F.explode(texts_of).alias("text"))
-
-    marked = lines.where(_cue(F.col("text"), strong)).dropDuplicates(["_row", "pos"])
-    order = Window.partitionBy("_row").orderBy("pos")
-    first = F.coalesce(F.col("pos") - F.lag("pos").over(order) > 2, F.lit(True)).cast("bigint")
-    runs = marked.withColumn("first", first).withColumn("run", F.sum("first").over(order))
-    whole = runs.groupBy("_row", "run").agg(F.array_sort(F.collect_list(F.struct("pos", "text")))["text"].alias("lines"))
-    # A run that can't reach the threshold has no block that can.
-    whole = whole.where(F.size("lines") > 1).where(_reaches(F.array_join("lines", " "), weights, threshold))
-    starts = whole.select("_row", "lines", F.explode(F.sequence(F.lit(1), F.size("lines") - 1)).alias("i"))
-    ends = F.sequence(F.lit(2), F.least(F.lit(BLOCK_LINES), F.size("lines") - F.col("i") + 1))
-    blocks = starts.select("_row", F.explode(F.transform(ends, lambda n: F.array_join(F.slice("lines", F.col("i"), n), " "))).alias("text"))
-    return single.unionByName(blocks).where(_reaches(F.col("text"), weights, threshold)).select("_row", F.xxhash64("text").alias("part"), "text")
+    bound = Bound(weights, threshold)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, ends in slices(batches):
+            breaks = np.union1d(np.flatnonzero(data == 10) + 1, ends)
+            breaks = breaks[breaks < len(data)]  # where lines begin; an empty last line is none
+            if not len(breaks):
+                continue
+            start, term = bound.known(data, ends)
+            line = np.searchsorted(breaks, start, "right") - 1
+            good = bound.groups(line, term, len(breaks))
+            text_of = np.searchsorted(ends, breaks, "right") - 1
+            cued = np.unique(line[bound.is_strong[term]])
+            # Lines with cues, at most one other between two of them, are a run; one that can't reach the threshold has no block that can.
+            apart = np.ones(len(cued), bool)
+            apart[1:] = (np.diff(cued) > 2) | (np.diff(text_of[cued]) > 0)
+            run = np.cumsum(apart) - 1
+            place = np.searchsorted(cued, line)
+            inside = np.flatnonzero((place < len(cued)) & (cued[np.minimum(place, max(0, len(cued) - 1))] == line)) if len(cued) else np.zeros(0, np.int64)
+            runs_good = bound.groups(run[place[inside]], term[inside], int(apart.sum())) if len(cued) else np.zeros(0, bool)
+            wanted = np.union1d(np.flatnonzero(good), cued[runs_good[run]])
+            found: dict[int, dict[int, str]] = {}
+            stops = np.append(breaks[1:], len(data))
+            for k in wanted.tolist():
+                raw = data[breaks[k] : stops[k]].tobytes().decode()
+                found.setdefault(int(text_of[k]), {})[k] = raw.removesuffix("\n")
+            rows, out = [], []
+            for i, lines in found.items():
+                texts = text_parts(lines, [k for k in lines if good[k]], bound)
+                rows += [i] * len(texts)
+                out += texts
+            if out:
+                yield pa.record_batch({"_row": part.column("_row").take(pa.array(rows)), "text": pa.array(out, pa.string())})
+
+    return texts.mapInArrow(scan, "_row bigint, text string").select("_row", F.xxhash64("text").alias("part"), "text")
+
+
+def _reaching(texts: DataFrame, bound: Bound) -> DataFrame:
+    """The rows of (key, text) whose whole texts may reach the threshold."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, ends in slices(batches):
+            start, term = bound.known(data, ends)
+            yield part.filter(pa.array(bound.groups(np.searchsorted(ends, start, "right") - 1, term, len(part))))
+
+    return texts.mapInArrow(scan, texts.schema)
 
 
 def stated(texts: DataFrame, key: str, longest: int, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """The keys of (key, text) whose whole text, of at most ``longest`` characters, is a licence statement: key, license, cosine."""
     templates = templates or TEMPLATES
-    cues = cue_terms(template_weights(templates)[0], threshold)
-    whole = texts.where((F.length("text") <= longest) & _cue(F.col("text"), cues)).select(key, F.lit(0).alias("part"), "text")
+    short = texts.where(F.length("text") <= longest).select(key, F.lit(0).alias("part"), "text")
+    whole = _reaching(short, Bound(template_weights(templates)[0], threshold))
     return _best(whole.dropDuplicates([key]), key, templates, threshold)
 
 
