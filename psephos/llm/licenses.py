@@ -2,7 +2,7 @@
 
 A header is any line of a file, wherever it stands, any sentence of a line, or a block: up to ``BLOCK_LINES`` lines with
 strong cues (cue terms but for stop words) in a row, at most one other line between two of them, so wrapped notices
-count as one text. A licence file is one with a licence file's name, taken as a whole.
+count as one text. A licence file is one with a licence file's name; it is compared as a whole and by its headers.
 Both are compared with all templates by the cosine of TF-IDF vectors (weights from the templates; a term that no
 template has weighs as one that a single template has), by joins of terms in Spark. One pass over the texts sends only
 parts there that can reach the threshold: the cosine with a template is at most the length of the template's part in
@@ -264,7 +264,7 @@ def effective_licenses(files: DataFrame, key: str = "path", templates: list[tupl
     templates = templates or TEMPLATES
     rows = files.select(F.col(key).alias("key"), "path", "text").withColumn("_row", F.xxhash64("key", "path", "text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES), F.lit(False))
-    heads = headers(rows.where(~is_file).select("_row", "text"), template_weights(templates)[0], threshold)
+    heads = headers(rows.select("_row", "text"), template_weights(templates)[0], threshold)
     whole = rows.where(is_file).select("_row", F.xxhash64("text").alias("part"), "text")
     direct = stored(_best(heads.unionByName(whole).dropDuplicates(["_row", "part"]), "_row", templates, threshold), "licenses")
 
@@ -292,3 +292,48 @@ def effective_licenses(files: DataFrame, key: str = "path", templates: list[tupl
         origin.alias("origin"),
         F.when(F.col("license").isNull(), F.col("dir")).alias("source_dir"),
     )
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def oracle_sql(opening_chars: int) -> str:
+    """DuckDB SQL for the query over documents, with the templates and the threshold of this module."""
+    small = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
+    strong = "|".join(re.escape(c) for c in cue_terms(template_weights(TEMPLATES)[0], THRESHOLD) if c not in STOP_WORDS)
+    cued = f"regexp_matches({small('text')}, '(^|[^a-z0-9])({strong})([^a-z0-9]|$)')"
+    bag = f"(SELECT {{0}}, term, count(*) AS n FROM (SELECT {{0}}, unnest(regexp_extract_all({small('text')}, '{TERM}')) AS term FROM {{1}}) GROUP BY ALL)".format
+    best = "min({{'weak': weak, 'c': -cosine, 'license': license}})".replace("{{", "{").replace("}}", "}")
+
+    def scored(key: str, rows: str) -> str:
+        """(key, weak, license, cosine) of the rows' texts that reach the threshold."""
+        return f"""(SELECT {key}, weak, license, cosine FROM (
+            SELECT {key}, text, k, round(sum(x * w) / max(norm), 9) AS cosine FROM (
+                SELECT {key}, text, term, n * coalesce(idf, other) AS x, sqrt(sum((n * coalesce(idf, other)) ** 2) OVER (PARTITION BY {key}, text)) AS norm
+                FROM {bag(f"{key}, text", f"(SELECT DISTINCT {key}, text FROM {rows})")} b LEFT JOIN idf USING (term), o) x JOIN tw USING (term) GROUP BY {key}, text, k) z
+            JOIN t USING (k) WHERE cosine >= {THRESHOLD})"""
+
+    return f"""
+WITH t(k, license, text, weak) AS (VALUES {", ".join(f"({k}, {_sql_text(n)}, {_sql_text(x)}, {terms(x) == RESERVED})" for k, (n, x) in enumerate(TEMPLATES))}),
+tb AS {bag("k", "t")},
+idf AS (SELECT term, ln((1 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM tb GROUP BY term),
+o AS (SELECT ln((1 + {len(TEMPLATES)}) / 2) + 1 AS other),
+tw AS (SELECT k, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tb JOIN idf USING (term)),
+d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, string_split(text, chr(10)) AS lines FROM documents),
+f AS (SELECT DISTINCT doc_id FROM {scored("doc_id", f"(SELECT doc_id, lines[1] AS text FROM d WHERE length(lines[1]) <= {opening_chars})")}),
+l AS (SELECT doc_id, unnest(generate_series(1, len(lines))) AS pos, unnest(lines) AS text FROM d),
+c AS (SELECT * FROM l WHERE {cued}),
+r AS (SELECT *, row_number() OVER w AS i, sum(fresh) OVER w AS run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS fresh FROM c) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+b AS (SELECT x.doc_id, string_agg(m.text, ' ' ORDER BY m.i) AS text FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.run = y.run AND y.i > x.i AND y.i < x.i + {BLOCK_LINES}
+    JOIN r m ON m.doc_id = x.doc_id AND m.i BETWEEN x.i AND y.i GROUP BY x.doc_id, x.i, y.i),
+s AS (SELECT doc_id, text FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;]) +([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS text FROM c) WHERE {cued}),
+p AS (SELECT doc_id, text FROM l UNION ALL SELECT doc_id, text FROM s UNION ALL SELECT doc_id, text FROM b UNION ALL SELECT doc_id, text FROM d JOIN f USING (doc_id)),
+h AS (SELECT doc_id, {best} AS b FROM {scored("doc_id", "p")} GROUP BY doc_id),
+w AS (SELECT d.doc_id, d.folder, f.doc_id IS NOT NULL AS is_file, h.b.license AS license, -h.b.c AS cosine FROM d LEFT JOIN f USING (doc_id) LEFT JOIN h USING (doc_id)),
+v AS (SELECT folder, min({{'c': -cosine, 'license': license}}) AS b FROM w WHERE is_file AND license IS NOT NULL GROUP BY folder)
+SELECT w.doc_id, coalesce(w.license, v.b.license, 'none') AS license, coalesce(w.cosine, -v.b.c, 0.0) AS cosine,
+    CASE WHEN w.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN v.folder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+    CASE WHEN w.license IS NULL THEN v.folder END AS source_dir
+FROM w LEFT JOIN v ON w.folder = v.folder
+"""

@@ -3,6 +3,8 @@ import re
 import textwrap
 from collections import Counter
 
+import duckdb
+
 from psephos.llm import licenses, queries
 
 
@@ -89,16 +91,17 @@ def brute(docs):
                     break
                 yield " ".join(lines[k] for k in at[i : j + 1])
 
-    whole = {i: best([text]) if text is not None and len(text) <= queries.LICENCE_CHARS else None for i, text, *_ in docs}
+    is_file = {i: text is not None and len(text.split("\n")[0]) <= queries.OPENING_CHARS and best([text.split("\n")[0]]) is not None for i, text, *_ in docs}
+    own_of = {i: best([*parts(text or ""), *([text] if is_file[i] else [])]) for i, text, *_ in docs}
     folders = {}
     for i, _, lang, source in docs:
-        if whole[i]:
-            folders.setdefault(f"{source}/{lang}", []).append((-whole[i][1], whole[i][0]))
+        if is_file[i] and own_of[i]:
+            folders.setdefault(f"{source}/{lang}", []).append((-own_of[i][1], own_of[i][0]))
     out = []
-    for i, text, lang, source in docs:
-        own, folder = whole[i] or best(parts(text or "")), f"{source}/{lang}"
+    for i, _, lang, source in docs:
+        own, folder = own_of[i], f"{source}/{lang}"
         if own:
-            out.append((i, own[0], "file" if whole[i] else "header", None))
+            out.append((i, own[0], "file" if is_file[i] else "header", None))
         elif folder in folders:
             out.append((i, min(folders[folder])[1], "inherited", folder))
         else:
@@ -109,6 +112,8 @@ def brute(docs):
 def test_query_inherits_from_licence_documents(spark, tmp_path):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source").collect()
     docs = [tuple(r) for r in real] + [
+        (90006, "Copyright 2024 Foo Inc. All rights reserved.\nReleased under the MIT License.", "fr", "src9"),
+        (90007, "x. All rights reserved. Y", "fr", "src9"),
         (90001, "A.\nReleased under the MIT License.", "en", "src1"),
         (90002, "Licensed under the Apache License, Version 2.0.", "de", "src2"),
         (90003, "All rights reserved.\n" * 100, "fr", "src3"),
@@ -119,3 +124,7 @@ def test_query_inherits_from_licence_documents(spark, tmp_path):
     found = sorted((r.doc_id, r.license, r.origin, r.source_dir) for r in queries.op3_license_scan(spark, str(tmp_path)).collect())
     assert found == brute(docs)
     assert {o for _, _, o, _ in found} == {"file", "header", "inherited", "none"}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    by_sql = db.execute(f"SELECT doc_id, license, origin, source_dir FROM ({queries.ORACLES['op3_license_scan']})").fetchall()
+    assert sorted(by_sql) == found
