@@ -22,9 +22,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import Column, DataFrame
@@ -42,16 +44,15 @@ CONTROL = (START, END, ROLE, ROLE_END, "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>
 ESCAPE = "\u001a"
 _HIDE = re.compile("|".join(f"{re.escape(c[0])}(?={ESCAPE}*{re.escape(c[1:])})" for c in CONTROL))
 _SHOW = re.compile("|".join(f"({re.escape(c[0])}){ESCAPE}(?={ESCAPE}*{re.escape(c[1:])})" for c in CONTROL))
-_TURN = re.compile(f"{re.escape(START)}{re.escape(ROLE)}(.*?){re.escape(ROLE_END)}(.*?){re.escape(END)}", re.S)
 
 
 def escaped(text: str) -> str:
     """The text without a control string: each gets an escape sign behind its first character."""
-    return _HIDE.sub(lambda m: m[0] + ESCAPE, text)
+    return _HIDE.sub(lambda m: m[0] + ESCAPE, text) if "<" in text or "[" in text else text
 
 
 def unescaped(text: str) -> str:
-    return _SHOW.sub(lambda m: m[0][:-1], text)
+    return _SHOW.sub(lambda m: m[0][:-1], text) if ESCAPE in text else text
 
 
 def rendered(role: str, text: str) -> str:
@@ -60,14 +61,14 @@ def rendered(role: str, text: str) -> str:
 
 def parsed(formatted: str) -> list[tuple[str, str]]:
     """The turns (role, text) of a rendered conversation; all of the string must be turns."""
-    turns, at = [], 0
-    for m in _TURN.finditer(formatted):
-        if m.start() != at:
+    turns, at, opening = [], 0, START + ROLE
+    while at < len(formatted):
+        middle = formatted.find(ROLE_END, at)
+        end = formatted.find(END, middle)
+        if not formatted.startswith(opening, at) or middle < 0 or end < 0:
             raise ValueError(f"no turn at {at}")
-        turns.append((unescaped(m[1]), unescaped(m[2])))
-        at = m.end()
-    if at != len(formatted):
-        raise ValueError(f"no turn at {at}")
+        turns.append((unescaped(formatted[at + len(opening) : middle]), unescaped(formatted[middle + len(ROLE_END) : end])))
+        at = end + len(END)
     return turns
 
 
@@ -75,6 +76,8 @@ class Tokens:
     """A byte-level vocabulary with reserved ids behind it: start, end, and one per role."""
 
     def __init__(self, path: str = TOKENIZER, roles: tuple[str, ...] = ("system", "user", "assistant", "tool")):
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"{path}: every executor needs this vocabulary file; name its place by the parameter tokenizer")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("segments", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -177,9 +180,18 @@ def digests(conversations: DataFrame, tokenizer: str = TOKENIZER, **options) ->
             )
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("conv_id", "formatted", "ids", "mask")]
+            convs, texts, loss, head = (batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss", "head"))
+            ends = batch.column("ids").offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+            ids, starts, stops = batch.column("ids").flatten().to_numpy(), ends[:-1] - ends[0], ends[1:] - ends[0]
+            # The mask by prefix sums: it rises where the text of a learned turn begins and falls behind the turn's last id.
+            learned = np.array(loss, bool)
+            steps = np.zeros(len(ids) + 1, np.int64)
+            np.add.at(steps, (starts + np.array(head, np.int64))[learned], 1)
+            np.add.at(steps, stops[learned], -1)
+            mask = np.cumsum(steps)[:-1] > 0
+            spoken = mask & (ids != tokens.end)
             done = []
-            for conv, formatted, ids, mask in zip(*columns, strict=True):
+            for k, (conv, formatted) in enumerate(zip(convs, texts, strict=True)):
                 if key != (conv,):
                     if key is not None:
                         done.append(row())
@@ -187,17 +199,17 @@ def digests(conversations: DataFrame, tokenizer: str = TOKENIZER, **options) ->
                 for role, text in parsed(formatted):
                     state["turns"].update(f"{role}\n{text}\n".encode())
                     state["n"] += 1
-                learned = [i for i, m in zip(ids, mask, strict=True) if m and i != tokens.end]
-                text = tokens.encoding.decode(learned)
+                part = slice(starts[k], stops[k])
+                text = tokens.encoding.decode(ids[part][spoken[part]].tolist())
                 state["loss"].update(text.encode())
                 state["loss_chars"] += len(text)
                 state["chars"] += len(formatted)
-                state["tokens"] += len(ids)
-                state["loss_tokens"] += sum(mask)
+                state["tokens"] += int(stops[k] - starts[k])
+                state["loss_tokens"] += int(np.count_nonzero(mask[part]))
             yield from done
         if key is not None:
             yield row()
 
-    turns = formatted_turns(conversations, tokenizer, **options).withColumn("mask", loss_mask(F.col("ids"), F.col("head"), F.col("loss")))
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "ids", "mask")
+    turns = formatted_turns(conversations, tokenizer, **options)
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "formatted", "ids", "head", "loss")
     return ordered.mapInArrow(read, DIGEST_SCHEMA)

@@ -91,10 +91,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def gram_counts(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, np.ndarray]:
-    """The n-gram counts of each language over a sample of (doc_id, text, lang) by hash."""
-    total = rows.count()
-    share = min(1.0, sample_rows / max(1, total))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(share * 1_000_000)).repartition(SAMPLE_PARTS)
+    """The n-gram counts of each language over a sample of (doc_id, text, lang) by hash: as many rows of each language, or all that it has."""
+    totals = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row per language
+    each = max(1, sample_rows // max(1, len(totals)))
+    # Hashes are whole numbers from -2**63 on; each language's share of them is taken.
+    up_to = [x for lang, n in totals.items() for x in (F.lit(lang), F.lit(min(2**63 - 1, each * 2**64 // n - 2**63)))]
+    sample = (rows.where(F.xxhash64("doc_id", "text") <= F.create_map(*up_to)[F.col("lang")]) if up_to else rows).repartition(SAMPLE_PARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
