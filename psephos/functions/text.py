@@ -11,9 +11,30 @@ from pyspark.sql import functions as F
 MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠŽšžŁłŃńŚśŹźŻżĄąĘęĆćĞğİıŞş"
 PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySZszLlNnSsZzZzAaEeCcGgIiSs"
 #: Words in ballot names that are no part of a name.
-NOISE = ("JR", "SR", "II", "III", "IV", "DR", "MR", "MRS", "MS", "HON", "REV")
+NOISE = ("MR", "MRS", "MS", "MISS", "DR", "PHD", "MD", "ESQ", "HON", "REV", "JR", "SR", "II", "III", "IV", "V", "REP", "SEN", "THE")
 #: Entries of returns that are no persons.
-NOT_PERSONS = ("WRITEIN", "WRITE-IN", "SCATTERING", "OVERVOTE", "OVERVOTES", "UNDERVOTE", "UNDERVOTES", "BLANK", "BLANKS", "BLANK VOTE", "NONE OF THESE CANDIDATES", "NONE OF THE ABOVE", "VOID", "OTHER")
+NOT_PERSONS = (
+    "", "ALL OTHERS", "BLANK", "BLANK VOTE", "BLANK VOTES", "BLANKS", "EXHAUSTED BALLOT", "EXHAUSTED BALLOTS", "NAN", "NONE OF THESE CANDIDATES",
+    "OTHER", "OTHER WRITE-INS", "OTHERS", "OVER VOTE", "OVER VOTES", "OVERVOTE", "OVERVOTES", "SCATTER", "SCATTERED", "SCATTERING", "SPOILED", "TOTAL",
+    "UNDER VOTE", "UNDER VOTES", "UNDERVOTE", "UNDERVOTES", "VOID", "VOID VOTE", "VOID VOTES", "WRITE-IN", "WRITE-INS", "WRITEIN", "WRITEINS",
+)
+#: Labels of each party, matched as a whole.
+PARTY_LABELS = {
+    "DEMOCRAT": (
+        "D", "DEM", "DEMOCRAT", "DEMOCRATIC", "DEMOCRATIC PARTY", "DEMOCRATIC PARTY NOMINEES", "DEMOCRAT (NOT IDENTIFIED ON BALLOT)",
+        "DFL", "DEMOCRATIC-FARMER-LABOR", "DEMOCRATIC-FARM-LABOR", "DEMOCRATIC-NONPARTISAN LEAGUE", "DEMOCRATIC-NPL", "DNL",
+    ),
+    "REPUBLICAN": ("R", "REP", "REPUBLICAN", "REPUBLICAN PARTY", "REPUBLICAN (NOT IDENTIFIED ON BALLOT)", "GOP", "INDEPENDENT REPUBLICAN", "INDEPENDENT REPUBLICAN PARTY"),
+    "LIBERTARIAN": ("LIB", "LIBERTARIAN", "LIBERTARIAN PARTY"),
+    "GREEN": ("GRE", "GREEN", "GREEN PARTY"),
+    "INDEPENDENT": ("IND", "INDEPENDENT", "INDEPENDENTS", "NPA", "NO PARTY AFFILIATION", "NO PARTY PREFERENCE", "NOP", "UN", "UNA", "UNAFFILIATED", "NON", "NON-PARTY"),
+    "OTHER": ("NNE", "NONE", "OTH", "OTHER"),
+    "UNKNOWN": ("NAN", ""),
+}
+MAJOR = ("DEMOCRAT", "REPUBLICAN")
+#: Labels that hold a major party's name and are not it.
+NOT_MAJOR = ("DEMOCRATIC SOCIALIST", "NATIONAL DEMOCRATIC PARTY OF ALABAMA", "NATIONAL DEMOCRAT", "DEMOCRAT/REPUBLICAN", "UNAFFILIATED/REPUBLICAN")
+#: Ordinals of districts.
 ORDINALS = ("FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH", "SEVENTH", "EIGHTH", "NINTH", "TENTH")
 
 
@@ -39,53 +60,89 @@ def letters(x: Column) -> Column:
     return F.regexp_replace(F.upper(folded(x)), "[^A-Z]", "")
 
 
+#: Nicknames: in double quotes, straight or curly, in brackets, or in single quotes that stand apart.
+NICKNAME = "[\"\u201c][^\"\u201c\u201d]*[\"\u201d]|(?<![^\\s])['\u2018][^'\u2018\u2019]*['\u2019](?![^\\s])|\\([^)]*\\)"
+
+
 def name_tokens(x: Column) -> Column:
-    """The words of a name longer than a letter, without nicknames in quotes or brackets, titles and suffixes."""
-    bare = F.regexp_replace(folded(x), r"\([^)]*\)|\"[^\"]*\"", " ")
-    words = F.split(F.trim(F.regexp_replace(F.upper(F.regexp_replace(bare, "['’`.]", "")), "[^A-Z]+", " ")), " ")
-    return F.filter(F.array_except(words, F.array(*map(F.lit, NOISE))), lambda w: F.length(w) > 1)
+    """The words of a name longer than a letter, without nicknames in quotes or brackets, titles and suffixes.
+
+    An apostrophe joins what stands on both sides; words read in a wrong charset are mended first.
+    """
+    bare = F.regexp_replace(F.replace(unmangled(x), F.lit("\\"), F.lit("")), NICKNAME, " ")
+    plain = F.upper(folded(F.regexp_replace(bare, "['\u2018\u2019\u02bc\u00b4`]", "")))
+    words = F.split(F.trim(F.regexp_replace(plain, "[^A-Z]+", " ")), " ")
+    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*NOISE))
 
 
 def surname(x: Column) -> Column:
-    """What stands before a comma, else the last word."""
-    tokens = name_tokens(x)
-    before = name_tokens(F.substring_index(x, ",", 1))
-    return F.when(x.contains(","), F.element_at(before, -1)).otherwise(F.try_element_at(tokens, F.lit(-1)))
+    """The last word of what stands before a comma, or of all."""
+    return F.try_element_at(name_tokens(F.substring_index(x, ",", 1)), F.lit(-1))
 
 
 def first_name(x: Column) -> Column:
-    after = name_tokens(F.substring_index(x, ",", -1))
-    return F.when(x.contains(","), F.try_element_at(after, F.lit(1))).otherwise(F.try_element_at(name_tokens(x), F.lit(1)))
+    """The first word of what stands behind a comma, or of all."""
+    return F.try_element_at(name_tokens(F.substring_index(x, ",", -1)), F.lit(1))
 
 
 def token_key(x: Column) -> Column:
     """The words in alphabetical order: the same for both orders of a name."""
-    return F.array_join(F.array_sort(F.array_distinct(name_tokens(x))), "|")
+    return key_of(name_tokens(x))
+
+
+def key_of(words: Column) -> Column:
+    return F.array_join(F.array_sort(F.array_distinct(words)), "|")
 
 
 def surname_variants(x: Column) -> Column:
-    """The surname, the last two words together, and the parts of a double name."""
-    tokens = name_tokens(F.regexp_replace(F.substring_index(x, ",", 1), "-", " "))
-    last = F.try_element_at(tokens, F.lit(-1))
-    joined = F.array_join(F.slice(tokens, F.greatest(F.size(tokens) - 1, F.lit(1)), 2), "")
-    return F.array_distinct(F.filter(F.array(surname(x), last, F.when(F.size(tokens) >= 2, joined)), lambda v: v.isNotNull()))
+    """The surname (of a double name the last part), and the last two words together."""
+    return variants_of(name_tokens(F.substring_index(x, ",", 1)))
+
+
+def variants_of(words: Column) -> Column:
+    """The variants of a surname from the words before the comma."""
+    joined = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), "")
+    return F.array_distinct(F.filter(F.array(F.try_element_at(words, F.lit(-1)), F.when(F.size(words) >= 2, joined)), lambda v: v.isNotNull()))
 
 
 def is_person(x: Column) -> Column:
-    """Whether all parts of a ballot entry, which slashes separate, are names of people."""
-    return F.coalesce(F.forall(F.split(squeezed(x), "/"), lambda p: (F.trim(p) != "") & ~F.trim(p).isin(*NOT_PERSONS)), F.lit(False))
+    """False for entries that are no persons: as a whole, or in all parts that slashes separate."""
+    return ~F.forall(F.split(F.coalesce(squeezed(x), F.lit("")), "/"), lambda p: F.trim(p).isin(*NOT_PERSONS))
 
 
 def party(x: Column) -> Column:
-    """DEMOCRAT, REPUBLICAN or OTHER by exact label; null stays null."""
-    label = squeezed(x)
-    return F.when(label.isin("DEMOCRAT", "DEMOCRATIC", "DEM", "D", "DFL", "DEMOCRATIC-FARMER-LABOR"), "DEMOCRAT").when(label.isin("REPUBLICAN", "REP", "R", "GOP"), "REPUBLICAN").when(label.isNotNull(), "OTHER")
+    """The party by exact label; OTHER for labels of none, UNKNOWN for null and blank ones."""
+    label = F.coalesce(squeezed(x), F.lit(""))
+    known = F.create_map(*[F.lit(v) for name, labels in PARTY_LABELS.items() for one in labels for v in (one, name)])
+    return F.coalesce(F.try_element_at(known, label), F.lit("OTHER"))
+
+
+def ballot_party(raw: Column, simplified: Column, filed: Column) -> Column:
+    """A struct (value, source): the party on the ballot from the returns' label, their simplified label and a filing.
+
+    A major party by the label, then by the simplified one, then any party of the filing, then a minor party of the two
+    labels, then OTHER where the simplified label has it.
+    """
+    a, b, c = party(raw), party(simplified), party(filed)
+    minor = lambda p: ~p.isin("UNKNOWN", "OTHER")
+    steps = [(a.isin(*MAJOR), a, "raw"), (b.isin(*MAJOR), b, "simplified"), (minor(c), c, "filed"), (minor(a), a, "raw"), (minor(b), b, "simplified"), (b != "UNKNOWN", b, "simplified")]
+    value = source = None
+    for test, v, name in steps:
+        value = F.when(test, v) if value is None else value.when(test, v)
+        source = F.when(test, name) if source is None else source.when(test, name)
+    return F.struct(value.otherwise("UNKNOWN").alias("value"), source.otherwise("unresolved").alias("source"))
+
+
+def bucket(x: Column) -> Column:
+    """D, R or OTHER."""
+    return F.when(party(x) == "DEMOCRAT", "D").when(party(x) == "REPUBLICAN", "R").otherwise("OTHER")
 
 
 def major_party(x: Column) -> Column:
-    """The major party that a label contains, null where it contains none or both."""
+    """The major party that a label contains, null where it contains none or both, or is a party of its own."""
     label = squeezed(x)
-    d, r = label.contains("DEMOCRAT"), label.contains("REPUBLICAN")
+    own = label.isin(*NOT_MAJOR)
+    d, r = label.contains("DEMOCRAT") & ~own, label.contains("REPUBLICAN") & ~own
     return F.when(d & ~r, "DEMOCRAT").when(r & ~d, "REPUBLICAN")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -12,41 +13,53 @@ from ..functions import text
 TIERS = ("token_set", "last_first", "last_initial", "surname_unique", "tokens_within")
 
 
-def _keys(name: str) -> dict:
+def _keyed(df: DataFrame, id_: str, name: str, pool: Sequence[str]) -> DataFrame:
+    """id, p (the pool as one key, null as null), and the name's key, surname variants, first name and words."""
     c = F.col(name)
-    return {"_key": text.token_key(c), "_lasts": text.surname_variants(c), "_first": text.first_name(c), "_tokens": text.name_tokens(c)}
+    place = F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(pool))), {"ignoreNullFields": "false"})
+    parts = {"words": c, "before": F.substring_index(c, ",", 1), "after": F.substring_index(c, ",", -1)}
+    taken = df.select(F.col(id_).alias("id"), place.alias("p"), *(text.name_tokens(part).alias(n) for n, part in parts.items()))
+    return taken.select("id", "p", text.key_of(F.col("words")).alias("key"), text.variants_of(F.col("before")).alias("lasts"), F.try_element_at("after", F.lit(1)).alias("first"), "words")
+
+
+def _least_most(hits: DataFrame, roster: DataFrame, on: list[str]) -> DataFrame:
+    """(id, low, high): the least and the greatest roster id that a name meets by equal keys; equal ones mean a single hit."""
+    ends = roster.groupBy(*on).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    return hits.join(ends, on).groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, pool: Sequence[str]) -> DataFrame:
     """(row_id, roster_id, method) for each name against the roster entries of its pool (equal ``pool`` columns, null as null).
 
-    The strictest tier with any hit decides; several hits there give method ``ambiguous_<tier>`` and no id. Candidate pairs
-    come from shared words, not from all pairs of a pool: a hit of any tier shares a word or a whole key.
+    The strictest tier with any hit decides; several hits there give method ``ambiguous_<tier>`` and no id. A tier is an
+    equality join on its key with the roster's least and greatest id per key, so names that many entries share cost no
+    pairs. Only the last tier, words within a longer name, compares entries: those that have the name's rarest word in
+    the pool, for names that no tier before has decided.
     """
-    left = names.select(row_id, *(F.col(k).alias(f"_p{i}") for i, k in enumerate(pool)), *(c.alias(n) for n, c in _keys(name).items()))
-    right = roster.select(roster_id, *(F.col(k).alias(f"_p{i}") for i, k in enumerate(pool)), *(c.alias(n) for n, c in _keys(roster_name).items()))
-    words = F.array_distinct(F.concat("_tokens", "_lasts"))
-    a, b = left.withColumn("_w", F.explode(words)).alias("a"), right.withColumn("_w", F.explode(words)).alias("b")
-    condition = F.col("a._w") == F.col("b._w")
-    for i in range(len(pool)):
-        condition &= F.col(f"a._p{i}").eqNullSafe(F.col(f"b._p{i}"))
-    overlap = F.arrays_overlap("a._lasts", "b._lasts")
-    hits = [
-        (F.col("a._key") != "") & (F.col("a._key") == F.col("b._key")),
-        overlap & (F.col("a._first") == F.col("b._first")),
-        overlap & (F.substring("a._first", 1, 1) == F.substring("b._first", 1, 1)),
-        overlap,
-        (F.size("a._tokens") >= 2) & (F.size(F.array_except("a._tokens", "b._tokens")) == 0),
+    left, right = _keyed(names, row_id, name, pool), _keyed(roster, roster_id, roster_name, pool)
+    spread = lambda df: df.withColumn("last", F.explode("lasts")).withColumn("initial", F.substring("first", 1, 1))
+    a, b = spread(left), spread(right)
+    with_first = a.where(F.coalesce(F.col("first"), F.lit("")) != "")
+    tiers = [
+        _least_most(left.where("key <> ''"), right, ["p", "key"]),
+        _least_most(with_first, b, ["p", "last", "first"]),
+        _least_most(with_first, b, ["p", "last", "initial"]),
+        _least_most(a, b, ["p", "last"]),
     ]
-    tier = F.lit(None).cast("int")
-    for k in reversed(range(len(hits))):
-        tier = F.when(hits[k], k).otherwise(tier)
-    # A hit of a strict tier is one of every looser surname tier too, so the best tier per pair and its count decide.
-    pairs = a.join(b, condition).select(F.col(f"a.{row_id}").alias(row_id), F.col(f"b.{roster_id}").alias(roster_id), tier.alias("_t")).where("_t is not null").distinct()
-    best = pairs.groupBy(row_id).agg(F.min(F.struct("_t", roster_id)).alias("m"), F.collect_list("_t").alias("l"))
-    n = F.size(F.filter("l", lambda t: t == F.col("m._t")))
-    method = F.element_at(F.array(*map(F.lit, TIERS)), F.col("m._t") + 1)
-    found = best.select(row_id, F.when(n == 1, F.col(f"m.{roster_id}")).alias(roster_id), F.when(n == 1, method).otherwise(F.concat(F.lit("ambiguous_"), method)).alias("method"))
+    hits = functools.reduce(DataFrame.unionByName, (found.withColumn("tier", F.lit(k)) for k, found in enumerate(tiers)))
+    decided = hits.groupBy("id").agg(F.min(F.struct("tier", "low", "high")).alias("m"))
+    word = right.select("p", F.explode(F.array_distinct("words")).alias("word"), "id", "words")
+    often = word.groupBy("p", "word").agg(F.count("*").alias("n"))
+    longer = left.select("id", "p", F.array_distinct("words").alias("own")).where(F.size("own") >= 2).join(decided.select("id"), "id", "left_anti")
+    # A word that the pool does not have rules all its entries out.
+    known = longer.select("id", "p", "own", F.explode("own").alias("word")).join(often, ["p", "word"])
+    rarest = known.groupBy("id", "p", "own").agg(F.min(F.struct("n", "word")).alias("m"), F.count("*").alias("known")).where(F.col("known") == F.size("own"))
+    inside = rarest.select("id", "p", "own", F.col("m.word").alias("word")).join(word.select("p", "word", F.col("id").alias("other"), "words"), ["p", "word"])
+    within = inside.where(F.size(F.array_except("own", "words")) == 0).groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high"))
+    every = decided.select("id", "m.*").unionByName(within.withColumn("tier", F.lit(len(TIERS) - 1)))
+    method = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
+    single = F.col("low") == F.col("high")
+    found = every.select(F.col("id").alias(row_id), F.when(single, F.col("low")).alias(roster_id), F.when(single, method).otherwise(F.concat(F.lit("ambiguous_"), method)).alias("method"))
     return names.select(row_id).join(found, row_id, "left").withColumn("method", F.coalesce("method", F.lit("none")))
 
 

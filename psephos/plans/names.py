@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import calendar, text
+from ..functions import calendar, places, text
 from .catalog import register, table
 
 
@@ -18,10 +18,43 @@ def token_key(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.token_key(F.col("p_name")).alias("token_key"))
 
 
-@register("party_alias", "SELECT p_partkey, CASE WHEN p_type LIKE '%STEEL%' AND p_type NOT LIKE '%BRASS%' THEN 'S' ELSE 'X' END AS bucket, CASE WHEN upper(p_brand) IN ('D', 'DEM') THEN 'DEMOCRAT' ELSE 'OTHER' END AS party FROM part")
+#: Labels that parts stand for by their size, so that every party occurs.
+SAID = ("Republican Party", "dfl", "LIBERTARIAN", "", " Green ", "Democratic Socialist", "no  party preference", "GOP", "Whig", "DEMOCRAT/REPUBLICAN", "d", "oth")
+PARTY_OF = ("REPUBLICAN", "DEMOCRAT", "LIBERTARIAN", "UNKNOWN", "GREEN", "OTHER", "INDEPENDENT", "REPUBLICAN", "OTHER", "OTHER", "DEMOCRAT", "OTHER")
+_sql_list = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@register(
+    "party_alias",
+    f"""WITH s AS (SELECT p_partkey, p_size % 12 AS k, p_size % 5 AS j, {_sql_list(PARTY_OF)} AS ps FROM part),
+    t AS (SELECT p_partkey, ps[k + 1] AS party, ps[j + 1] AS simplified, {_sql_list(SAID)}[k + 1] AS said FROM s)
+    SELECT p_partkey, party, CASE party WHEN 'DEMOCRAT' THEN 'D' WHEN 'REPUBLICAN' THEN 'R' ELSE 'OTHER' END AS bucket,
+    CASE WHEN party IN ('DEMOCRAT', 'REPUBLICAN') THEN party WHEN simplified IN ('DEMOCRAT', 'REPUBLICAN') THEN simplified WHEN p_partkey % 4 = 0 THEN 'GREEN'
+        WHEN party NOT IN ('UNKNOWN', 'OTHER') THEN party WHEN simplified NOT IN ('UNKNOWN', 'OTHER') THEN simplified WHEN simplified <> 'UNKNOWN' THEN simplified ELSE 'UNKNOWN' END AS ballot_party,
+    CASE WHEN party IN ('DEMOCRAT', 'REPUBLICAN') THEN 'raw' WHEN simplified IN ('DEMOCRAT', 'REPUBLICAN') THEN 'simplified' WHEN p_partkey % 4 = 0 THEN 'filed'
+        WHEN party NOT IN ('UNKNOWN', 'OTHER') THEN 'raw' WHEN simplified <> 'UNKNOWN' THEN 'simplified' ELSE 'unresolved' END AS source
+    FROM t""",
+)
 def party_alias(spark, sf_dir):
-    steel = F.col("p_type").contains("STEEL") & ~F.col("p_type").contains("BRASS")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(steel, "S").otherwise("X").alias("bucket"), text.party(F.col("p_brand")).alias("party"))
+    """Parties by label, their bucket, and the ballot party by precedence; labels go by the parts' sizes."""
+    labels = F.array(*map(F.lit, SAID))
+    said, simplified = (F.element_at(labels, (F.col("p_size") % n + 1).cast("int")) for n in (12, 5))
+    ballot = text.ballot_party(said, simplified, F.when(F.col("p_partkey") % 4 == 0, "GRE"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.party(said).alias("party"), text.bucket(said).alias("bucket"), ballot["value"].alias("ballot_party"), ballot["source"].alias("source"))
+
+
+@register(
+    "state_codes",
+    """WITH s AS (SELECT c_custkey, c_nationkey, CASE c_nationkey WHEN 0 THEN ' al ' WHEN 1 THEN '2' WHEN 2 THEN 'new hampshire' WHEN 3 THEN '11' WHEN 4 THEN 'Puerto Rico' WHEN 5 THEN 'DC' WHEN 6 THEN '56' ELSE c_name END AS said FROM customer)
+    SELECT c_custkey, CASE c_nationkey WHEN 0 THEN 'AL' WHEN 1 THEN 'AK' WHEN 2 THEN 'NH' WHEN 3 THEN 'DC' WHEN 4 THEN 'PR' WHEN 5 THEN 'DC' WHEN 6 THEN 'WY' END AS postal,
+    CASE c_nationkey WHEN 0 THEN '01' WHEN 1 THEN '02' WHEN 2 THEN '33' WHEN 3 THEN '11' WHEN 4 THEN '72' WHEN 5 THEN '11' WHEN 6 THEN '56' END AS fips FROM s""",
+)
+def state_codes(spark, sf_dir):
+    """Customers with a state said in one of the usual ways, as postal and FIPS codes."""
+    said = F.col("c_name")
+    for k, v in enumerate([" al ", "2", "new hampshire", "11", "Puerto Rico", "DC", "56"]):
+        said = F.when(F.col("c_nationkey") == k, v).otherwise(said)
+    return table(spark, sf_dir, "customer").select("c_custkey", places.postal(said).alias("postal"), places.fips(said).alias("fips"))
 
 
 @register("code_normalize", "SELECT c_custkey, CASE WHEN regexp_extract(upper(c_name), '([A-Z0-9.]+)\\s*$', 1) SIMILAR TO '0+' THEN '0' ELSE regexp_replace(regexp_extract(upper(c_name), '([A-Z0-9.]+)\\s*$', 1), '^0+', '') END AS code, lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS fips FROM customer")

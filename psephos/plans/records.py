@@ -106,7 +106,21 @@ def under_each_assumption(spark, sf_dir):
     return seats.under_each(rows, seats.precision_band(0.5, -0.03, 0.03, 4)).select("n_nationkey", F.col("assumption").cast("int").alias("assumption"), F.round("national", 9).alias("national"))
 
 
-@register("tiered_match")
+_WORDS = "list_filter(string_split(trim(regexp_replace(upper({0}), '[^A-Z]+', ' ', 'g')), ' '), lambda w: length(w) > 1)"
+
+
+@register(
+    "tiered_match",
+    f"""WITH w AS (SELECT p_partkey, p_brand, {_WORDS.format("p_name")} AS r,
+        {_WORDS.format("CASE p_partkey % 3 WHEN 0 THEN array_to_string(list_reverse(string_split(p_name, ' ')), ' ') WHEN 1 THEN array_to_string(string_split(p_name, ' ')[2:], ' ') ELSE p_name END")} AS n FROM part),
+    k AS (SELECT p_partkey, p_brand, n, r, [n[-1], CASE WHEN len(n) >= 2 THEN n[-2] || n[-1] END] AS nl, [r[-1], CASE WHEN len(r) >= 2 THEN r[-2] || r[-1] END] AS rl FROM w),
+    p AS (SELECT a.p_partkey AS row_id, b.p_partkey AS hit, list_has_any(list_filter(a.nl, lambda x: x IS NOT NULL), list_filter(b.rl, lambda x: x IS NOT NULL)) AS same, list_sort(list_distinct(a.n)) = list_sort(list_distinct(b.r)) AS whole, a.n[1] = b.r[1] AS first, a.n[1][1] = b.r[1][1] AS initial, len(list_distinct(a.n)) >= 2 AND list_has_all(b.r, a.n) AS inside
+        FROM k a JOIN k b ON a.p_brand = b.p_brand),
+    t AS (SELECT row_id, hit, CASE WHEN whole THEN 1 WHEN same AND first THEN 2 WHEN same AND initial THEN 3 WHEN same THEN 4 WHEN inside THEN 5 END AS tier FROM p),
+    m AS (SELECT row_id, min(tier) AS tier FROM t WHERE tier IS NOT NULL GROUP BY row_id),
+    c AS (SELECT t.row_id, t.tier, count(*) AS n, min(hit) AS hit FROM t JOIN m ON t.row_id = m.row_id AND t.tier = m.tier GROUP BY ALL)
+    SELECT w.p_partkey AS row_id, CASE WHEN c.n = 1 THEN hit END AS p_partkey, coalesce(CASE WHEN c.n = 1 THEN '' ELSE 'ambiguous_' END || ['token_set', 'last_first', 'last_initial', 'surname_unique', 'tokens_within'][tier], 'none') AS method FROM w LEFT JOIN c ON c.row_id = w.p_partkey""",
+)
 def tiered_match(spark, sf_dir):
     """Part names, some with swapped or missing words, matched to the part list of their brand; unit tests check each tier."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
