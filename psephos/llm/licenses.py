@@ -5,11 +5,13 @@ strong cues (cue terms but for stop words) in a row, at most one other line betw
 count as one text. A licence file is one with a licence file's name; it is compared as a whole and by its headers.
 Both are compared with all templates by the cosine of TF-IDF vectors (weights from the templates; a term that no
 template has weighs as one that a single template has), by joins of terms in Spark. One pass over the texts sends only
-parts there that can reach the threshold: the cosine with a template is at most the length of the template's part in
-the terms that both have, so a part whose terms hold less of each template is left out and nothing is lost.
+parts there that reach the threshold up to rounding, by the same vectors in NumPy for lines and sentences and term by
+term for blocks, so nothing is lost. A run of cued lines whose terms hold too little of each template's length has no
+block that reaches it.
 
 A file's licence is that of its best header, else that of the licence file in the nearest directory above it, found by
-joining the file's ancestor directories with the directories of licence files. Terms ignore the case of A-Z only.
+joining the file's ancestor directories with the directories of licence files. Terms ignore the case of A-Z only; a
+text that shares a single term with a template doesn't state its licence.
 
 Cases: null text states nothing; null path has no directory and inherits nothing; several licences in a file or
 directory: the highest cosine, then the name, but "All rights reserved." only where nothing else is found, as
@@ -22,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -121,83 +123,116 @@ def _best(texts: DataFrame, key: str, templates: list[tuple[str, str]], threshol
     bag = found.groupBy(key, "part", "term").agg(F.count("*").alias("n")).join(F.broadcast(idfs), "term", "left")
     bag = bag.withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
     norm = bag.groupBy(key, "part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = bag.join(F.broadcast(table), "term").groupBy(key, "part", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
+    dot = bag.join(F.broadcast(table), "term").groupBy(key, "part", "template", "license").agg(F.sum(F.col("x") * F.col("w")).alias("dot"), F.count("*").alias("shared")).where("shared > 1")
     scored = dot.join(norm, [key, "part"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("cosine") >= threshold)
     best = F.min(F.struct(F.col("template").isin(weak).alias("weak"), (-F.col("cosine")).alias("c"), "license"))
     return scored.groupBy(key).agg(best.alias("b")).select(key, F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"))
 
 
 class Bound:
-    """What the terms of a text may reach: for each template the sum of squared weights of the terms that both have.
+    """What a text may reach at most, vectorised over many texts, and the exact cosine of one.
 
-    The vectorised form tells terms by the hash of their first run of letters and digits; terms that begin alike are
-    added up, so its sums are never too small.
+    Vectorised, terms are told by the hashes of their runs of letters and digits. A term with a dot is several runs, so
+    texts with such terms are judged by their shared weight alone: for each template the sum of squared weights of the
+    terms that both have, in which terms that begin alike are added up, so it is never too small.
     """
 
-    def __init__(self, weights: list[tuple[int, str, str, float]], threshold: float):
-        self.least = (threshold * 0.999) ** 2
+    def __init__(self, weights: list[tuple[int, str, str, float]], idf: dict[str, float], other: float, threshold: float):
+        self.threshold, self.least = threshold - 1e-6, (threshold * 0.999) ** 2
         n = max(w[0] for w in weights) + 1
-        self.squares: dict[str, np.ndarray] = {}
+        self.weights: dict[str, np.ndarray] = {}
         for k, _, t, w in weights:
-            self.squares.setdefault(t, np.zeros(n))[k] += w * w
+            self.weights.setdefault(t, np.zeros(n))[k] += w
+        self.idf, self.other = idf, other
         strong = [c for c in cue_terms(weights, threshold) if c not in STOP_WORDS]
         self.strong = re.compile(f"(?<![a-z0-9])(?:{'|'.join(map(re.escape, strong))})(?![a-z0-9])")
         heads: dict[str, np.ndarray] = {}
-        for t, v in self.squares.items():
-            heads[t.split(".")[0]] = heads.get(t.split(".")[0], np.zeros(n)) + v
+        for t, v in self.weights.items():
+            heads[t.split(".")[0]] = heads.get(t.split(".")[0], np.zeros(n)) + v * v
         data = np.frombuffer(" ".join(heads).encode(), np.uint8)
         starts, ends, _ = word_bounds(data, np.array([0, len(data)]), _RUNS)
         hashes = word_hashes(data, starts, ends)
         order = np.argsort(hashes)
-        self.hashes, self.table = hashes[order], np.array(list(heads.values()))[order]
-        self.is_strong = np.isin(np.array(list(heads)), [c.split(".")[0] for c in strong])[order]
+        names = np.array(list(heads))[order].tolist()
+        self.hashes, self.squares = hashes[order], np.array(list(heads.values()))[order]
+        self.plain = np.array([self.weights.get(t, np.zeros(n)) for t in names])
+        self.plain_idf = np.array([idf.get(t, other) for t in names])
+        self.is_strong = np.isin(names, [c.split(".")[0] for c in strong])
+
+    def cosine(self, bag: Mapping[str, int]) -> float:
+        """The greatest cosine of a bag of terms with a template."""
+        x = {t: n * self.idf.get(t, self.other) for t, n in bag.items()}
+        shared = [v * self.weights[t] for t, v in x.items() if t in self.weights]
+        return float(np.sum(shared, axis=0).max() / math.sqrt(sum(v * v for v in x.values()))) if shared else 0.0
 
     def reached(self, text: str) -> bool:
-        found = [self.squares[t] for t in set(terms(text)) if t in self.squares]
-        return bool(found) and np.sum(found, axis=0).max() >= self.least
+        return self.cosine(Counter(terms(text))) >= self.threshold
 
     def cued(self, text: str) -> bool:
         return self.strong.search(text.translate(_AZ)) is not None
 
-    def known(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The byte offsets of the runs that begin a template's term, and which of the table's each is."""
-        data = LOWER[data]
-        starts, stops, _ = word_bounds(data, ends, _RUNS)
-        hashes = word_hashes(data, starts, stops)
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        mine = np.flatnonzero(self.hashes[at] == hashes)
-        return starts[mine], at[mine]
-
-    def groups(self, group: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Which of n groups of terms may reach the threshold."""
-        pairs = np.unique(group * np.int64(len(self.hashes)) + term)
-        group, term = pairs // len(self.hashes), pairs % len(self.hashes)
-        most = np.zeros(n)
-        for k in range(self.table.shape[1]):
-            most = np.maximum(most, np.bincount(group, self.table[term, k], n))
-        return most >= self.least
-
 
-def text_parts(lines: dict[int, str], single: list[int], bound: Bound) -> list[str]:
-    """The different lines and sentences of ``single``, and blocks of cued lines, that may reach the threshold."""
-    out: dict[str, None] = {}
-    for k in single:
-        sentences = (t for t in re.split(SENTENCE_END, lines[k]) if bound.cued(t))
-        out.update((t, None) for t in [lines[k], *sentences] if bound.reached(t))
+class Terms:
+    """The runs of letters and digits of some texts: their byte offsets, codes, and places in the bound's table (or -1)."""
+
+    def __init__(self, bound: Bound, data: np.ndarray, ends: np.ndarray):
+        self.bound = bound
+        small = LOWER[data]
+        self.start, stops, _ = word_bounds(small, ends, _RUNS)
+        codes, self.code = np.unique(word_hashes(small, self.start, stops), return_inverse=True)
+        at = np.minimum(np.searchsorted(bound.hashes, codes), len(bound.hashes) - 1)
+        self.of_code = np.where(bound.hashes[at] == codes, at, -1) if len(codes) else np.zeros(0, np.int64)
+        self.table = self.of_code[self.code]
+        inner = np.flatnonzero((small[1:-1] == 46) & _RUNS[small[:-2]] & (small[2:] >= 48) & (small[2:] <= 57)) + 1 if len(small) > 2 else np.zeros(0, np.int64)
+        self.dots = inner
+
+    def shared(self, group: np.ndarray, table: np.ndarray, n: int) -> np.ndarray:
+        """Which of n groups of table entries hold enough of a template."""
+        size = np.int64(len(self.bound.hashes))
+        pairs = np.unique(group * size + table)
+        group, table = pairs // size, pairs % size
+        most = np.zeros(n)
+        for k in range(self.bound.squares.shape[1]):
+            most = np.maximum(most, np.bincount(group, self.bound.squares[table, k], n))
+        return most >= self.bound.least
+
+    def reaching(self, breaks: np.ndarray) -> np.ndarray:
+        """Which of the pieces that begin at ``breaks`` may reach the threshold."""
+        n, size = len(breaks), np.int64(max(1, len(self.of_code)))
+        group = np.searchsorted(breaks, self.start, "right") - 1
+        pairs, count = np.unique(group * size + self.code, return_counts=True)
+        of, table = pairs // size, self.of_code[pairs % size]
+        known = np.flatnonzero(table >= 0)
+        x = count * self.bound.other
+        x[known] = count[known] * self.bound.plain_idf[table[known]]
+        norm = np.sqrt(np.bincount(of, x * x, n))
+        best = np.zeros(n)
+        for k in range(self.bound.plain.shape[1]):
+            best = np.maximum(best, np.bincount(of[known], x[known] * self.bound.plain[table[known], k], n))
+        good = best >= self.bound.threshold * np.maximum(norm, 1e-9)
+        dotted = np.unique(np.searchsorted(breaks, self.dots, "right") - 1)
+        if len(dotted):
+            own = np.flatnonzero(np.isin(group, dotted) & (self.table >= 0))
+            good[dotted] |= self.shared(group[own], self.table[own], n)[dotted]
+        return good & (norm > 0)
+
+
+def _blocks(lines: Mapping[int, str], bound: Bound) -> Iterator[str]:
+    """The blocks of cued lines that reach the threshold."""
     at = [k for k in sorted(lines) if bound.cued(lines[k])]
+    bags = [Counter(terms(lines[k])) for k in at]
     for i in range(len(at)):
+        bag = Counter(bags[i])
         for j in range(i + 1, min(len(at), i + BLOCK_LINES)):
             if at[j] - at[j - 1] > 2:
                 break
-            block = " ".join(lines[k] for k in at[i : j + 1])
-            if bound.reached(block):
-                out[block] = None
-    return list(out)
+            bag += bags[j]
+            if bound.cosine(bag) >= bound.threshold:
+                yield " ".join(lines[k] for k in at[i : j + 1])
 
 
-def headers(texts: DataFrame, weights: list[tuple[int, str, str, float]], threshold: float) -> DataFrame:
+def headers(texts: DataFrame, bound: Bound) -> DataFrame:
     """The lines, sentences and blocks of (_row, text) that may be headers: _row, part (a hash of the text), text."""
-    bound = Bound(weights, threshold)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in slices(batches):
@@ -205,27 +240,43 @@ def headers(texts: DataFrame, weights: list[tuple[int, str, str, float]], thresh
             breaks = breaks[breaks < len(data)]  # where lines begin; an empty last line is none
             if not len(breaks):
                 continue
-            start, term = bound.known(data, ends)
-            line = np.searchsorted(breaks, start, "right") - 1
-            good = bound.groups(line, term, len(breaks))
+            found = Terms(bound, data, ends)
+            # Sentences begin with a capital letter behind spaces behind an end mark.
+            solid = np.maximum.accumulate(np.where(data != 32, np.arange(len(data)), -1))
+            capital = np.flatnonzero((data[1:] >= 65) & (data[1:] <= 90) & (data[:-1] == 32)) + 1
+            capital = capital[(solid[capital - 1] >= 0) & np.isin(data[solid[capital - 1]], list(b".!?;"))]
+            pieces = np.union1d(breaks, capital)
+            line_of_piece = np.searchsorted(breaks, pieces, "right") - 1
+            good = found.reaching(breaks)
+            good[line_of_piece[found.reaching(pieces)]] = True
+
+            line = np.searchsorted(breaks, found.start, "right") - 1
             text_of = np.searchsorted(ends, breaks, "right") - 1
-            cued = np.unique(line[bound.is_strong[term]])
-            # Lines with cues, at most one other between two of them, are a run; one that can't reach the threshold has no block that can.
-            apart = np.ones(len(cued), bool)
-            apart[1:] = (np.diff(cued) > 2) | (np.diff(text_of[cued]) > 0)
-            run = np.cumsum(apart) - 1
-            place = np.searchsorted(cued, line)
-            inside = np.flatnonzero((place < len(cued)) & (cued[np.minimum(place, max(0, len(cued) - 1))] == line)) if len(cued) else np.zeros(0, np.int64)
-            runs_good = bound.groups(run[place[inside]], term[inside], int(apart.sum())) if len(cued) else np.zeros(0, bool)
-            wanted = np.union1d(np.flatnonzero(good), cued[runs_good[run]])
-            found: dict[int, dict[int, str]] = {}
+            known = found.table >= 0
+            cued = np.unique(line[known][bound.is_strong[found.table[known]]])
+            in_run = np.zeros(len(breaks), bool)
+            if len(cued):
+                # Lines with cues, at most one other between two of them, are a run.
+                apart = np.ones(len(cued), bool)
+                apart[1:] = (np.diff(cued) > 2) | (np.diff(text_of[cued]) > 0)
+                run = np.full(len(breaks), -1)
+                run[cued] = np.cumsum(apart) - 1
+                inside = np.flatnonzero(known & (run[line] >= 0))
+                whole = found.shared(run[line[inside]], found.table[inside], int(apart.sum())) & (np.bincount(run[cued]) > 1)
+                in_run[cued] = whole[run[cued]]
+            chosen: dict[int, dict[int, str]] = {}
             stops = np.append(breaks[1:], len(data))
-            for k in wanted.tolist():
+            for k in np.flatnonzero(good | in_run).tolist():
                 raw = data[breaks[k] : stops[k]].tobytes().decode()
-                found.setdefault(int(text_of[k]), {})[k] = raw.removesuffix("\n")
+                chosen.setdefault(int(text_of[k]), {})[k] = raw.removesuffix("\n")
             rows, out = [], []
-            for i, lines in found.items():
-                texts = text_parts(lines, [k for k in lines if good[k]], bound)
+            for i, lines in chosen.items():
+                texts: dict[str, None] = {}
+                for k in lines:
+                    if good[k]:
+                        sentences = (t for t in re.split(SENTENCE_END, lines[k]) if bound.cued(t))
+                        texts.update((t, None) for t in [lines[k], *sentences] if bound.reached(t))
+                texts.update((t, None) for t in _blocks({k: t for k, t in lines.items() if in_run[k]}, bound))
                 rows += [i] * len(texts)
                 out += texts
             if out:
@@ -235,12 +286,15 @@ def headers(texts: DataFrame, weights: list[tuple[int, str, str, float]], thresh
 
 
 def _reaching(texts: DataFrame, bound: Bound) -> DataFrame:
-    """The rows of (key, text) whose whole texts may reach the threshold."""
+    """The rows of (key, part, text) whose whole texts may reach the threshold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, ends in slices(batches):
-            start, term = bound.known(data, ends)
-            yield part.filter(pa.array(bound.groups(np.searchsorted(ends, start, "right") - 1, term, len(part))))
+            starts = np.unique(ends[:-1][np.diff(ends) > 0])
+            good = np.zeros(len(part), bool)
+            if len(starts):
+                good[np.flatnonzero(np.diff(ends) > 0)] = Terms(bound, data, ends).reaching(starts)
+            yield part.filter(pa.array(good))
 
     return texts.mapInArrow(scan, texts.schema)
 
@@ -249,7 +303,7 @@ def stated(texts: DataFrame, key: str, longest: int, templates: list[tuple[str,
     """The keys of (key, text) whose whole text, of at most ``longest`` characters, is a licence statement: key, license, cosine."""
     templates = templates or TEMPLATES
     short = texts.where(F.length("text") <= longest).select(key, F.lit(0).alias("part"), "text")
-    whole = _reaching(short, Bound(template_weights(templates)[0], threshold))
+    whole = _reaching(short, Bound(*template_weights(templates), threshold))
     return _best(whole.dropDuplicates([key]), key, templates, threshold)
 
 
@@ -264,7 +318,7 @@ def effective_licenses(files: DataFrame, key: str = "path", templates: list[tupl
     templates = templates or TEMPLATES
     rows = files.select(F.col(key).alias("key"), "path", "text").withColumn("_row", F.xxhash64("key", "path", "text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES), F.lit(False))
-    heads = headers(rows.select("_row", "text"), template_weights(templates)[0], threshold)
+    heads = headers(rows.select("_row", "text"), Bound(*template_weights(templates), threshold))
     whole = rows.where(is_file).select("_row", F.xxhash64("text").alias("part"), "text")
     direct = stored(_best(heads.unionByName(whole).dropDuplicates(["_row", "part"]), "_row", templates, threshold), "licenses")
 
@@ -311,7 +365,7 @@ def oracle_sql(opening_chars: int) -> str:
         return f"""(SELECT {key}, weak, license, cosine FROM (
             SELECT {key}, text, k, round(sum(x * w) / max(norm), 9) AS cosine FROM (
                 SELECT {key}, text, term, n * coalesce(idf, other) AS x, sqrt(sum((n * coalesce(idf, other)) ** 2) OVER (PARTITION BY {key}, text)) AS norm
-                FROM {bag(f"{key}, text", f"(SELECT DISTINCT {key}, text FROM {rows})")} b LEFT JOIN idf USING (term), o) x JOIN tw USING (term) GROUP BY {key}, text, k) z
+                FROM {bag(f"{key}, text", f"(SELECT DISTINCT {key}, text FROM {rows})")} b LEFT JOIN idf USING (term), o) x JOIN tw USING (term) GROUP BY {key}, text, k HAVING count(*) > 1) z
             JOIN t USING (k) WHERE cosine >= {THRESHOLD})"""
 
     return f"""

@@ -65,6 +65,7 @@ def test_wrapped_and_combined_headers(spark):
         ("both.py", "// Copyright 2024 Foo Inc. All rights reserved.\n//\n" + textwrap.fill(APACHE, 60), "Apache-2.0"),
         ("own.py", "Copyright 2024 Foo Inc. All rights reserved.", "Proprietary"),
         ("apart.py", "\n\n\n".join(textwrap.wrap(APACHE, 12)), "none"),
+        ("word.py", "Das ist so.\nMit.\nEs", "none"),
         ("prose.py", "The end of the tale.\nIt may not be the same to all.", "none"),
     ]
     d = spark.createDataFrame([r[:2] for r in rows], "path string, text string")
@@ -76,7 +77,7 @@ def brute(docs):
     strong = set(licenses.cue_terms(weights, licenses.THRESHOLD)) - licenses.STOP_WORDS
 
     def best(texts):
-        found = [(licenses.terms(t) == licenses.RESERVED, -round(c, 9), n) for x in texts for n, t in licenses.TEMPLATES if (c := cosine(x, t, idf, other)) >= licenses.THRESHOLD]
+        found = [(licenses.terms(t) == licenses.RESERVED, -round(c, 9), n) for x in texts for n, t in licenses.TEMPLATES if len(set(licenses.terms(x)) & set(licenses.terms(t))) > 1 and (c := cosine(x, t, idf, other)) >= licenses.THRESHOLD]
         return (min(found)[2], -min(found)[1]) if found else None
 
     def parts(text):
