@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import checks, ledger, matching, seats
 from ..sources import documents, snapshots
 from ..streaming import ledger as streams
+from ..streaming import sink
 from .catalog import register, table
 from .timing import events, plans
 
@@ -130,34 +131,48 @@ def tiered_match(spark, sf_dir):
     return matching.tiered(names, parts, "row_id", "name", "p_partkey", "p_name", ["p_brand"])
 
 
-@register("html_table")
+@register(
+    "html_table",
+    """WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation), k AS (SELECT unnest([0, 1]) AS c)
+    SELECT r_regionkey, CAST(0 AS INTEGER) AS "table", CAST(0 AS INTEGER) AS "row", CAST(c AS INTEGER) AS "column", CASE c WHEN 0 THEN 'key' ELSE 'nation & name' END AS text FROM region, k
+    UNION ALL SELECT n_regionkey, 0, CAST(r AS INTEGER), CAST(c AS INTEGER), CASE c WHEN 0 THEN CAST(n_nationkey AS VARCHAR) ELSE n_name END FROM n, k
+    UNION ALL SELECT r_regionkey, 1, 0, 0, r_name FROM region""",
+)
 def html_table(spark, sf_dir):
-    """Cells of the tables of all pages; the unit tests check the parser."""
-    return documents.html_cells(table(spark, sf_dir, "pages"), "page_id", "html")
+    """Cells of pages of the regions: a table of each one's nations, in untidy markup, and one of its name."""
+    row = F.concat(F.lit("<tr><td> "), F.col("n_nationkey").cast("string"), F.lit("<td class='n'><b>"), F.col("n_name"), F.lit("</b>\n</td></tr>"))
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("x")))).alias("l"))
+    pages = table(spark, sf_dir, "region").join(rows, F.col("r_regionkey") == F.col("n_regionkey"), "left")
+    body = F.concat(F.lit("<p>none</p><TABLE><tr><th>key</th><th>nation &amp; name</th></tr>"), F.array_join(F.coalesce(F.col("l.x"), F.array().cast("array<string>")), ""), F.lit("</TABLE><table><tr><td>"), F.col("r_name"), F.lit("</table>"))
+    return documents.html_cells(pages.select("r_regionkey", body.alias("html")), "r_regionkey", "html")
+
 
+_DIGEST_PARTS = ", ".join(f"CAST(sum(CAST(('0x' || substr(h, {8 * k + 1}, 8)) AS HUGEINT)) AS VARCHAR)" for k in range(8))
 
-@register("table_digest")
+
+@register(
+    "table_digest",
+    f"""WITH d AS (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders)
+    SELECT count(*) AS n, sha256(concat_ws('|', CAST(count(*) AS VARCHAR), {_DIGEST_PARTS})) AS sha256 FROM d""",
+)
 def table_digest(spark, sf_dir):
-    return snapshots.digest(table(spark, sf_dir, "orders"), ["o_orderkey"])
+    return snapshots.digest(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_orderkey"])
 
 
-def _streamed(spark: SparkSession, sf_dir: str, build, name: str, mode: str) -> DataFrame:
-    """Run a streaming query over the events to its end and return what it has in memory."""
+def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
+    """What a streaming query over the events gives once all of them have gone through it."""
     schema = table(spark, sf_dir, "events").schema
     files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    source = files.withColumn("ts", F.col("ts").cast("timestamp"))
-    run = build(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    run.awaitTermination(300)
-    return spark.table(name)
+    return sink.finished(build(files.withColumn("ts", F.col("ts").cast("timestamp"))), mode)
 
 
 @register("streaming_windows", "SELECT time_bucket(INTERVAL '1 day', ts) AS start, time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' AS \"end\", event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3")
 def streaming_windows(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda s: streams.windowed(s, "ts", ["event_type"], "value", "1 day"), "streaming_windows", "complete")
+    out = _streamed(spark, sf_dir, lambda s: streams.windowed(s, "ts", ["event_type"], "value", "1 day"), "complete")
     return out.select(*(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @register("streaming_latest", "SELECT user_id, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def streaming_latest(spark, sf_dir):
-    out = _streamed(spark, sf_dir, lambda s: streams.latest_per_key(s, ["user_id"], "ts", ["event_id"]), "streaming_latest", "complete")
+    out = _streamed(spark, sf_dir, lambda s: streams.latest_per_key(s, ["user_id"], "ts", ["event_id"]), "complete")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
