@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import https_host
+from ..functions.text import https_host, iso_date
 
 
 def _share(c: str) -> Column:
@@ -30,6 +30,7 @@ def geography() -> dict[str, Column]:
     return {"id_present": _filled("geography_id"), "parent_present": (F.col("level") == "nation") | _filled("parent")}
 
 
+#: The rule names and bounds of ``polls`` are fixed values: they are labels of its report.
 def polls(populations: Sequence[str], states: Sequence[str]) -> dict[str, Column]:
     """Poll toplines; their key is poll_id."""
     national = (F.col("state_po") == "US") & (F.col("office") == "us_house_generic") & (F.col("geography_id") == "nation:us") & F.col("district_num").isNull()
@@ -61,25 +62,60 @@ def research_panel() -> dict[str, Column]:
 RACE_FACTS = ("cycle", "office", "state_po", "election_date", "actual_dem_share", "actual_dem_win", "lean", "lean_reference_cycle", "pred_dem_share", "resid_sigma", "train_through", "lean_basis")
 
 
-def specials() -> dict[str, Column]:
-    """Special elections; at most one included row per seat is checked as a key of the included rows."""
-    included = F.col("include_in_metric")
+#: Rounds of a result, and the parties of a stated winner.
+ROUNDS = ("general", "first_round", "runoff", "rcv_final")
+WINNERS = ("", "DEMOCRAT", "REPUBLICAN", "OTHER")
+
+
+def specials(offices: Sequence[str], formats: Sequence[str], least_votes: int, as_of: str) -> dict[str, Column]:
+    """Special elections; their key is special_id, and SEAT is the key of the included rows.
+
+    Only rows that are included need sources, votes of both parties and a baseline; an exclusion needs its reason.
+    """
+    included = F.coalesce("include_in_metric", F.lit(False))
+    if_included = lambda test: ~included | F.coalesce(test, F.lit(False))
+    votes = lambda c: F.coalesce(c, F.lit(0))
+    held, updated = iso_date(F.col("election_date")), iso_date(F.col("results_updated_on"))
     return {
-        "source_present": _filled("source_url", "retrieved_on"),
-        "both_parties": ~included | ((F.col("dem_votes") > 0) & (F.col("rep_votes") > 0)),
-        "baseline_present": ~included | F.col("baseline_dem_share").between(0, 1),
+        "source_url_present": if_included(_filled("source_url")),
+        "retrieved_on_present": if_included(_filled("retrieved_on")),
+        "baseline_source_present": if_included(_filled("baseline_source")),
+        "date_valid": held.isNotNull() & (held <= F.lit(as_of).cast("date")),
+        "update_valid": ~_filled("results_updated_on") | updated.isNotNull(),
+        "update_after_election": updated.isNull() | (updated >= held),
+        "office_known": F.lower(F.trim("office")).isin(list(offices)),
+        "votes_nonnegative": (votes("dem_votes") >= 0) & (votes("rep_votes") >= 0),
+        "total_plausible": if_included(votes("dem_votes") + votes("rep_votes") + votes("other_votes") >= least_votes),
+        "both_parties": if_included((F.col("dem_votes") > 0) & (F.col("rep_votes") > 0)),
+        "format_known": F.lower(F.trim(F.coalesce("contest_format", F.lit("unknown")))).isin(list(formats)),
         "exclusion_explained": included | _filled("exclusion_reason"),
+        "baseline_in_unit_interval": _share("baseline_dem_share"),
+        "baseline_present": if_included(F.col("baseline_dem_share").isNotNull()),
     }
 
 
-def snapshot() -> dict[str, Column]:
-    """Dated results; their key is (state_po, office, district_num)."""
+SEAT = ("state_po", "office", "district")
+
+
+def snapshot(states: Sequence[str]) -> dict[str, Column]:
+    """Dated results of House and Senate; their key is (state_po, office, district_num)."""
+    office, place = F.lower(F.trim("office")), F.upper(F.trim("state_po"))
+    whole = lambda c: F.coalesce((F.col(c) >= 0) & (F.col(c) % 1 == 0), F.lit(False))
+    turn = F.coalesce("election_round", F.lit("general"))
+    louisiana = (place == "LA") & (office == "us_house")
+    address = F.try_parse_url("source_url", F.lit("PROTOCOL"))
     return {
-        "identity_present": _filled("state_po", "office"),
-        "district_for_house": (F.col("office") != "us_house") | F.col("district_num").isNotNull(),
-        "votes_nonnegative": (F.col("dem_votes") >= 0) & (F.col("rep_votes") >= 0) & (F.col("other_votes") >= 0),
-        "source_is_https": https_host(F.col("source_url")).isNotNull(),
-        "retrieved": F.col("retrieved_on").isNotNull(),
+        "state_known": place.isin([s for s in states if s not in ("DC", "PR")]),
+        "office_known": office.isin("us_house", "us_senate"),
+        "winner_known": F.upper(F.trim(F.coalesce("winner_party", F.lit("")))).isin(list(WINNERS)),
+        "votes_are_counts": whole("dem_votes") & whole("rep_votes") & whole("other_votes"),
+        "source_url_valid": F.coalesce(address.isin("http", "https") & F.try_parse_url("source_url", F.lit("HOST")).isNotNull(), F.lit(False)),
+        "retrieved_on_iso_date": iso_date(F.col("retrieved_on").cast("string")).isNotNull(),
+        "certified_stated": F.col("certified").isNotNull(),
+        "round_known": turn.isin(list(ROUNDS)),
+        "louisiana_round": ~louisiana | turn.isin("first_round", "runoff"),
+        "louisiana_resolved_stated": ~louisiana | F.col("outcome_resolved").isNotNull(),
+        "district_for_house": (office != "us_house") | whole("district_num"),
     }
 
 
@@ -115,6 +151,20 @@ def ballots(states: Sequence[str]) -> dict[str, Column]:
     return {"state_known": F.col("state_po").isin(list(states)), "candidate_present": _filled("candidate"), "party_present": _filled("party")}
 
 
-def catalog(statuses: Sequence[str]) -> dict[str, Column]:
-    """Result sources, one per state."""
-    return {"source_is_https": https_host(F.col("source_url")).isNotNull(), "status_known": F.col("status").isin(list(statuses))}
+def catalog(statuses: Sequence[str], access: Sequence[str], tested: Sequence[str]) -> dict[str, Column]:
+    """Result sources, one per state: their key is state_po, and ``covers`` says whether all states are there."""
+    return {
+        "provenance_present": _filled("state_po", "primary_url", "fallback_url", "extraction_status", "certification_evidence"),
+        "primary_is_https": https_host(F.col("primary_url")).isNotNull(),
+        "fallback_is_https": https_host(F.col("fallback_url")).isNotNull(),
+        "status_known": F.col("extraction_status").isin(list(statuses)),
+        "access_known": F.when(_filled("download_access"), F.col("download_access")).otherwise("untested").isin(list(access)),
+        "tested_has_evidence": ~F.col("extraction_status").isin(list(tested)) | _filled("extraction_evidence"),
+    }
+
+
+def covers(rows: DataFrame, key: str, expected: Sequence[str]) -> DataFrame:
+    """One row: whether ``key`` takes exactly the expected values, how many of them are missing, and how many others there are."""
+    known = F.col(key).isin(list(expected))
+    out = rows.agg((F.lit(len(set(expected))) - F.countDistinct(F.when(known, F.col(key)))).alias("n_missing"), F.countDistinct(F.when(~known, F.col(key))).alias("n_other"))
+    return out.select(((F.col("n_missing") == 0) & (F.col("n_other") == 0)).alias("passed"), "n_missing", "n_other")

@@ -25,15 +25,17 @@ def finished(stream: DataFrame, mode: str, seconds: int = 1800) -> DataFrame:
     Executors write the rows as Parquet, batch by batch; a batch that is run again replaces its rows. Raises TimeoutError
     where the stream has not ended in time, and the stream's own error where it failed.
     """
-    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+    spark, folder, written = stream.sparkSession, _folder(stream.sparkSession), set()
 
     def keep(rows: DataFrame, k: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch-{k if mode == 'append' else 0}")
+        place = f"{folder}/rows/batch-{k if mode == 'append' else 0}"
+        rows.write.mode("overwrite").parquet(place)
+        written.add(place)
 
     run = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     if not run.awaitTermination(seconds):
         run.stop()
         raise TimeoutError(f"the stream has not ended in {seconds} s")
-    if run.lastProgress is None:  # no input, no batch
+    if not written:
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{folder}/rows")
+    return spark.read.schema(stream.schema).parquet(*sorted(written))
