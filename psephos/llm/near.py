@@ -51,7 +51,7 @@ SHARED = 12
 #: Lists up to this length are spanned by possible pairs, still longer ones by neighbours in size.
 SPANNED = 4096
 #: Documents and shingles of a cluster that is compared in one place, and of a tile of a larger one.
-MEMBERS, HELD = 512, 1 << 18
+MEMBERS, HELD = 128, 1 << 17
 
 _FRESH = np.uint64(0xD6E8FEB86659FD93)
 
@@ -422,7 +422,7 @@ def tile_links(rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def classified(docs: DataFrame, lists: DataFrame, pairs: DataFrame, copies: DataFrame, measured: DataFrame, k: int = K, members: int = MEMBERS, held: int = HELD) -> DataFrame:
+def classified(docs: DataFrame, pairs: DataFrame, measured: DataFrame, k: int = K, members: int = MEMBERS, held: int = HELD) -> DataFrame:
     """(node, component) of the documents that links join, from ``pairs`` (a, b, long) of first documents of equal sets.
 
     Pairs hang together in clusters, which no link leaves. Small clusters meet in bins, each set once, and a pair is
@@ -500,8 +500,8 @@ def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES)
     lowest = stored(single.groupBy("first").agg(F.min("doc_id").alias("single")), "first-documents")
     # The first document of equal sets is one of a single text, if there is any.
     copies = single.join(lowest, "first").where(F.col("doc_id") != F.col("single")).select("doc_id", F.col("single").alias("first"))
-    lists = stored(index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k), "index-lists")
-    classes = classified(docs, lists, stored(_first_of(first_pairs(lists), copies), "pairs"), copies, measured, k)
+    lists = index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k)
+    classes = classified(docs, stored(_first_of(first_pairs(lists), copies), "pairs"), measured, k)
     classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
     if not several.isEmpty():
         ends = same.join(several, "doc_id").join(lowest, "first", "left").select(F.col("doc_id").alias("a"), F.coalesce("single", "first").alias("b"))
