@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -55,3 +56,28 @@ def test_codewords():
         code = langid.codewords(n)
         assert len({tuple(r) for r in code}) == n
         assert (np.abs(code.sum(0)) < n).all()
+
+
+def test_decoding_against_plain_loops():
+    rng = np.random.default_rng(3)
+    code = langid.codewords(5)
+    bits = code.shape[1]
+    margin, centre, scale = rng.normal(size=(7, bits)), rng.normal(size=bits), rng.uniform(0.5, 2, bits)
+    right = rng.uniform(0.5, 1, (5, bits))
+    found = langid.decode(margin, code.astype(float), centre, scale, right)
+    for row, got in zip(margin, found, strict=True):
+        losses = []
+        for c, r in zip(code, right, strict=True):
+            total = sum(r)
+            losses.append(sum(math.log1p(math.exp(-2 * (x - m) / s * b)) * w / total * bits for x, m, s, b, w in zip(row, centre, scale, c, r, strict=True)))
+        weights = [math.exp(min(losses) - x) for x in losses]
+        assert np.allclose(got, [w / sum(weights) for w in weights])
+
+
+def test_rare_languages_are_learned(spark):
+    """A language of few rows is sampled whole beside one of many, at any sample size."""
+    docs = [(i, f"the of and to in {i}", "en") for i in range(3000)] + [(5000 + i, "und der die das ist nicht", "de") for i in range(12)]
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    counts = langid.gram_counts(rows, 100)
+    assert set(counts) == {"en", "de"} and all(c.sum() > 0 for c in counts.values())
+    assert langid.gram_counts(rows, 100)["de"].sum() == langid.gram_counts(rows.where("lang = 'de'"), 10**6)["de"].sum()

@@ -1,7 +1,8 @@
+import duckdb
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from psephos.llm import langid, mixing
+from psephos.llm import langid, lines, mixing
 
 from .test_decontaminate import brute as brute_leaks
 from .test_near import brute as brute_near
@@ -30,7 +31,25 @@ def test_stages_against_brute_force(spark, tmp_path):
 
     mix = corpus_pipeline.mixing_sources(spark, docs, sf).collect()
     assert sorted(r.doc_id for r in mix) == sorted(rows)
-    assert corpus_pipeline.line_dedup(spark, docs, sf).columns == docs.columns
+
+
+def test_line_stage_against_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = corpus_pipeline.line_dedup(spark, docs, "")
+    assert out.columns == docs.columns
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    wanted = {r[0]: r[1:] for r in db.execute(f"SELECT d.doc_id, o.text, d.lang, d.source, CASE WHEN n_dropped > 0 THEN length(o.text) ELSE n_chars END FROM ({lines.ORACLE_SQL}) o JOIN documents d USING (doc_id)").fetchall()}
+    assert {r.doc_id: (r.text, r.lang, r.source, r.n_chars) for r in out.collect()} == wanted
+
+
+def test_mixing_stage_against_sql(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = corpus_pipeline.mixing_sources(spark, docs, "")
+    db = duckdb.connect()
+    db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    wanted = {r[0]: r[1:] for r in db.execute(f'SELECT doc_id, block, slot, "offset" FROM ({mixing.ORACLE_SQL})').fetchall()}
+    assert {r.doc_id: (r.block, r.slot, r.offset) for r in out.collect()} == wanted
 
 
 def test_run_and_empty_tables(spark, tmp_path):
