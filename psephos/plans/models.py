@@ -113,7 +113,7 @@ def allocation_error_bands(spark, sf_dir):
     return out.select("band", "n", F.round("mae", 6).alias("mae"), F.round("p90", 6).alias("p90"))
 
 
-PRICES_SQL = "SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice / 1000 AS y, CAST(year(o_orderdate) AS INTEGER) AS cycle FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
+PRICES_SQL = "SELECT l_orderkey, l_linenumber, l_quantity AS q, l_discount, l_tax, l_extendedprice / 1000 AS y, CAST(year(o_orderdate) AS INTEGER) AS cycle FROM lineitem JOIN orders ON o_orderkey = l_orderkey"
 
 
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,19 @@ def expanding_backtest(spark, sf_dir):
     return _scored(regression.expanding(prices(spark, sf_dir), ["q"], "y", "cycle"))
 
 
-@register("multiple_regression")
+_FEATURES = ("q", "l_discount", "l_tax")
+_MOMENTS = ", ".join([f"covar_pop(p.{x}, p.{y}) AS s{i}{j}" for i, x in enumerate(_FEATURES, 1) for j, y in enumerate(_FEATURES, 1)] + [f"covar_pop(p.{x}, p.y) AS t{i}, avg(p.{x}) AS m{i}" for i, x in enumerate(_FEATURES, 1)])
+
+
+@register(
+    "multiple_regression",
+    f"""WITH p AS ({PRICES_SQL}), c AS (SELECT DISTINCT cycle FROM p), s AS (SELECT c.cycle, {_MOMENTS}, avg(p.y) AS my, count(*) AS n FROM c JOIN p ON p.cycle <> c.cycle GROUP BY 1),
+    d AS (SELECT *, s22 * s33 - s23 * s23 AS k1, s12 * s33 - s23 * s13 AS k2, s12 * s23 - s22 * s13 AS k3 FROM s),
+    e AS (SELECT *, s11 * k1 - s12 * k2 + s13 * k3 AS det FROM d),
+    f AS (SELECT cycle, n, my, m1, m2, m3, (t1 * k1 - s12 * (t2 * s33 - s23 * t3) + s13 * (t2 * s23 - s22 * t3)) / det AS b1, (s11 * (t2 * s33 - s23 * t3) - t1 * k2 + s13 * (s12 * t3 - t2 * s13)) / det AS b2, (s11 * (s22 * t3 - t2 * s23) - s12 * (s12 * t3 - t2 * s13) + t1 * k3) / det AS b3 FROM e),
+    g AS (SELECT p.cycle, f.n, my + b1 * (q - m1) + b2 * (l_discount - m2) + b3 * (l_tax - m3) - y AS e FROM p JOIN f ON f.cycle = p.cycle)
+    SELECT cycle, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse, max(n) AS n_train FROM g GROUP BY 1""",
+)
 def multiple_regression(spark, sf_dir):
     """Three features by leave-one-cycle-out; the unit tests compare the fits with NumPy."""
     return _scored(regression.leave_one_out(prices(spark, sf_dir), ["q", "l_discount", "l_tax"], "y", "cycle"))
