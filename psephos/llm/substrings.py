@@ -1,12 +1,13 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``width`` words, counted in Spark; windows that repeat merge to
 maximal removal intervals.
 
-Documents are dealt into blocks of some megabytes by the hash of their row. A block rolls the hashes of all its windows
-and sends each distinct one once, sorted and cut by hash range, so a passage that a third of all documents share costs
-at most one entry per block, never one per occurrence. A range counts in how many blocks each of its hashes is found
-and answers every block with one bit per hash. The block then rolls its windows again: a window repeats if its hash
-occurs twice in the block or its bit is set. Hashes have 64 bits: n windows meet a false repeat with a chance of about
-n * n / 2**65.
+Documents are dealt into blocks of some megabytes by the hash of their row. A block rolls two hashes of all its windows
+and sends each distinct window once: the second hash says to which range, the first, of 64 bits, is what is sent, so a
+passage that a third of all documents share costs at most one entry per block, never one per occurrence. A range counts
+in how many blocks each of its hashes is found and answers every block with one bit per hash. The block then rolls its
+windows again: a window repeats if its hash occurs twice in the block or its bit is set. Windows of different words are
+taken for one only if both their range and 64 bits agree: among n windows and r ranges, which grow with n, that is
+expected n * n / r / 2**65 times (0.00001 at 0.5 GB, about one at 100 TB), and within one block n * n / 2**65 times.
 
 Cases: null or blank text has no words and stays empty; fewer words than the window: nothing is removed; repeated rows
 remove each other's windows (all copies, as a repeat is judged on the input); words are cut at ASCII white space and
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .words import SPACED, owners, slices, window_hashes, word_bounds, word_hashes
+from .words import SPACED, mix, owners, slices, window_hashes, word_bounds, word_hashes
 
 WIDTH = 35
 #: Bytes of text in a block, and in the texts whose windows meet in one hash range.
@@ -41,11 +42,24 @@ def blocked(docs: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
     return docs.select("doc_id", "text", block.alias("block")), n
 
 
-def _windows(texts: pa.Table, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of a block with the index of each text's first word, and the windows' hashes and first words."""
+_SECOND = np.uint64(0xA0761D6478BD642F)
+
+
+def _windows(texts: pa.Table, width: int, n_ranges: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a block with the index of each text's first word, and the windows' hashes, first words and ranges."""
     for part, data, ends in slices(iter(texts.to_batches())):
         starts, stops, first = word_bounds(data, ends, SPACED)
-        yield part, first, *window_hashes(word_hashes(data, starts, stops), first, width)
+        words = word_hashes(data, starts, stops)
+        hashes, at = window_hashes(words, first, width)
+        second, _ = window_hashes(mix(words ^ _SECOND), first, width)
+        yield part, first, hashes, at, (((second >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)).astype(np.int32)
+
+
+def _dealt(hashes: np.ndarray, ranges: np.ndarray, n_ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different hashes by range and value, how often each occurs, and where each range begins (one more at the end)."""
+    found, at, times = np.unique(hashes, return_index=True, return_counts=True)
+    order = np.argsort(ranges[at], kind="stable")
+    return found[order], times[order], np.searchsorted(ranges[at][order], np.arange(n_ranges + 1))
 
 
 def _intervals(covered: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,11 +78,13 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int =
     """For each row: doc_id, n_words, n_removed, removed (intervals in words) and text (the kept words, by one space)."""
     rows, n_blocks = blocked(docs, block_bytes)
     n_ranges = n_blocks
-    cuts = np.array([-(-k * 2**64 // n_ranges) for k in range(1, n_ranges)], np.uint64)
 
     def send(key: tuple, texts: pa.Table) -> pa.Table:
-        hashes = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(h) for _, _, h, _ in _windows(texts, width))]))
-        at = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
+        hashes, ranges = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for _, _, h, _, r in _windows(texts, width, n_ranges):
+            h, own = np.unique(h, return_index=True)
+            hashes.append(h), ranges.append(r[own])
+        hashes, _, at = _dealt(np.concatenate(hashes), np.concatenate(ranges), n_ranges)
         full = np.flatnonzero(np.diff(at))
         return pa.table(
             {
@@ -94,16 +110,15 @@ def repeated_substrings(docs: DataFrame, width: int = WIDTH, block_bytes: int =
         )
 
     def cut(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        parts = list(_windows(texts, width))
-        every = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in parts)])
-        hashes, times = np.unique(every, return_counts=True)
+        parts = list(_windows(texts, width, n_ranges))
+        every = np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _, _ in parts)])
+        hashes, times, at = _dealt(every, np.concatenate([np.zeros(0, np.int32), *(r for *_, r in parts)]), n_ranges)
         again = times > 1
-        at = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
         for k, n, bits in zip(*(answers[c].to_pylist() for c in ("range", "found", "bits")), strict=True):
             again[at[k] : at[k + 1]] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(bool)
-        again = hashes[again]
+        again = np.sort(hashes[again])
         out = [pa.table({f.name: pa.array([], f.type) for f in _RESULT})]
-        for part, first, h, starts in parts:
+        for part, first, h, starts, _ in parts:
             hit = starts[again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h] if len(again) else starts[:0]
             steps = np.zeros(first[-1] + 1, np.int32)
             steps[hit] += 1
