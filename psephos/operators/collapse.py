@@ -130,6 +130,12 @@ def contest_buckets(df: DataFrame, keys: Sequence[str], party: str, votes: str,
     )
 
 
+def district_tally(df: DataFrame, keys: Sequence[str], precinct: str, party: str, votes: str, first: str, second: str) -> DataFrame:
+    """Per district the votes of two parties and how many different precincts have rows there."""
+    of = lambda p: F.sum(F.when(F.col(party) == p, F.col(votes)).otherwise(0.0))
+    return df.groupBy(*keys).agg(of(first).alias("first_votes"), of(second).alias("second_votes"), F.countDistinct(precinct).alias("n_precincts"))
+
+
 def pivot_parties(df: DataFrame, keys: Sequence[str], party: str, votes: str, parties: Sequence[str]) -> DataFrame:
     """A column of votes per named party, 0 where a key has none."""
     return df.groupBy(*keys).pivot(party, list(parties)).agg(F.sum(votes)).na.fill(0, list(parties))

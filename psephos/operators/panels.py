@@ -150,3 +150,8 @@ def with_override(df: DataFrame, overrides: DataFrame, keys: Sequence[str], valu
         condition &= F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}"))
     joined = df.alias("l").join(overrides.alias("o"), condition, "left")
     return joined.select(*(F.col(f"l.{c}") for c in df.columns if c != value), F.coalesce(f"o.{value}", f"l.{value}").alias(value), F.col(f"o.{value}").isNotNull().alias("overridden"))
+
+
+def closest(df: DataFrame, distance: str, k: int, tie: Sequence[str]) -> DataFrame:
+    """The k rows that lie closest to a threshold, by their distance from it; Spark keeps k rows a partition."""
+    return df.orderBy(F.abs(distance), *tie).limit(k)

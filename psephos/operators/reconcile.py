@@ -56,6 +56,14 @@ def set_differences(expected: DataFrame, found: DataFrame, keys: Sequence[str])
     return split(a, b, keys)[0].withColumn("side", F.lit("missing")).unionByName(split(b, a, keys)[0].withColumn("side", F.lit("extra")))
 
 
+def shared_keys(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """The keys that every table has, once each."""
+    out = tables[0].select(*keys).distinct()
+    for other in tables[1:]:
+        out = out.intersect(other.select(*keys))
+    return out
+
+
 def outer_status(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Full outer join with status left_only, right_only or both."""
     a, b = left.withColumn("_l", F.lit(True)).alias("l"), right.withColumn("_r", F.lit(True)).alias("r")

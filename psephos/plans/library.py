@@ -1,3 +1,3 @@
 """Imports every module that registers queries of the reference operators."""
 
-from . import averages, composites, contests, models, names, outlook, records, timing  # noqa: F401
+from . import averages, composites, contests, details, models, names, outlook, records, timing  # noqa: F401
