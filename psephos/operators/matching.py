@@ -79,3 +79,15 @@ def resolved(matches: DataFrame, overrides: DataFrame, row_id: str, roster_id: s
     joined = matches.join(overrides.select(row_id, F.col(roster_id).alias("_o")), row_id, "left")
     out = joined.select(row_id, F.coalesce("_o", roster_id).alias(roster_id), F.when(F.col("_o").isNotNull(), "reviewed").otherwise(F.col("method")).alias("method"))
     return out, out.where(F.col("method").startswith("ambiguous"))
+
+
+def crosswalk(names: DataFrame, roster: DataFrame, covered: DataFrame, overrides: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, scope: Sequence[str], seat: Sequence[str], state: Sequence[str]) -> DataFrame:
+    """(row_id, roster_id, method) for each ballot name: reviewed overrides first, then the tiers in the seat's and the state's pool.
+
+    Entries that are no persons match nothing (``not_a_person``). Names of a ``scope`` (cycle and office, say) that
+    ``covered`` does not list have no roster to miss: ``no_roster`` instead of ``none``.
+    """
+    matched, _ = resolved(seat_then_state(names, roster, row_id, name, roster_id, roster_name, seat, state), overrides, row_id, roster_id)
+    known = names.select(row_id, *scope).join(covered.select(*scope).distinct().withColumn("_c", F.lit(True)), list(scope), "left").select(row_id, F.coalesce("_c", F.lit(False)).alias("_c"))
+    method = F.when(~F.col("_c") & (F.col("method") == "none"), "no_roster").otherwise(F.col("method"))
+    return matched.join(known, row_id).select(row_id, roster_id, method.alias("method"))

@@ -29,6 +29,27 @@ def checksums(spark: SparkSession, path: str, source: str, day: str, tier: int,
     return files.select(F.lit(f"{source}__{day}").alias("manifest_id"), "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), F.lit(tier).alias("tier"), F.lit(license_name).alias("license"))
 
 
+def with_rows(manifest: DataFrame, path: str) -> DataFrame:
+    """The manifest with n_rows, the lines of each file (text sources; a header counts)."""
+    lines = manifest.sparkSession.read.option("recursiveFileLookup", True).text(path)
+    counts = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"))
+    # Both readers name files by address, one of them with the scheme and two more slashes.
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    joined = manifest.withColumn("_p", bare("path")).join(counts.select(bare("path").alias("_p"), "n_rows"), "_p", "left")
+    return joined.drop("_p").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+
+
+def write_mirrored(df: DataFrame, path: str) -> None:
+    """The table as Parquet in ``path``/parquet and as CSV with a header in ``path``/csv; neither may exist yet."""
+    df.write.mode("errorifexists").parquet(f"{path}/parquet")
+    df.write.mode("errorifexists").option("header", True).csv(f"{path}/csv")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report's rows, one JSON object a line with nulls kept, in one file: reports are aggregates of few rows."""
+    rows.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)
+
+
 def changed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files of two manifests that were added, removed or changed."""
     a, b = before.select("path", F.col("sha256").alias("was")), after.select("path", F.col("sha256").alias("now"))

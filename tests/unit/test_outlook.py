@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from psephos.functions import calendar, places, text
 from psephos.operators import allocation, checks, environment, evaluation, gates, matching, seats, windows
+from psephos.sources import snapshots
 
 STATES = [code for code, _, _ in places.ROWS]
 
@@ -46,6 +47,30 @@ def test_matching_of_odd_names(spark):
     assert found == {0: (1, "token_set"), 1: (None, "none"), 2: (None, "none"), 3: (0, "token_set"), 4: (None, "none"), 5: (3, "tokens_within"), 6: (None, "none"), 7: (None, "none")}
 
 
+def test_crosswalk(spark):
+    roster = spark.createDataFrame([("A", "SMITH, ANN", 2020, "PA", "1"), ("B", "JONES, BO", 2020, "PA", "2")], "id string, rname string, c int, st string, seat string")
+    names = spark.createDataFrame([(1, "Ann Smith", 2020, "PA", "1"), (2, "Bo Jones", 2020, "PA", "1"), (3, "Write-in", 2020, "PA", "1"), (4, "Ann Smith", 2018, "PA", "1"), (5, "No One", 2020, "PA", "2"), (6, "Odd Name", 2020, "PA", "2")], "row int, name string, c int, st string, seat string")
+    overrides = spark.createDataFrame([(6, "B")], "row int, id string")
+    found = {r.row: (r.id, r.method) for r in matching.crosswalk(names, roster, roster, overrides, "row", "name", "id", "rname", ["c"], ["c", "st", "seat"], ["c", "st"]).collect()}
+    assert found == {1: ("A", "token_set"), 2: ("B", "state_token_set"), 3: (None, "not_a_person"), 4: (None, "no_roster"), 5: (None, "none"), 6: ("B", "reviewed")}
+
+
+def test_mirrors_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a,b"), (2, None)], "k int, v string")
+    snapshots.write_mirrored(rows, str(tmp_path / "t"))
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "t" / "csv")).collect())) == [("1", "a,b"), ("2", None)]
+    assert spark.read.parquet(str(tmp_path / "t" / "parquet")).count() == 2
+    snapshots.write_report(rows, str(tmp_path / "r"))
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"k":1,"v":"a,b"}', '{"k":2,"v":null}']
+    with pytest.raises(Exception, match="already exists"):
+        snapshots.write_report(rows, str(tmp_path / "r"))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.csv").write_text("h\n1\n2\n")
+    (tmp_path / "src" / "b.csv").write_text("h\n")
+    manifest = snapshots.checksums(spark, str(tmp_path / "src"), "x", "2026-01-01", 1, "CC0-1.0")
+    assert {r.path[-5:]: r.n_rows for r in snapshots.with_rows(manifest, str(tmp_path / "src")).collect()} == {"a.csv": 3, "b.csv": 1}
+
+
 def test_whole_chamber_against_numpy(spark):
     rng = np.random.default_rng(9)
     rows = []
