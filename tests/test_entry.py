@@ -22,7 +22,7 @@ ORACLES = {name: sql for name, sql in __spark_entry__.oracle_sql().items() if na
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_same_as_sql(spark, name):
     db = duckdb.connect()
-    for table in "region nation customer supplier part orders lineitem events pages".split():
+    for table in "region nation customer supplier part orders lineitem events pages documents".split():
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     expected = db.execute(ORACLES[name])
     names = [d[0] for d in expected.description]
