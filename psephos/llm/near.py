@@ -500,7 +500,8 @@ def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES)
     lowest = stored(single.groupBy("first").agg(F.min("doc_id").alias("single")), "first-documents")
     # The first document of equal sets is one of a single text, if there is any.
     copies = single.join(lowest, "first").where(F.col("doc_id") != F.col("single")).select("doc_id", F.col("single").alias("first"))
-    lists = index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k)
+    # Stored, so that a task has one Python worker at a time.
+    lists = stored(index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k), "index-lists")
     classes = classified(docs, stored(_first_of(first_pairs(lists), copies), "pairs"), measured, k)
     classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
     if not several.isEmpty():
