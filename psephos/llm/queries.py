@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, substrings, topk
+from . import alignment, chat, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, substrings, topk
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -144,3 +144,8 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op3_license_scan"] = licenses.oracle_sql(OPENING_CHARS)
+
+
+@query
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_support(table(spark, sf_dir, "documents"))
