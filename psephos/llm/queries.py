@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, substrings, topk
+from . import alignment, chat, credentials, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, resampling, substrings, topk
 from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,3 +149,25 @@ ORACLES["op3_license_scan"] = licenses.oracle_sql(OPENING_CHARS)
 @query
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.link_support(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.secret_scan(table(spark, sf_dir, "documents"))
+    counts = {f"n_{kind}": F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as bigint)") for kind in credentials.BASE_KINDS}
+    return found.select(
+        "doc_id",
+        *(c.alias(name) for name, c in counts.items()),
+        F.sha2(credentials.spans_text("base"), 256).alias("base_sha256"),
+        credentials.spans_text("base", "found").alias("spans"),
+        F.size("found").cast("bigint").alias("n_found"),
+    )
+
+
+ORACLES["op11_secret_scan"] = credentials.ORACLE_SQL
