@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def _folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; a temporary one only in local mode, where nothing else is set."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="psephos-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.staging import shared_dir
 
 
 def finished(stream: DataFrame, mode: str, seconds: int = 1800) -> DataFrame:
@@ -25,7 +15,8 @@ def finished(stream: DataFrame, mode: str, seconds: int = 1800) -> DataFrame:
     Executors write the rows as Parquet, batch by batch; a batch that is run again replaces its rows. Raises TimeoutError
     where the stream has not ended in time, and the stream's own error where it failed.
     """
-    spark, folder, written = stream.sparkSession, _folder(stream.sparkSession), set()
+    spark, written = stream.sparkSession, set()
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(rows: DataFrame, k: int) -> None:
         place = f"{folder}/rows/batch-{k if mode == 'append' else 0}"
