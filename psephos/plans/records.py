@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import checks, ledger, matching, seats
-from ..sources import documents, snapshots
+from ..sources import documents, snapshots, staging
+from ..streaming import latest, sink
 from ..streaming import ledger as streams
-from ..streaming import sink
 from .catalog import register, table
 from .timing import events, plans
 
@@ -176,3 +178,38 @@ def streaming_windows(spark, sf_dir):
 def streaming_latest(spark, sf_dir):
     out = _streamed(spark, sf_dir, lambda s: streams.latest_per_key(s, ["user_id"], "ts", ["event_id"]), "complete")
     return out.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+#: Parts of the events' time that reach the stream one after the other, and days after which a key is forgotten.
+_SLICES, _EXPIRY = 4, 3.5
+
+
+@register(
+    "streaming_changes",
+    f"""WITH b AS (SELECT epoch_us(min(ts)) AS low, epoch_us(max(ts)) AS high FROM events),
+    l AS (SELECT user_id, event_type, ts, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1)
+    SELECT user_id, event_type, ts, event_id, epoch_us(ts) // 1000 + {int(_EXPIRY * 86_400_000)} <= b.high // 1000 - CAST(ceil((b.high - b.low) / {_SLICES} / 1000000.0) AS BIGINT) * 1000 AS expired FROM l, b""",
+)
+def streaming_changes(spark, sf_dir):
+    """The latest event of each user and kind, and whether it has expired, from the change rows of a keyed state.
+
+    The events come in slices of time, each fifth one slice late, with a run of the stream from its checkpoint for each.
+    """
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    width = (high - low) // _SLICES + 1
+    late = F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
+    slices = staging.stored(events.withColumn("slice", F.floor((F.unix_micros("ts") - low) / width).cast("int") + late), "event-slices")
+    folder = f"{staging.shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    latest.use_store(spark)
+    try:
+        for k in range(_SLICES + 1):
+            slices.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+            changes = latest.latest_changes(stream, ["user_id", "event_type"], "ts", ["event_id"], f"{-(-(high - low) // _SLICES // 1_000_000)} seconds", _EXPIRY)
+            sink.appended(changes, f"{folder}/changes", f"{folder}/state")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    standing = latest.standing(spark.read.parquet(f"{folder}/changes/*"), ["user_id", "event_type"], "ts", ["event_id"])
+    return standing.select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "expired")

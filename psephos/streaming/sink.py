@@ -30,3 +30,15 @@ def finished(stream: DataFrame, mode: str, seconds: int = 1800) -> DataFrame:
     if not written:
         return spark.createDataFrame([], stream.schema)
     return spark.read.schema(stream.schema).parquet(*sorted(written))
+
+
+def appended(stream: DataFrame, path: str, checkpoint: str, seconds: int = 1800) -> None:
+    """Runs a stream from its checkpoint over what is there; its rows come as Parquet into a folder per batch under ``path``.
+
+    A batch that is run again replaces its folder. Errors are those of ``finished``.
+    """
+    write = lambda rows, k: rows.write.mode("overwrite").parquet(f"{path}/batch-{k}")
+    run = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not run.awaitTermination(seconds):
+        run.stop()
+        raise TimeoutError(f"the stream has not ended in {seconds} s")
