@@ -118,36 +118,9 @@ def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
-def group_slopes(df: DataFrame, lead: str, controls: Sequence[str], target: str, group: str, draws: int = 500, ridge: float = 1e-5, seed: int = 23, min_groups: int = 2) -> dict:
-    """Slope of ``lead`` from rows centred within groups, each group weighing alike, with a small ridge on the controls, and
-    draws of it from a bootstrap of whole groups, centred on the estimate. One aggregate; the draws work on a matrix per group.
-    """
-    names = [lead, *controls]
-    parts = grams(df, names, target, group)
-    if len(parts) < min_groups:
-        return {"status": "insufficient_history", "n_groups": len(parts)}
-    blocks = []
-    for g in sorted(parts):
-        s, n = parts[g].sums, parts[g].n
-        mean = s[0, 1:] / n
-        blocks.append(s[1:, 1:] / n - np.outer(mean, mean))
-    blocks = np.stack(blocks)
-    k = len(names)
-    penalty = np.diag([0.0] + [ridge] * (k - 1))
-
-    def slope(counts: np.ndarray) -> float | None:
-        m = np.einsum("g,gij->ij", counts, blocks)
-        a, b = m[:k, :k], m[:k, k]
-        rest = a[1:, 1:] + penalty[1:, 1:]
-        left = a[0, 0] - (a[0, 1:] @ np.linalg.solve(rest, a[1:, 0]) if k > 1 else 0.0)
-        return float(np.linalg.solve(a + penalty, b)[0]) if left > 1e-7 else None
-
-    estimate = slope(np.ones(len(blocks)))
-    if estimate is None:
-        return {"status": "unidentified", "n_groups": len(blocks)}
-    rng = np.random.default_rng(seed)
-    found = [x for x in (slope(rng.multinomial(len(blocks), np.full(len(blocks), 1 / len(blocks))).astype(float)) for _ in range(draws)) if x is not None]
-    if len(found) < 0.8 * draws:
-        return {"status": "bootstrap_failed", "n_groups": len(blocks)}
-    spread = np.array(found) - np.mean(found) + estimate
-    return {"status": "estimated", "n_groups": len(blocks), "slope": estimate, "draws": spread.tolist(), "interval_90": np.quantile(spread, [0.05, 0.95]).tolist()}
+def group_slopes(df: DataFrame, lead: str, controls: Sequence[str], target: str, group: str, draws: int = 500, ridge: float = 1e-5, seed: int = 23, min_groups: int = 2) -> DataFrame:
+    """One row: the slope of ``lead`` from rows centred within groups, each group weighing alike, and the interval of a bootstrap of whole groups."""
+    from . import bootstrap
+
+    n_groups = df.where(F.forall(F.array(*(F.col(c).cast("double") for c in (lead, *controls, target))), lambda x: x.isNotNull() & ~F.isnan(x))).agg(F.count_distinct(group)).first()[0]
+    return bootstrap.summary(bootstrap.slopes(df, lead, controls, target, group, draws, ridge, seed), n_groups, draws, min_groups)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import allocation, evaluation, regression, simulation
+from ..operators import allocation, bootstrap, evaluation, regression, simulation
+from ..sources import staging
 from .catalog import register, table
 
 LINES_SQL = """SELECT c_nationkey AS county, c_mktsegment AS district, c_custkey AS precinct, l_returnflag AS flag, l_quantity AS votes, l_partkey, l_suppkey
@@ -166,10 +167,32 @@ def multiple_regression(spark, sf_dir):
     return _scored(regression.leave_one_out(prices(spark, sf_dir), ["q", "l_discount", "l_tax"], "y", "cycle"))
 
 
-@register("bootstrap_slope")
+#: Replicates of the bootstrap, and their sums drawn in SQL from the same hashes.
+_DRAWS = 500
+_SLOPES_SQL = f"""WITH p AS ({PRICES_SQL}),
+    b AS (SELECT row_number() OVER (ORDER BY cycle) - 1 AS g, var_pop(q) AS qq, covar_pop(q, l_discount) AS qd, var_pop(l_discount) AS dd, covar_pop(q, y) AS qy, covar_pop(l_discount, y) AS dy FROM p GROUP BY cycle),
+    k AS (SELECT count(*) AS c FROM b), i AS (SELECT unnest(generate_series(0, {_DRAWS} * (SELECT c FROM k) - 1)) AS id),
+    d AS (SELECT id // c AS replicate, CAST(floor(((('0x' || substr(md5(concat_ws('|', '23', 'group', id // c, id % c)), 1, 8))::BIGINT + 0.5) / 4294967296.0) * c) AS BIGINT) AS g FROM i, k
+        UNION ALL SELECT -1, g FROM b),
+    s AS (SELECT replicate, sum(qq) AS qq, sum(qd) AS qd, sum(dd) + 1e-5 AS dd, sum(qy) AS qy, sum(dy) AS dy FROM d JOIN b USING (g) GROUP BY replicate),
+    f AS (SELECT replicate, CASE WHEN qq - qd * qd / dd >= 1e-7 THEN (qy * dd - dy * qd) / (qq * dd - qd * qd) END AS slope FROM s)"""
+
+
+@register(
+    "bootstrap_slope",
+    f"""{_SLOPES_SQL}
+    SELECT 'estimated' AS status, (SELECT c FROM k) AS n_groups, round(e, 7) AS slope, round(a - m + e, 7) AS low, round(z - m + e, 7) AS high
+    FROM (SELECT max(slope) FILTER (WHERE replicate < 0) AS e, avg(slope) FILTER (WHERE replicate >= 0) AS m, quantile_cont(slope, 0.05) FILTER (WHERE replicate >= 0) AS a, quantile_cont(slope, 0.95) FILTER (WHERE replicate >= 0) AS z FROM f)""",
+)
 def bootstrap_slope(spark, sf_dir):
-    out = regression.group_slopes(prices(spark, sf_dir), "q", ["l_discount"], "y", "cycle")
-    return spark.createDataFrame([(out["status"], out["n_groups"], out.get("slope"), *(out.get("interval_90") or [None, None]))], "status string, n_groups bigint, slope double, low double, high double")
+    out = regression.group_slopes(prices(spark, sf_dir), "q", ["l_discount"], "y", "cycle", _DRAWS)
+    return out.select("status", "n_groups", *(F.round(c, 7).alias(c) for c in ("slope", "low", "high")))
+
+
+@register("bootstrap_draws", f"{_SLOPES_SQL} SELECT replicate, round(slope, 7) AS slope FROM f")
+def bootstrap_draws(spark, sf_dir):
+    """The slope of every replicate; -1 is the estimate."""
+    return bootstrap.slopes(prices(spark, sf_dir), "q", ["l_discount"], "y", "cycle", _DRAWS).select("replicate", F.round("slope", 7).alias("slope"))
 
 
 SCORES_SQL = "SELECT o_orderstatus, o_orderkey, least(1, greatest(0, o_totalprice / 400000)) AS p, CASE WHEN o_orderkey % 3 = 0 THEN 1.0 ELSE 0.0 END AS y FROM orders"
@@ -294,3 +317,18 @@ def sim_shared_slope(spark, sf_dir):
     leans = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), ((F.col("n_nationkey") - 12) / 12.0).alias("lean"))
     out = simulation.with_shared_slope(draws(spark, sf_dir), leans, "unit", "lean", SLOPES)
     return out.groupBy("unit").agg(F.round(F.avg("share"), 6).alias("mean_share"))
+
+
+@register(
+    "sim_bootstrap_slope",
+    f"""{_SLOPES_SQL}, w AS ({DRAWS_SQL}),
+    n AS (SELECT row_number() OVER (ORDER BY replicate) - 1 AS number, slope - avg(slope) OVER () + (SELECT max(slope) FROM f WHERE replicate < 0) AS slope FROM f WHERE replicate >= 0 AND slope IS NOT NULL),
+    x AS (SELECT sim, CAST(floor({_uniform_sql('slope', 'sim', 1).replace("'7'", "'8'")} * (SELECT count(*) FROM n)) AS BIGINT) AS number FROM (SELECT DISTINCT sim FROM w))
+    SELECT unit, round(avg(least(greatest(share + slope * (unit - 12) / 100.0, 0), 1)), 6) AS mean_share FROM w JOIN x USING (sim) JOIN n USING (number) GROUP BY unit""",
+)
+def sim_bootstrap_slope(spark, sf_dir):
+    """Simulated shares of the nations, each draw moved by lean times a slope of the bootstrap."""
+    found = bootstrap.slopes(prices(spark, sf_dir), "q", ["l_discount"], "y", "cycle", _DRAWS)
+    leans = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("unit"), ((F.col("n_nationkey") - 12) / 100.0).alias("lean"))
+    out = bootstrap.with_drawn_slope(draws(spark, sf_dir), leans, "unit", "lean", staging.stored(bootstrap.centred(staging.stored(found, "slopes")), "slope-draws"))
+    return out.groupBy("unit").agg(F.round(F.avg("share"), 6).alias("mean_share"))

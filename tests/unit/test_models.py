@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from psephos.operators import allocation, evaluation, ledger, matching, panels, polls, regression, seats, simulation, windows
+from psephos.operators import allocation, bootstrap, evaluation, ledger, matching, panels, polls, regression, seats, simulation, windows
 
 
 def test_least_squares_like_numpy(spark):
@@ -33,10 +33,35 @@ def test_later_rows_do_not_change_earlier_predictions(spark):
 def test_slope_of_a_planted_effect(spark):
     rng = np.random.default_rng(0)
     data = [(c, float(l), float(0.16 * l + c)) for c in range(8) for l in rng.normal(size=40)]
-    out = regression.group_slopes(spark.createDataFrame(data, "c int, lean double, e double"), "lean", [], "e", "c", draws=50)
-    assert out["status"] == "estimated" and abs(out["slope"] - 0.16) < 1e-6
+    out = regression.group_slopes(spark.createDataFrame(data, "c int, lean double, e double"), "lean", [], "e", "c", draws=50).first()
+    assert out.status == "estimated" and abs(out.slope - 0.16) < 1e-6 and abs(out.high - 0.16) < 1e-6
     one = spark.createDataFrame(data[:40], "c int, lean double, e double")
-    assert regression.group_slopes(one, "lean", [], "e", "c")["status"] == "insufficient_history"
+    assert regression.group_slopes(one, "lean", [], "e", "c").first().status == "insufficient_history"
+    flat = spark.createDataFrame([(c, 1.0, float(k)) for c in range(3) for k in range(5)], "c int, lean double, e double")
+    assert regression.group_slopes(flat, "lean", [], "e", "c").first().status == "unidentified"
+
+
+def test_replicates_against_numpy(spark):
+    """Every replicate's slope from its counts, by least squares over the rows it draws, with a control."""
+    rng = np.random.default_rng(1)
+    rows = [(c, *map(float, rng.normal(size=3))) for c in range(5) for _ in range(6 + c)]
+    df = spark.createDataFrame([*rows, (None, 1.0, 1.0, 1.0), (0, None, 1.0, 1.0)], "c int, x double, z double, y double")
+    counts = {}
+    for r in bootstrap.group_counts(spark, 5, 20, 3).collect():
+        counts.setdefault(r.replicate, {})[r._g] = r.n
+    assert all(sum(c.values()) == 5 for c in counts.values()) and len(counts) == 21
+    found = {r.replicate: r.slope for r in bootstrap.slopes(df, "x", ["z"], "y", "c", draws=20, seed=3).collect()}
+    blocks = []
+    for c in range(5):
+        m = np.array([r[1:] for r in rows if r[0] == c])
+        m = m - m.mean(axis=0)
+        blocks.append(m.T @ m / len(m))
+    for k, drawn in counts.items():
+        m = sum(n * blocks[g] for g, n in drawn.items())
+        wanted = np.linalg.solve(m[:2, :2] + np.diag([0, 1e-5]), m[:2, 2])[0]
+        assert abs(found[k] - wanted) < 1e-9
+    centred = bootstrap.centred(bootstrap.slopes(df, "x", ["z"], "y", "c", draws=20, seed=3)).collect()
+    assert abs(np.mean([r.slope for r in centred]) - found[-1]) < 1e-9 and sorted(r.number for r in centred) == list(range(20))
 
 
 def test_votes_are_conserved(spark):
