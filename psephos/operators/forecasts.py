@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from . import allocation, matching, polls, reconcile, regression
 from .panels import weighted_mean
-from .windows import guarded_lag, latest
+from .windows import guarded_lag
 
 
 def contest_panel(rows: DataFrame, unit: Sequence[str], cycle: str, share: str, weight: str, gap: int) -> DataFrame:
@@ -193,9 +193,3 @@ def prepared_archive(rows: DataFrame, checks: Sequence[tuple[str, Column]], key:
     kept, refused = reconcile.split(accepted, repeats.select(*key), key)
     counts = marked.where("reason is not null").groupBy("reason").count().unionByName(refused.groupBy(F.lit("repeated_key").alias("reason")).count())
     return kept, counts
-
-
-def race_universe(seats: DataFrame, holders: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Every seat with its holder if one is known (holder, source), else vacant."""
-    best = latest(holders, key, [F.asc("source"), F.desc("since")])
-    return seats.join(best, list(key), "left").withColumn("holder_source", F.coalesce("source", F.lit("vacant"))).drop("source")

@@ -29,8 +29,8 @@ def decisive_winner(df: DataFrame, keys: Sequence[str], stage_rank: Column, vote
 
 
 def even_period(year: Column) -> Column:
-    """An odd year belongs to the even period that follows it."""
-    return year + year % 2
+    """A contest of an odd year, a runoff, decides the even period before it."""
+    return year - year % 2
 
 
 def holders(df: DataFrame, keys: Sequence[str], period: str, winner: str, at: int, term: int) -> DataFrame:

@@ -95,8 +95,8 @@ def latest_per_key(spark, sf_dir):
 
 @register(
     "decisive_winner",
-    """SELECT o_custkey AS seat, CAST(year(o_orderdate) + year(o_orderdate) % 2 AS INTEGER) AS period, o_orderkey AS winner, o_totalprice AS votes FROM orders
-    QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) + year(o_orderdate) % 2 ORDER BY CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END DESC, o_totalprice DESC NULLS LAST, o_orderkey) = 1""",
+    """SELECT o_custkey AS seat, CAST(year(o_orderdate) - year(o_orderdate) % 2 AS INTEGER) AS period, o_orderkey AS winner, o_totalprice AS votes FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey, year(o_orderdate) - year(o_orderdate) % 2 ORDER BY CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'O' THEN 1 ELSE 0 END DESC, o_totalprice DESC NULLS LAST, o_orderkey) = 1""",
 )
 def decisive_winner(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
