@@ -5,10 +5,11 @@ one space and the text. ``np.repeat`` of token indices over their byte lengths g
 Consecutive distinct pairs of owners are the overlaps of tokens; where both owners change at once, both tokenizations are
 cut, and the tokens between two cuts are a group. The last tokens of a group end together: they are its link.
 
-Long texts are encoded and aligned in segments, cut at single spaces between two other characters. There a token of A
-begins for sure (its pre-tokenisation gives the space to what follows) and one of B (no piece has a space behind another
-character), so segments have the tokens of the whole text and every cut between segments is a cut of both. A task holds a
-segment at a time (``SEGMENT`` characters, more only where a text has no such space) and the links of its documents.
+Texts are encoded in segments, cut at single spaces between two other characters (near characters whose encoding may be
+that of a space none is cut). There a token of A begins for sure (its pre-tokenisation gives the space to what follows)
+and one of B (no piece has a space behind another character), so segments have the tokens of the whole text, every cut
+between segments is a cut of both, and each different segment is encoded once among some megabytes of text. Long texts
+pass in parts: a task holds some segments at a time and the links of its documents.
 
 Links are stored per document and counted in Spark: each task counts its own pairs of ids before anything is shuffled.
 The counts, with a mark on the highest of each B id, return to the documents in blocks of at most ``BLOCK_PAIRS`` pairs,
@@ -21,29 +22,31 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import itertools
 import os
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import stored
-from .words import release, runs
+from .words import release, runs, slices
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
 TOKENIZER_B = "/opt/tokenizers/piece_bpe_32k.model"
-#: Characters of a segment, and of the segments that are encoded and aligned together.
-SEGMENT, BATCH = 1 << 16, 1 << 18
-#: Pairs of ids that are broadcast at once (21 bytes each), and links that a task counts at once.
-BLOCK_PAIRS, COUNT_LINKS = 2_000_000, 4_000_000
-
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-
+#: Bytes of text whose different segments are encoded together, and that are aligned together; a longer segment is taken alone.
+ENCODE, ALIGN = 1 << 22, 1 << 18
+#: Segments that pass the tokenizers at once.
+ENCODE_SEGMENTS = 1 << 12
+#: Pairs of ids that are broadcast at once (17 bytes each), and links that a task counts or looks up at once.
+BLOCK_PAIRS, COUNT_LINKS = 2_000_000, 1_000_000
+#: Rows of links that are read, and that go to Python, at once.
+BATCH_ROWS = 256
 
 class Spelling:
     """The bytes of all tokens of a vocabulary."""
@@ -90,16 +93,42 @@ class Pair:
         self.digits = Spelling([b"%d," % k for k in range(max(len(tokens), len(pieces)))])
 
     def encoded(self, segments: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        return [e.ids for e in self.a.encode_batch_fast([f" {s}" for s in segments], add_special_tokens=False)], self.b.encode(segments, num_threads=1)
-
-
-def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
-    """The text less the spaces at which it is cut."""
-    at = 0
-    while len(text) - at > size and (found := _CUT.search(text, at + size)):
-        yield text[at : found.start()]
-        at = found.end()
-    yield text[at:]
+        """The ids of texts that begin with a space; A encodes them as they are, B adds the space itself."""
+        return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)], self.b.encode([s[1:] for s in segments], num_threads=1)
+
+    def flat(self, segments: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For A and B the ids of all segments one behind the other, and where those of each begin (one more at the end)."""
+        ids, sizes = ([], []), ([], [])
+        for k in range(0, len(segments), ENCODE_SEGMENTS):  # the tokenizers' own objects are far larger than ids
+            for side, lists in enumerate(self.encoded(segments[k : k + ENCODE_SEGMENTS])):
+                sizes[side].append(np.fromiter(map(len, lists), np.int64, len(lists)))
+                ids[side].append(np.fromiter(itertools.chain.from_iterable(lists), np.int64, sizes[side][-1].sum()))
+        none = [np.zeros(0, np.int64)]
+        return [(np.concatenate(none + i), np.cumsum(np.concatenate([[0], *n], dtype=np.int64))) for i, n in zip(ids, sizes, strict=True)]
+
+
+def segments(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of texts, each non-empty one behind a space; where their segments begin (one more at the end), and the first segment of each text."""
+    n = np.diff(ends)
+    full = n > 0
+    room = np.full(len(data) + np.count_nonzero(full) + 1, 0x20, np.uint8)
+    firsts = (ends[:-1] + np.cumsum(full) - 1)[full]
+    for i, j, k in zip(ends[:-1][full].tolist(), ends[1:][full].tolist(), firsts.tolist(), strict=True):
+        room[k + 1 : k + 1 + j - i] = data[i:j]
+    at = np.flatnonzero(room[:-1] == 0x20)
+    at = at[at > 0]
+    # Characters of two bytes from C3, of three from E4 and of four are no spaces.
+    near = lambda k: room[np.maximum(at - k, 0)]
+    plain = lambda b: (b > 0x20) & (b < 0x80)
+    lead = lambda b, low, high: (b >= low) & (b <= high)
+    before = plain(near(1)) | (near(1) >= 0x80) & (lead(near(2), 0xC3, 0xDF) | (near(2) >= 0x80) & (near(2) < 0xC0) & (lead(near(3), 0xE4, 0xEF) | (near(3) >= 0x80) & (near(3) < 0xC0) & (near(4) >= 0xF0)))
+    behind = room[at + 1]
+    cuts = at[before & (plain(behind) | lead(behind, 0xC3, 0xDF) | (behind >= 0xE4))]
+    begins = np.zeros(len(room) - 1, bool)
+    begins[firsts] = begins[cuts] = True
+    starts = np.flatnonzero(begins)
+    where = np.concatenate([[0], np.cumsum(full)])
+    return room[:-1], np.append(starts, len(room) - 1), np.append(np.searchsorted(starts, firsts), len(starts))[where]
 
 
 class Aligned(NamedTuple):
@@ -143,39 +172,50 @@ def group_text(x: Aligned, digits: Spelling) -> tuple[np.ndarray, np.ndarray]:
     return text, np.concatenate([[0], ends])[x.a_first + x.b_first]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.concatenate([[0], np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.fromiter((i for x in lists for i in x), np.int64, first[-1]), first
-
-
-def encode_and_align(pair: Pair, parts: list[str]) -> tuple[Aligned, np.ndarray]:
-    """The alignment of some segments, and which of them both tokenizers spell out; the others have no tokens."""
-    wanted = [b" " + p.encode() for p in parts]
-    lists_a, lists_b = pair.encoded(parts)
-    good = np.ones(len(parts), bool)
-    for lists, spelling in ((lists_a, pair.bytes_a), (lists_b, pair.bytes_b)):
-        ids, first = _flat(lists)
-        spelled = spelling.joined(ids).tobytes()
-        at = np.concatenate([[0], np.cumsum(spelling.length[ids])])[first].tolist()
-        good &= np.array([spelled[i:j] == w for i, j, w in zip(at[:-1], at[1:], wanted, strict=True)], bool)
-    if not good.all():
-        lists_a, lists_b = ([x if ok else [] for x, ok in zip(lists, good, strict=True)] for lists in (lists_a, lists_b))
-    (a, a_first), (b, b_first) = _flat(lists_a), _flat(lists_b)
-    return aligned(a, b, a_first, b_first, pair.bytes_a.length[a], pair.bytes_b.length[b]), good
-
-
-def _batches(texts: list[str | None], segment: int) -> Iterator[list[tuple[int, str]]]:
-    """The segments of non-empty texts with the index of their text, some at once."""
-    now, size = [], 0
-    for k, text in enumerate(texts):
-        for part in segments(text, segment) if text else ():
-            now.append((k, part))
-            size += len(part)
-            if size >= BATCH:
-                yield now
-                now, size = [], 0
-    if now:
-        yield now
+class Encoded:
+    """The tokens of the different segments of some texts, ``good`` where both tokenizers spell the segment out, and which segment stands where."""
+
+    def __init__(self, pair: Pair, data: np.ndarray, starts: np.ndarray):
+        self.pair = pair
+        found = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
+        different = found.dictionary.to_pylist()
+        self.which = found.indices.to_numpy()
+        wanted = [x.encode() for x in different]
+        self.good = np.ones(len(different), bool)
+        self.sides = []
+        for (ids, first), spelling in zip(pair.flat(different), (pair.bytes_a, pair.bytes_b), strict=True):
+            spelled = spelling.joined(ids).tobytes()
+            at = np.concatenate([[0], np.cumsum(spelling.length[ids])])[first].tolist()
+            self.good &= np.array([spelled[i:j] == w for i, j, w in zip(at[:-1], at[1:], wanted, strict=True)], bool)
+            self.sides.append((ids, first))
+
+    def aligned(self, low: int, high: int) -> tuple[Aligned, np.ndarray]:
+        """The alignment of the segments from ``low`` to ``high``, and which of them are good; the others have no tokens."""
+        which = self.which[low:high]
+        good = self.good[which]
+        tokens, firsts = [], []
+        for ids, first in self.sides:
+            n = np.where(good, first[which + 1] - first[which], 0)
+            tokens.append(ids[np.repeat(first[which], n) + runs(n)])
+            firsts.append(np.concatenate([[0], np.cumsum(n)]))
+        return aligned(*tokens, *firsts, *(x.length[ids] for x, ids in zip((self.pair.bytes_a, self.pair.bytes_b), tokens, strict=True))), good
+
+
+def _alignments(pair: Pair, data: np.ndarray, ends: np.ndarray, encode: int = ENCODE) -> Iterator[tuple[np.ndarray, Aligned, np.ndarray]]:
+    """For some segments at a time, in order: the text of each, their alignment, and which are good."""
+    room, starts, first = segments(data, ends)
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = 0
+    while at < len(doc):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + encode, "right")) - 1)
+        part = starts[at : to + 1]
+        some = Encoded(pair, room[part[0] : part[-1]], part - part[0])
+        low = 0
+        while low < to - at:
+            high = max(low + 1, int(np.searchsorted(part, part[low] + min(ALIGN, encode), "right")) - 1)
+            yield doc[at + low : at + high], *some.aligned(low, high)
+            low = high
+        at = to
 
 
 class _Document:
@@ -184,7 +224,10 @@ class _Document:
     def __init__(self):
         self.good, self.n_a, self.n_b, self.n_groups, self.digest, self.links = True, 0, 0, 0, None, []
 
-    def add(self, n_a: int, n_b: int, n_groups: int, text: np.ndarray, links: np.ndarray) -> None:
+    def add(self, good: bool, n_a: int, n_b: int, n_groups: int, text: np.ndarray, links: np.ndarray) -> None:
+        if not (self.good and good):
+            self.good, self.links = False, []
+            return
         self.n_a, self.n_b, self.n_groups = self.n_a + n_a, self.n_b + n_b, self.n_groups + n_groups
         if self.digest is None:
             self.digest = hashlib.sha256()
@@ -202,36 +245,32 @@ class _Document:
 LINK_SCHEMA = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, groups_sha256 string, link_a array<int>, link_b array<int>"
 
 
-def links(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TOKENIZER_B, segment: int = SEGMENT) -> DataFrame:
+def links(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str = TOKENIZER_B, encode: int = ENCODE) -> DataFrame:
     """For each row: doc_id, n_a, n_b, n_groups, groups_sha256, and the ids of its links as link_a and link_b."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(tokenizer_a, tokenizer_b)
-        for batch in batches:
-            for at in range(0, len(batch), 128):
-                part = batch.slice(at, 128)
-                found = [_Document() for _ in range(len(part))]
-                for some in _batches(part.column("text").to_pylist(), segment):
-                    x, good = encode_and_align(pair, [s for _, s in some])
-                    text, text_first = group_text(x, pair.digits)
-                    ids = np.stack([x.a[x.last_a], x.b[x.last_b]]).astype(np.int32)
-                    a, b, g, t = (first.tolist() for first in (x.a_first, x.b_first, x.g_first, text_first))
-                    for k, (doc, _) in enumerate(some):
-                        if good[k]:
-                            found[doc].add(a[k + 1] - a[k], b[k + 1] - b[k], g[k + 1] - g[k], text[t[k] : t[k + 1]], ids[:, g[k] : g[k + 1]])
-                        else:
-                            found[doc].good = False
-                n_a, n_b, n_groups, digest, pairs = zip(*(d.row() for d in found), strict=True)
-                cuts = pa.array(np.concatenate([[0], np.cumsum([p.shape[1] for p in pairs])]), pa.int32())
-                every = np.concatenate(pairs, axis=1)
-                counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups}
-                yield pa.record_batch(
-                    {"doc_id": part.column("doc_id")}
-                    | {name: pa.array(n, pa.int64()) for name, n in counts.items()}
-                    | {"groups_sha256": pa.array(digest, pa.string())}
-                    | {name: pa.ListArray.from_arrays(cuts, pa.array(ids)) for name, ids in zip(("link_a", "link_b"), every, strict=True)}
-                )
-        release()
+        for part, data, ends in slices(batches, limit=encode):
+            found = [_Document() for _ in range(len(part))]
+            for docs, x, good in _alignments(pair, data, ends, encode):
+                text, text_first = group_text(x, pair.digits)
+                ids = np.stack([x.a[x.last_a], x.b[x.last_b]]).astype(np.int32)
+                # Segments of one document lie side by side.
+                edges = np.flatnonzero(np.diff(docs, prepend=-1, append=-1)) if len(docs) else docs
+                for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    a, b, g, t = ((first[i], first[j]) for first in (x.a_first, x.b_first, x.g_first, text_first))
+                    found[docs[i]].add(good[i:j].all(), a[1] - a[0], b[1] - b[0], g[1] - g[0], text[t[0] : t[1]], ids[:, g[0] : g[1]])
+            n_a, n_b, n_groups, digest, pairs = zip(*(d.row() for d in found), strict=True)
+            cuts = pa.array(np.concatenate([[0], np.cumsum([p.shape[1] for p in pairs])]), pa.int32())
+            every = np.concatenate(pairs, axis=1)
+            counts = {"n_a": n_a, "n_b": n_b, "n_groups": n_groups}
+            yield pa.record_batch(
+                {"doc_id": part.column("doc_id")}
+                | {name: pa.array(n, pa.int64()) for name, n in counts.items()}
+                | {"groups_sha256": pa.array(digest, pa.string())}
+                | {name: pa.ListArray.from_arrays(cuts, pa.array(ids)) for name, ids in zip(("link_a", "link_b"), every, strict=True)}
+            )
+            release()
 
     return docs.select("doc_id", "text").mapInArrow(align, LINK_SCHEMA)
 
@@ -245,22 +284,23 @@ def alignments(docs: DataFrame, tokenizer_a: str = TOKENIZER_A, tokenizer_b: str
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = Pair(tokenizer_a, tokenizer_b)
-        for batch in batches:
-            for k in range(len(batch)):
-                text = batch.column("text")[k].as_py()
-                parts = list(segments(text)) if text else []
-                x, good = encode_and_align(pair, parts)
-                if not good.all():
-                    x, _ = encode_and_align(pair, [])
-                struct = lambda a, b: pa.StructArray.from_arrays([pa.array(a, pa.int32()), pa.array(b, pa.int32())], names=["a", "b"])
+        for part, data, ends in slices(batches):
+            for k in range(len(part)):
+                found = list(_alignments(pair, data[ends[k] : ends[k + 1]], np.array([0, ends[k + 1] - ends[k]])))
+                if not all(good.all() for *_, good in found):
+                    found = []
+                sizes = np.cumsum([(0, 0), *((len(x.a), len(x.b)) for _, x, _ in found)], axis=0)[:-1]
+                joined = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays])
+                lists = lambda name, more=0: [joined(getattr(x, f"{name}_{side}") + s[k] + more for (_, x, _), s in zip(found, sizes, strict=False)) for k, side in enumerate("ab")]
+                struct = lambda ab: pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in ab], names=["a", "b"])
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
                 yield pa.record_batch(
                     {
-                        "doc_id": batch.column("doc_id").slice(k, 1),
-                        "a": one(pa.array(x.a, pa.int32())),
-                        "b": one(pa.array(x.b, pa.int32())),
-                        "overlaps": one(struct(x.over_a, x.over_b)),
-                        "groups": one(struct(x.last_a + 1, x.last_b + 1)),
+                        "doc_id": part.column("doc_id").slice(k, 1),
+                        "a": one(pa.array(joined(x.a for _, x, _ in found), pa.int32())),
+                        "b": one(pa.array(joined(x.b for _, x, _ in found), pa.int32())),
+                        "overlaps": one(struct(lists("over"))),
+                        "groups": one(struct(lists("last", 1))),
                     }
                 )
 
@@ -277,9 +317,9 @@ def pair_counts(found: DataFrame) -> DataFrame:
             pairs, n = np.unique(np.concatenate(held), return_counts=True)
             return pa.record_batch({"a": pa.array(pairs >> 32, pa.int32()), "b": pa.array(pairs & 0xFFFFFFFF, pa.int32()), "n": pa.array(n, pa.int64())})
 
-        for batch in batches:
-            held.append(_keys(batch))
-            size += len(held[-1])
+        for _, keys, _ in _parts(batches):
+            held.append(keys)
+            size += len(keys)
             if size >= COUNT_LINKS:
                 yield counted()
                 held, size = [], 0
@@ -292,16 +332,39 @@ def pair_counts(found: DataFrame) -> DataFrame:
     return counts.join(most, "b").select("a", "b", "n", (F.col("n") == F.col("most")).alias("best"))
 
 
-def _keys(batch: pa.RecordBatch) -> np.ndarray:
-    a, b = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b"))
-    return a << 32 | b
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of about ``COUNT_LINKS`` links with these as keys, and where those of each row begin (one more at the end)."""
+    for batch in batches:
+        cuts = batch.column("link_a").offsets.to_numpy().astype(np.int64)
+        at = 0
+        while at < len(batch):
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + COUNT_LINKS, "right")) - 1)
+            part = batch.slice(at, to - at)
+            a, b = (part.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("link_a", "link_b"))
+            yield part, a << 32 | b, cuts[at : to + 1] - cuts[at]
+            at = to
+
+
+@contextlib.contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of ``BATCH_ROWS`` rows for what runs inside: a row of links may hold thousands of them."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
 
 
 def link_support(docs: DataFrame, block_pairs: int = BLOCK_PAIRS, **options) -> DataFrame:
     """For each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (see the module)."""
     spark = docs.sparkSession
     found = stored(links(docs, **options).withColumn("row", F.monotonically_increasing_id()), "token-links")
-    counts = stored(pair_counts(found), "pair-counts")
+    with _short_batches(spark):
+        counts = stored(pair_counts(found), "pair-counts")
     n_blocks = max(1, -(-counts.count() // block_pairs))
     block = F.pmod(F.xxhash64("a", "b"), F.lit(n_blocks))
     facts = ("row", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
@@ -315,19 +378,16 @@ def link_support(docs: DataFrame, block_pairs: int = BLOCK_PAIRS, **options) ->
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, n, best = sent.value
-            for batch in batches:
-                cuts = batch.column("link_a").offsets.to_numpy().astype(np.int64)
-                wanted = _keys(batch)
+            for part, wanted, cuts in _parts(batches):
                 if len(keys):
                     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
                     hit = keys[at] == wanted
-                    sums = [np.concatenate([[0], np.cumsum(np.where(hit, x, 0))]) for x in (best[at], n[at])]
+                    sums = [np.concatenate([[0], np.cumsum(np.where(hit, x[at], 0))]) for x in (best, n)]
                 else:
                     sums = [np.zeros(len(wanted) + 1, np.int64)] * 2
-                cuts = cuts - cuts[0]
-                n_links, n_best, count_sum = np.diff(cuts), *(s[cuts[1:]] - s[cuts[:-1]] for s in sums)
+                n_links, n_best, count_sum = np.diff(cuts), *(x[cuts[1:]] - x[cuts[:-1]] for x in sums)
                 more = {"n_links": n_links, "n_best": n_best, "count_sum": count_sum}
-                yield pa.record_batch({c: batch.column(c) for c in facts} | {c: pa.array(x, pa.int64()) for c, x in more.items()})
+                yield pa.record_batch({c: part.column(c) for c in facts} | {c: pa.array(x, pa.int64()) for c, x in more.items()})
             release()
 
         kept = ", ".join(f"{c} {found.schema[c].dataType.simpleString()}" for c in facts)
@@ -337,6 +397,8 @@ def link_support(docs: DataFrame, block_pairs: int = BLOCK_PAIRS, **options) ->
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    with _short_batches(spark):
+        every = stored(every, "link-sums")
     if n_blocks > 1:
         every = every.groupBy(*facts).agg(F.first("n_links").alias("n_links"), F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     return every.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
