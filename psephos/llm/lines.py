@@ -5,11 +5,8 @@ digit are wildcards. In a leaf, the positions at which one token holds in at lea
 others are variable fields; lines that agree with the leaf's template in at least ``AGREE`` of their positions belong to it,
 each other line is a template of its own (its tokens, those with a digit as wildcards).
 
-A template recurs if at least ``MIN_DOCS`` different texts have it that are no copies; lines of recurring templates are
-dropped everywhere. A text counts as a copy where at least ``COPY`` of its lines have templates that ``MIN_DOCS`` different
-texts have: two texts that have x of their lines in common have a similarity of x / (2 - x), so below 6/7 no text is as
-similar as 0.75 to another by these lines alone. Whole and near copies thus keep their lines (removing copies is another
-operator's work), unless ten other texts have them too; a block of recurring lines goes as a whole, wherever it stands.
+A template recurs if at least ``MIN_DOCS`` different texts have it, whatever else stands in them; lines of recurring
+templates are dropped everywhere. Whole copies are one text, so copies of a text alone don't make its lines recur.
 
 Only leaves with enough lines are looked at token by token. A very common line is counted by partial sums before
 any shuffle; joins on its leaf may be split by Spark.
@@ -24,11 +21,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import named, stored
 
 DEPTH, MIN_DOCS, AGREE = 3, 10, 0.7
-#: Share of recurring lines (numerator, denominator) from which on a text counts as a copy.
-COPY = (6, 7)
 WILD = "<*>"
 
 
@@ -45,14 +40,14 @@ def _leaf(line: Column) -> Column:
 
 
 def tree_lines(docs: DataFrame) -> DataFrame:
-    """A row per line that is not blank: doc_id, hash (of the text), n (such lines of the text), pos, line, leaf."""
+    """A row per line that is not blank: doc_id, hash (of the text), pos, line, leaf."""
     split = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("hash"), F.split("text", "\n").alias("lines"))
     placed = split.select("doc_id", "hash", F.filter(F.transform("lines", lambda line, k: F.struct(k.alias("pos"), line.alias("line"), _leaf(line).alias("leaf"))), lambda x: x["leaf"].isNotNull()).alias("l"))
-    return placed.select("doc_id", "hash", F.size("l").alias("n"), F.explode("l").alias("l")).select("doc_id", "hash", "n", "l.*")
+    return placed.select("doc_id", "hash", F.explode("l").alias("l")).select("doc_id", "hash", "l.*")
 
 
 def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The lines of leaves with at least ``min_docs`` lines and the template of each: doc_id, hash, n, pos, template."""
+    """The lines of leaves with at least ``min_docs`` lines and the template of each: doc_id, hash, pos, template."""
     every = tree_lines(docs)
     # Counted apart from the join, so that Spark may split a leaf with very many lines.
     leaves = stored(every.groupBy("leaf").count().where(F.col("count") >= min_docs).withColumnRenamed("count", "n_lines"), "leaves")
@@ -67,19 +62,13 @@ def templates(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     same = F.size(F.filter(F.transform("tokens", lambda t, k: F.coalesce(F.try_element_at("constant", k) == t, F.lit(False))), lambda x: x))
     of_leaf = same >= AGREE * F.size("tokens")
     own = F.xxhash64(F.lit("line"), F.array_join("tokens", " "))
-    return lines.join(known, "leaf", "left").select("doc_id", "hash", "n", "pos", F.when(F.coalesce(of_leaf, F.lit(False)), F.col("leaf")).otherwise(own).alias("template"))
+    return lines.join(known, "leaf", "left").select("doc_id", "hash", "pos", F.when(F.coalesce(of_leaf, F.lit(False)), F.col("leaf")).otherwise(own).alias("template"))
 
 
 def recurring(found: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The templates that at least ``min_docs`` different texts have which are no copies: template, n_texts."""
-    lines = found.groupBy("hash", "pos", "template").agg(F.first("n").alias("n"))  # those of a text once
-    texts = stored(lines.groupBy("hash", "template").agg(F.count("*").alias("c"), F.first("n").alias("n")), "text-templates")
-    # Counts are stored apart from the joins, so that Spark may split a template or text with very many rows.
-    shared = stored(texts.groupBy("template").count().where(F.col("count") >= min_docs).select("template"), "shared-templates")
-    inside = stored(texts.join(shared, "template"), "shared-lines")
-    copies = inside.groupBy("hash").agg(F.sum("c").alias("c"), F.first("n").alias("n")).where(COPY[1] * F.col("c") >= COPY[0] * F.col("n"))
-    own = inside.join(stored(copies.select("hash"), "copied-texts"), "hash", "left_anti")
-    return own.groupBy("template").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_docs)
+    """The templates that at least ``min_docs`` different texts have: template, n_texts."""
+    texts = found.select("hash", "template").distinct()
+    return texts.groupBy("template").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") >= min_docs)
 
 
 def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -88,7 +77,7 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     drops = found.join(stored(recurring(found, min_docs), "recurring"), "template").groupBy("doc_id", "hash").agg(F.collect_set("pos").alias("drop"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     # The row's own columns are kept in one, so their names can't clash.
-    rows = docs.select(F.struct(*names).alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
+    rows = docs.select(F.struct(*map(named, names)).alias("r"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"))
     joined = rows.join(drops, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("hash")), "left")
     lines = F.split("r.text", "\n")
     kept = F.array_join(F.filter(lines, lambda _, k: ~F.array_contains("drop", k)), "\n")
@@ -101,19 +90,16 @@ ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 e AS (SELECT doc_id, text, unnest(generate_series(0, len(lines) - 1)) AS pos, unnest(lines) AS line FROM d),
 k AS (SELECT doc_id, text, pos, list_transform(string_split(trim(line, ' '), ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{WILD}' ELSE t END) AS tokens FROM e WHERE trim(line, ' ') <> ''),
-l AS (SELECT *, concat_ws(chr(1), len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf, count(*) OVER (PARTITION BY doc_id) AS n FROM k),
+l AS (SELECT *, concat_ws(chr(1), len(tokens), tokens[1], tokens[2], tokens[3]) AS leaf FROM k),
 c AS (SELECT *, count(*) OVER (PARTITION BY leaf) AS n_lines FROM l QUALIFY count(*) OVER (PARTITION BY leaf) >= {MIN_DOCS}),
 p AS (SELECT leaf, n_lines, unnest(generate_series(1, len(tokens))) AS place, unnest(tokens) AS token FROM c),
 q AS (SELECT leaf, place, token, count(*) AS n FROM p GROUP BY leaf, place, token, n_lines HAVING 2 * count(*) >= n_lines),
 m AS (SELECT leaf, place, max({{'n': n, 'token': token}}).token AS token FROM q GROUP BY leaf, place),
 s AS (SELECT c.doc_id, c.pos, count(*) AS same FROM (SELECT doc_id, pos, leaf, unnest(generate_series(1, len(tokens))) AS place, unnest(tokens) AS token FROM c) c
       JOIN m ON c.leaf = m.leaf AND c.place = m.place AND c.token = m.token GROUP BY c.doc_id, c.pos),
-t AS (SELECT c.doc_id, c.text, c.n, c.pos, CASE WHEN coalesce(s.same, 0) >= {AGREE} * len(c.tokens) THEN 'leaf ' || c.leaf ELSE 'line ' || array_to_string(c.tokens, ' ') END AS template
+t AS (SELECT c.doc_id, c.text, c.pos, CASE WHEN coalesce(s.same, 0) >= {AGREE} * len(c.tokens) THEN 'leaf ' || c.leaf ELSE 'line ' || array_to_string(c.tokens, ' ') END AS template
       FROM c LEFT JOIN s ON c.doc_id = s.doc_id AND c.pos = s.pos),
-o AS (SELECT text, template, n, count(DISTINCT pos) AS c FROM t GROUP BY text, template, n),
-i AS (SELECT *, count(*) OVER (PARTITION BY template) AS texts FROM o QUALIFY count(*) OVER (PARTITION BY template) >= {MIN_DOCS}),
-y AS (SELECT text FROM i GROUP BY text HAVING {COPY[1]} * sum(c) >= {COPY[0]} * max(n)),
-r AS (SELECT template FROM i ANTI JOIN y ON i.text = y.text GROUP BY template HAVING count(*) >= {MIN_DOCS}),
+r AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT text) >= {MIN_DOCS}),
 x AS (SELECT t.doc_id, list(t.pos) AS drops FROM t JOIN r ON t.template = r.template GROUP BY t.doc_id)
 SELECT d.doc_id,
     CASE WHEN x.drops IS NULL THEN d.text ELSE array_to_string(list_transform(list_filter(generate_series(0, len(d.lines) - 1), lambda i: NOT list_contains(x.drops, i)), lambda i: d.lines[i + 1]), chr(10)) END AS text,

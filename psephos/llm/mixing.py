@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .storage import stored
+from .storage import named, stored
 
 BLOCK, CHUNK = 65_536, 8192
 #: Sources of equally many blocks are ranked in parts, by so many hexadecimal digits of their names' hashes.
@@ -128,7 +128,7 @@ def streams(docs: DataFrame, seed: int, names: list[str]) -> DataFrame:
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
     rows = docs.select(
-        F.struct(*names).alias("r"),
+        F.struct(*map(named, names)).alias("r"),
         key.alias("s"),
         F.col("doc_id").alias("id"),
         F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("characters"),
@@ -212,13 +212,32 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, bl
     return found.select("r.*", F.col("b").alias("block"), "slot", (F.col("start") - F.col("b") * block).cast("bigint").alias("offset"))
 
 
-#: ``mixed`` of all documents by equal weights.
+#: Written target weights of the sources that the tables name; sources that are not among them follow by equal weights.
+TARGETS = {f"src{k}": 1 + k % 4 for k in range(20)}
+
+#: A common multiple of all sums of ``TARGETS`` that can be left, so that lags are whole numbers.
+_WHOLE = math.lcm(*range(1, sum(TARGETS.values()) + 1))
+
+#: ``mixed`` of all documents by ``TARGETS``, slot by slot: st has each source's weight, blocks left and given (in all and
+#: in this phase), and lag; x is the released block of the earliest deadline.
 ORACLE_SQL = f"""
-WITH d AS (SELECT doc_id, text, source, coalesce('s' || source, 'n') AS s, md5(concat_ws('|', 0, doc_id, text)) AS o, coalesce(length(text), 0) AS n FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, text, source, coalesce('s' || source, 'n') AS s, md5(concat_ws('|', 0, doc_id, text)) AS o, coalesce(length(text), 0) AS n FROM documents),
 p AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY s ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
-t AS (SELECT s, greatest(1, CAST(ceil(sum(n) / {BLOCK}) AS BIGINT)) AS blocks FROM d GROUP BY s),
-r AS (SELECT s, blocks, row_number() OVER (ORDER BY blocks DESC, substr(md5(s), 1, {PART_DIGITS}), s) - 1 AS rank FROM t),
-b AS (SELECT doc_id, text, source, rank, start, least(CAST(floor(start / {BLOCK}) AS BIGINT), blocks - 1) AS block FROM p JOIN r ON p.s = r.s),
-e AS (SELECT block, (SELECT CAST(sum(least(t.blocks, k.block)) AS BIGINT) FROM t) AS earlier FROM (SELECT DISTINCT block FROM b) k)
-SELECT doc_id, text, source, b.block, CAST(earlier + rank AS BIGINT) AS slot, CAST(start - b.block * {BLOCK} AS BIGINT) AS "offset" FROM b JOIN e ON b.block = e.block
+w AS (SELECT unnest([{", ".join(f"'s{s}'" for s in TARGETS)}]) AS s, unnest([{", ".join(map(str, TARGETS.values()))}]) AS w),
+t AS (SELECT d.s, any_value(w) AS w, greatest(1, CAST(ceil(sum(n) / {BLOCK}) AS BIGINT)) AS blocks FROM d LEFT JOIN w ON w.s = d.s GROUP BY d.s),
+e AS (
+    SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, list({{'s': s, 'w': CAST(w AS BIGINT), 'rest': blocks, 'used': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT), 'lag': CAST(0 AS HUGEINT)}} ORDER BY s) AS st, '' AS s, CAST(0 AS BIGINT) AS block FROM t WHERE w > 0
+    UNION ALL
+    SELECT slot + 1, CASE WHEN x.rest = 1 THEN 0 ELSE t + 1 END, list_transform(st, lambda k: {{'s': k.s, 'w': k.w, 'rest': k.rest - (k.s = x.s)::BIGINT, 'used': k.used + (k.s = x.s)::BIGINT,
+            'i': CASE WHEN x.rest = 1 THEN 0 ELSE k.i + (k.s = x.s)::BIGINT END,
+            'lag': CASE WHEN x.rest = 1 AND k.rest > 0 THEN k.lag + {_WHOLE}::HUGEINT // total * k.w * (t + 1) - {_WHOLE}::HUGEINT * (k.i + (k.s = x.s)::BIGINT) ELSE k.lag END}}), x.s, x.used
+    FROM (SELECT slot, t, st, total, list_sort(list_transform(list_filter(st, lambda k: k.rest > 0 AND k.i * total // k.w <= t),
+            lambda k: {{'due': ((k.i + 1) * total + k.w - 1) // k.w, 'again': (k.i + 1) * total // k.w, 'behind': -k.lag, 's': k.s, 'used': k.used, 'rest': k.rest}}))[1] AS x
+        FROM (SELECT slot, t, st, CAST(list_sum(list_transform(st, lambda k: CASE WHEN k.rest > 0 THEN k.w ELSE 0 END)) AS BIGINT) AS total FROM e) WHERE total > 0)
+),
+r AS (SELECT s, blocks, row_number() OVER (ORDER BY blocks DESC, substr(md5(s), 1, {PART_DIGITS}), s) - 1 AS rank FROM t WHERE w IS NULL),
+b AS (SELECT p.*, t.w, least(CAST(floor(start / {BLOCK}) AS BIGINT), blocks - 1) AS block FROM p JOIN t ON p.s = t.s),
+f AS (SELECT block, (SELECT coalesce(CAST(sum(blocks) AS BIGINT), 0) FROM t WHERE w > 0) + (SELECT CAST(sum(least(r.blocks, k.block)) AS BIGINT) FROM r) AS earlier FROM (SELECT DISTINCT block FROM b WHERE w IS NULL) k)
+SELECT doc_id, text, source, b.block, CAST(coalesce(e.slot, earlier + rank) AS BIGINT) AS slot, CAST(start - b.block * {BLOCK} AS BIGINT) AS "offset"
+FROM b LEFT JOIN e ON e.s = b.s AND e.block = b.block AND e.slot >= 0 LEFT JOIN r ON r.s = b.s LEFT JOIN f ON f.block = b.block AND b.w IS NULL
 """

@@ -108,8 +108,8 @@ ORACLES["op9_chat_format"] = oracles.CHAT
 
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in a mix of equal parts of each source."""
-    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """All documents in a mix of the sources by their target weights."""
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.TARGETS)
 
 
 ORACLES["op7_mix_sources"] = mixing.ORACLE_SQL

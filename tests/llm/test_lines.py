@@ -18,7 +18,7 @@ def test_recurring_templates_go_and_copies_stay(spark):
 
 
 def test_blocks_of_recurring_lines_go_whole(spark):
-    """A footer of three lines and short lines go from all texts, also from copies, and a group of copies keeps the rest."""
+    """A footer of three lines and short lines go from all texts; lines that many near copies share recur, whole copies don't."""
     footer = "\nShare this page\nAll about us\nTop"
     docs = [(i, f"own{chr(97 + i % 26)}{chr(97 + i // 26)} line" + footer) for i in range(40)]
     near = ["this long text", "has been copied", "very many times", "with small edits", "in one of lines", "and it stays", "as it was", "to the end"]
@@ -26,7 +26,21 @@ def test_blocks_of_recurring_lines_go_whole(spark):
     docs += [(200 + i, "a whole copy\nof two lines") for i in range(20)]
     rows = {r.doc_id: r.text for r in lines.deduplicated(frame(spark, docs)).collect()}
     for i, text in docs:
-        assert rows[i] == text.replace(footer, "").replace("\nTop", "")
+        if 100 <= i < 200:
+            assert rows[i] == f"edit{chr(97 + i - 100)}x {near[(i - 100) % 8]}"
+        else:
+            assert rows[i] == text.replace(footer, "").replace("\nTop", "")
+
+
+def test_no_share_of_recurring_lines_keeps_them(spark):
+    """Blocks of six and twenty recurring lines beside one own line, and one-line logs with variable fields."""
+    own = lambda i: f"own{chr(97 + i % 26)}{chr(97 + i // 26)} line"
+    for n in (1, 5, 6, 20):
+        block = "\n".join(f"the common line {chr(97 + k) * 3}" for k in range(n))
+        rows = lines.deduplicated(frame(spark, [(i, f"{own(i)}\n{block}") for i in range(60)])).collect()
+        assert all(r.text == own(r.doc_id) and r.n_dropped == n for r in rows)
+    logs = lines.deduplicated(frame(spark, [(i, f"user {i} logged in from host h{i} at {i}:00") for i in range(60)])).collect()
+    assert all(r.text == "" and r.n_dropped == 1 for r in logs)
 
 
 def test_cases(spark):

@@ -1,11 +1,12 @@
 from fractions import Fraction
 
+import duckdb
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from psephos.llm import mixing
+from psephos.llm import mixing, queries
 
 
 @settings(max_examples=200, deadline=None)
@@ -129,3 +130,36 @@ def test_long_table_of_turns(spark, monkeypatch):
     rows = sorted(tuple(r) for r in mixing.mixed(d, weights, block=50).collect())
     monkeypatch.setattr(mixing, "MOST_TURNS", 0)
     assert len(rows) == 90 and rows == sorted(tuple(r) for r in mixing.mixed(d, weights, block=50).collect())
+
+
+def test_query_keeps_to_its_target_weights(spark):
+    """The query's slots come from windows and deadlines, and no prefix of a phase deviates by a block."""
+    sf = "/root/testdata/sf0.1"
+    sizes = spark.read.parquet(f"{sf}/documents.parquet").groupBy("source").agg(F.sum(F.length("text")).alias("n")).collect()
+    blocks = {r.source: -(-r.n // mixing.BLOCK) for r in sizes}
+    at = {}
+    for s, first, n, per, turn, start, period, place in mixing.phases(blocks, mixing.TARGETS):
+        for i in range(turn, n, per):
+            at[start + i // per * period + place] = (s, first + i)
+    rows = queries.op7_mix_sources(spark, sf).select("source", "block", "slot").distinct().collect()
+    assert len(rows) > 100 and all(at[r.slot] == (r.source, r.block) for r in rows)
+    live, got, since, given = dict(mixing.TARGETS), dict.fromkeys(mixing.TARGETS, 0), 0, dict.fromkeys(mixing.TARGETS, 0)
+    for t in range(len(at)):
+        source = at[t][0]
+        got[source] += 1
+        given[source] += 1
+        assert all(abs(given[s] - Fraction(w * (t + 1 - since), sum(live.values()))) < 1 for s, w in live.items())
+        if got[source] == blocks[source]:  # a source is used up: the others share its slots from here on
+            del live[source]
+            since, given = t + 1, dict.fromkeys(mixing.TARGETS, 0)
+    assert not live
+
+
+def test_slots_of_the_sql(spark, tmp_path):
+    """The SQL schedules slot by slot; here with few and many blocks, phases that end, and sources without a weight."""
+    docs = [(k, "x" * (1 + 7919 * k % 90_000), [f"src{k * k % 23}", None, "other"][0 if k % 9 else k % 3 and 1 or 2]) for k in range(260)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    wanted = {r[0]: r[1:] for r in db.execute(f'SELECT doc_id, block, slot, "offset" FROM ({mixing.ORACLE_SQL})').fetchall()}
+    assert {r.doc_id: (r.block, r.slot, r.offset) for r in queries.op7_mix_sources(spark, str(tmp_path)).collect()} == wanted

@@ -68,10 +68,19 @@ def test_repeated_rows(spark):
 
 def test_clashing_names(spark):
     """Further columns may be named like anything that a stage uses."""
-    names = ["h", "r", "d", "x", "_id", "_hash", "_doc", "hash", "n", "s", "b", "turn", "start", "place", "period", "count", "first", "component_id", "node", "term", "spans", "lang_pred", "template", "pos"]
+    names = ["h", "r", "d", "x", "_id", "_hash", "_doc", "hash", "n", "s", "b", "turn", "start", "place", "period", "count", "first", "component_id", "node", "term", "spans", "lang_pred", "template", "pos", "a.b", "`q`", "text.x", "LEAF", "Chunk", "r.doc_id"]
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
     docs = docs.unionByName(docs.limit(3)).select("*", *(F.lit(k).alias(c) for k, c in enumerate(names)))
     for _, stage in corpus_pipeline.STAGES:
         rows = stage(spark, docs, sf).collect()
         assert rows and all([r[c] for c in names] == list(range(len(names))) for r in rows)
+
+
+def test_maps_and_other_types(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, text, "en", "a", 5), (1, text + " x", "en", "a", 5), (2, None, None, None, None)], SCHEMA).withColumn("m", F.create_map(F.lit("k"), F.lit(1)))
+    for _, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, docs, "/root/testdata/sf0.001").collect()
+        assert all(r.m == {"k": 1} for r in rows)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").orderBy("doc_id").collect()] == [1, 2]
