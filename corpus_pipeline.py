@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from psephos.llm import decontaminate, langid, lines, mixing, near
-from psephos.llm.storage import stored
+from psephos.llm.storage import named, stored
 
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -26,38 +26,42 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters and documents whose language is ambiguous go; lang stays as it was labelled."""
-    found = langid.identify(docs)
+    found = langid.identify(docs.select("doc_id", "text", "lang"))
     return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | F.col("ambiguous")))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of templates that recur across documents go; every document stays, with n_chars of its new text."""
-    found = lines.deduplicated(docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("r")))
+    found = lines.deduplicated(docs.select("doc_id", "text", F.struct(*[named(c) for c in docs.columns if c != "text"]).alias("r")))
     changed = {"text": F.col("text"), "n_chars": F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("r.n_chars"))}
     return found.select(*(changed.get(c, F.col("r").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links make, the document of the smallest doc_id stays; rows of one doc_id are one document, of which one row stays. Null ids stay."""
-    found = near.near_duplicates(docs)
-    kept = docs.join(found.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    columns = [named(c) for c in docs.columns]
+    found = near.near_duplicates(docs.select("doc_id", "text"))
+    kept = docs.join(found.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*columns)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    first = once.select("doc_id", F.struct(F.xxhash64("text").alias("h"), F.struct("*").alias("r")).alias("x")).groupBy("doc_id").agg(F.min("x")["r"].alias("r"))
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("r.*"))
+    # Rows have a hash and a number, so columns of any type go along and no group of rows is sorted.
+    rows = kept.join(repeated, "doc_id", "left_semi").select(F.struct(*columns).alias("r")).select("r", F.col("r.doc_id").alias("d"), F.xxhash64("r.text").alias("h"), F.monotonically_increasing_id().alias("i"))
+    rows = stored(rows, "repeated-rows")
+    first = rows.groupBy("d").agg(F.min(F.struct("h", "i"))["i"].alias("first"))
+    once = rows.join(first, F.col("i") == F.col("first")).select("r.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*columns).unionByName(once)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return _without(docs, found.where("contaminated"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their places in a mix of equal parts of each source."""
-    return mixing.mixed(docs)
+    """All documents, with their places in a mix of the sources by their target weights."""
+    return mixing.mixed(docs, mixing.TARGETS)
 
 
 STAGES = [
