@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import re
-import zipfile
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import archives
+
 
 def xml_contests(spark: SparkSession, path: str) -> DataFrame:
     """(contest, choice, party, votes) of Contest elements with Choice children."""
@@ -94,66 +93,14 @@ def html_cells(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, html).mapInArrow(read, f"{key} {kind}, table int, row int, column int, text string")
 
 
-def zip_members(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
-    """(path, member, content) of the archives' members whose names match; an archive is read by one task, as zip can't be split."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in archive.namelist():
-                        if not name.endswith("/") and re.fullmatch(pattern, name):
-                            yield pa.record_batch({"path": [file], "member": [name], "content": pa.array([archive.read(name)], pa.binary())})
-
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInArrow(read, "path string, member string, content binary")
-
-
 def zip_lines(spark: SparkSession, path: str, pattern: str = ".*", encoding: str = "UTF-8") -> DataFrame:
-    """(path, member, pos, line) of the archives' text members."""
-    text = F.decode("content", encoding)
-    return zip_members(spark, path, pattern).select("path", "member", F.posexplode(F.split(text, r"\r\n|\n")).alias("pos", "line"))
-
-
-_NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
-
-def _sheet_cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
-    with zipfile.ZipFile(io.BytesIO(content)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
-            target = targets[sheet.get(_REL)].lstrip("/")
-            root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for cell in root.iter(f"{_NS}c"):
-                column, row = re.fullmatch("([A-Z]+)([0-9]+)", cell.get("r")).groups()
-                number = 0
-                for letter in column:
-                    number = number * 26 + ord(letter) - 64
-                value = cell.find(f"{_NS}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{_NS}t")) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
-                if cell.get("t") == "s" and text:
-                    text = shared[int(text)]
-                if text:
-                    yield sheet.get("name"), int(row), number, text
-
-
-def sheet_cells(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sheet, row, column, text) of the cells of xlsx files, counted from 1."""
+    """(path, member, pos, line) of the archives' text members whose names match, a task for each member."""
+    return archives.read(spark, "ziplines", path, pattern=pattern, encoding=encoding)
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                cells = list(_sheet_cells(content))
-                sheet, row, column, text = zip(*cells, strict=True) if cells else ((), (), (), ())
-                yield pa.record_batch({"path": pa.array([file] * len(cells), pa.string()), "sheet": pa.array(sheet, pa.string()), "row": pa.array(row, pa.int32()), "column": pa.array(column, pa.int32()), "text": pa.array(text, pa.string())})
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInArrow(read, "path string, sheet string, row int, column int, text string")
+def sheet_cells(spark: SparkSession, path: str, pattern: str = ".*") -> DataFrame:
+    """(path, sheet, row, column, text) of the cells of xlsx files, counted from 1, a task for each sheet whose title matches."""
+    return archives.read(spark, "xlsxcells", path, pattern=pattern)
 
 
 def with_header(cells: DataFrame, keys: list[str], header_row: int, names: list[str]) -> DataFrame:
