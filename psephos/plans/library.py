@@ -1,3 +1,3 @@
 """Imports every module that registers queries of the reference operators."""
 
-from . import averages, composites, contests, details, identities, models, names, offices, outlook, records, timing  # noqa: F401
+from . import averages, composites, contests, details, files, identities, models, names, offices, outlook, records, timing  # noqa: F401
