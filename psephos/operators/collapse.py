@@ -11,11 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import observed
 
-def general_stage(df: DataFrame, stage: str, stages: Sequence[str], default: str = "gen") -> tuple[DataFrame, DataFrame]:
-    """Rows of the named stages, and a one-row frame with how many were dropped. A null stage is ``default``."""
-    keep = F.lower(F.trim(F.coalesce(F.col(stage), F.lit(default)))).isin([s.lower() for s in stages])
-    return df.where(keep), df.agg(F.count_if(~keep).alias("dropped_non_general"))
+
+def is_general(stage: str, stages: Sequence[str], default: str = "gen") -> Column:
+    """Whether a row is of one of the named stages; a null stage is ``default``."""
+    return F.lower(F.trim(F.coalesce(F.col(stage), F.lit(default)))).isin([s.lower() for s in stages])
+
+
+def write_general_stage(df: DataFrame, path: str, stage: str, stages: Sequence[str], default: str = "gen") -> dict:
+    """Writes the rows of the named stages as Parquet; how many were written and dropped is counted in the same pass."""
+    keep = is_general(stage, stages, default)
+    return observed.written(df, path, {"kept": F.count_if(keep), "dropped_non_general": F.count_if(~keep)}, keep)
 
 
 def unreported_to_null(votes: Column, sentinel: int = -1) -> Column:

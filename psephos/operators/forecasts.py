@@ -123,35 +123,6 @@ def transfer_backtest(rows: DataFrame, actual: str, transferred: str, state_lean
     return one.withColumn("usable", F.coalesce(ok, F.lit(False)))
 
 
-def seal(predictions: DataFrame) -> DataFrame:
-    """(n, sha256) of a set of predictions, for its registration."""
-    from ..sources.snapshots import digest
-
-    return digest(predictions, [])
-
-
-def score_sealed(predictions: DataFrame, actuals: DataFrame, sealed: str, key: str, splits: Sequence[str], as_of: str) -> DataFrame:
-    """Errors of sealed predictions (share, sigma, p) against certified results (actual_share, actual_win, certified_on), overall and by split.
-
-    Raises, when run, if the predictions' digest is not the sealed one. Contests not certified by ``as_of`` are not scored.
-    """
-    from .panels import split_scores
-
-    found = seal(predictions).first().sha256  # one row
-    if found != sealed:
-        raise ValueError("predictions differ from the sealed ones")
-    known = actuals.where(F.col("certified_on") <= F.lit(as_of).cast(dict(actuals.dtypes)["certified_on"])).select(key, "actual_share", "actual_win")
-    scored = predictions.join(known, key).where("actual_share is not null")
-    y = F.col("actual_win").cast("double")
-    error = F.col("share") - F.col("actual_share")
-    z = 1.6448536269514722
-    return split_scores(
-        scored,
-        splits,
-        [F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.avg((F.abs(error) <= z * F.col("sigma")).cast("double")).alias("coverage_90")],
-    )
-
-
 def run_difference(run: DataFrame, sealed: DataFrame, key: str, value: str) -> DataFrame:
     """Every contest of either run with both values, their difference and where it is."""
     both = reconcile.outer_status(run.select(key, F.col(value).alias("run")), sealed.select(key, F.col(value).alias("sealed")), [key])

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import geometry
+
 
 def asof(left: DataFrame, right: DataFrame, by: Sequence[str], on: str, payload: Sequence[str], strict: bool = False, tie: str | None = None) -> DataFrame:
     """Each left row with ``payload`` of the latest right row of its key at or before its time (strict: before).
@@ -83,37 +85,6 @@ def attach_evidence(df: DataFrame, evidence: DataFrame, keys: Sequence[str], val
     return joined.withColumns({value: F.when(F.col("_n") == 1, F.col(value)), "status": status}).drop("_n")
 
 
-def in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Whether a point lies in a ring, an array of (x, y) structs whose last point joins the first: crossings to the right.
-
-    Points on an edge belong to the lower or left side's polygon only, so polygons that share edges don't both hold them.
-    """
-    n = F.size(ring)
-    following = F.concat(F.slice(ring, F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice(ring, 1, 1))
-    crossed = F.zip_with(
-        ring,
-        following,
-        lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * (y - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"]),
-    )
-    return F.size(F.filter(crossed, lambda c: F.coalesce(c, F.lit(False)))) % 2 == 1
-
-
-def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, cell: float) -> DataFrame:
-    """Each point with its polygon (ring ``ring``; point columns x, y) and status placed, unplaced or overlap.
-
-    A grid of ``cell`` wide squares turns the box test into an equality join: a polygon is listed in each square that its
-    box meets, a point in one.
-    """
-    square = lambda v: F.floor(v / cell).cast("bigint")
-    low = lambda c: F.array_min(F.col(f"ring.{c}"))
-    high = lambda c: F.array_max(F.col(f"ring.{c}"))
-    tiles = polygons.withColumn("_sx", F.explode(F.sequence(square(low("x")), square(high("x"))))).withColumn("_sy", F.explode(F.sequence(square(low("y")), square(high("y")))))
-    found = (
-        points.withColumns({"_sx": square(F.col("x")), "_sy": square(F.col("y"))})
-        .join(tiles.select("_sx", "_sy", polygon_id, "ring"), ["_sx", "_sy"])
-        .where(in_polygon(F.col("x"), F.col("y"), F.col("ring")))
-        .groupBy(point_id)
-        .agg(F.count("*").alias("_n"), F.min(polygon_id).alias(polygon_id))
-    )
-    status = F.when(F.col("_n").isNull(), "unplaced").when(F.col("_n") > 1, "overlap").otherwise("placed")
-    return points.join(found, point_id, "left").select(*points.columns, F.when(F.col("_n") == 1, F.col(polygon_id)).alias(polygon_id), status.alias("status"))
+def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
+    """Each point with its polygon (of one ring, ``ring``; point columns x, y) and status placed, unplaced or overlap; see ``geometry``."""
+    return geometry.points_in_shapes(points, polygons.withColumn("_shape", F.array(F.array("ring"))), point_id, polygon_id, "_shape")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar, text
-from ..operators import allocation, checks, collapse, evaluation, forecasts, gates, panels, reconcile, seats, windows
+from ..operators import allocation, checks, collapse, evaluation, forecasts, gates, observed, panels, reconcile, seats, windows
+from ..sources import staging
 from .catalog import register, table
 from .outlook import UNITS_SQL, rounded, units
 
@@ -46,8 +49,23 @@ def mask_unreported(spark, sf_dir):
 def general_stage(spark, sf_dir):
     """Rows of two stages, one of which is unnamed, and how many others were dropped."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("N")).alias("stage"))
-    kept, dropped = collapse.general_stage(rows, "stage", ["gen", "A"])
-    return kept.select("l_orderkey", "l_linenumber").crossJoin(dropped.select(F.col(dropped.columns[0]).cast("bigint").alias("n_dropped")))  # one row
+    path = f"{staging.shared_dir(spark)}/general-{uuid.uuid4().hex}"
+    counts = collapse.write_general_stage(rows, path, "stage", ["gen", "A"])
+    return spark.read.parquet(path).select("l_orderkey", "l_linenumber", F.lit(counts["dropped_non_general"]).cast("bigint").alias("n_dropped"))
+
+
+@register(
+    "gated_write",
+    """SELECT 'price_positive' AS check_name, count(*) FILTER (WHERE o_totalprice <= 0) = 0 AS passed, count(*) FILTER (WHERE o_totalprice <= 0) AS n_bad, (SELECT count(*) FROM orders) AS n_published FROM orders
+    UNION ALL SELECT 'status_known', count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O', 'P')) = 0, count(*) FILTER (WHERE o_orderstatus NOT IN ('F', 'O', 'P')), (SELECT count(*) FROM orders) FROM orders
+    UNION ALL SELECT 'not_empty', count(*) > 0, CAST(count(*) = 0 AS BIGINT), (SELECT count(*) FROM orders) FROM orders""",
+)
+def gated_write(spark, sf_dir):
+    """A table that is published only as its gate passes, with the gate's counts from the pass that writes it."""
+    path = f"{staging.shared_dir(spark)}/gated-{uuid.uuid4().hex}"
+    found = observed.gated(table(spark, sf_dir, "orders"), path, {"price_positive": F.col("o_totalprice") > 0, "status_known": F.col("o_orderstatus").isin("F", "O", "P")})
+    n = spark.read.parquet(path).count() if all(passed for _, passed, _ in found) else 0
+    return spark.createDataFrame([(*row, n) for row in found], "check_name string, passed boolean, n_bad bigint, n_published bigint")
 
 
 @register("spread_known", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END, min(CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END) OVER (PARTITION BY o_custkey)) AS label FROM orders")

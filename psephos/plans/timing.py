@@ -178,4 +178,4 @@ def point_in_polygon(spark, sf_dir):
     points = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 23 + 0.5).cast("double").alias("x"), (F.col("c_custkey") % 13 + 0.25).cast("double").alias("y"))
     box = lambda x: [(float(x), 0.0), (float(x + 10), 0.0), (float(x + 10), 10.0), (float(x), 10.0)]
     areas = spark.createDataFrame([("near", box(0)), ("far", box(10))], "area string, ring array<struct<x:double,y:double>>")
-    return joins.points_in_polygons(points, areas, "c_custkey", "area", 4.0).select("c_custkey", "area", "status")
+    return joins.points_in_polygons(points, areas, "c_custkey", "area").select("c_custkey", "area", "status")

@@ -24,3 +24,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder in its own file system, whatever Spark reads it by; raises if ``target`` is there or the rename fails."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    a, b = hadoop.Path(source), hadoop.Path(target)
+    system = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(b) or not system.rename(a, b):
+        raise FileExistsError(f"{target} is there already, or {source} can't be moved")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)

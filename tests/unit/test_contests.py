@@ -44,9 +44,11 @@ def test_reconciles_under_either_convention(spark):
     assert [(r.race, r.difference, r.reason) for r in found] == [("bad", 150, "multiple_rounds")]
 
 
-def test_general_stage(spark):
-    kept, dropped = collapse.general_stage(spark.createDataFrame([("GEN",), ("pri",), (None,)], "stage string"), "stage", ["gen"])
-    assert kept.count() == 2 and dropped.first()[0] == 1
+def test_general_stage(spark, tmp_path):
+    rows = spark.createDataFrame([("GEN",), ("pri",), (None,)], "stage string")
+    assert collapse.write_general_stage(rows, f"{tmp_path}/kept", "stage", ["gen"]) == {"kept": 2, "dropped_non_general": 1}
+    assert sorted(r.stage or "" for r in spark.read.parquet(f"{tmp_path}/kept").collect()) == ["", "GEN"]
+
 
 
 def test_null_keys_match_in_set_operations(spark):

@@ -58,18 +58,13 @@ def test_backtests(spark):
     assert r.usable and r.n == 3
 
 
-def test_sealed_scores(spark):
-    pred = spark.createDataFrame([("s1", 0.6, 0.05, 0.9, "house"), ("s2", 0.4, 0.05, 0.2, "senate"), ("s3", 0.5, 0.05, 0.5, "house")], "k string, share double, sigma double, p double, office string")
-    actual = spark.createDataFrame([("s1", 0.55, True, "2026-11-10"), ("s2", 0.52, True, "2026-12-20")], "k string, actual_share double, actual_win boolean, certified_on string")
-    sealed = forecasts.seal(pred).first().sha256
-    got = {(r.split, r.level): r.n for r in forecasts.score_sealed(pred, actual, sealed, "k", ["office"], "2026-12-01").collect()}
-    assert got == {("overall", "all"): 1, ("office", "house"): 1}
-    with pytest.raises(ValueError):
-        forecasts.score_sealed(pred.withColumn("p", F.lit(0.1)), actual, sealed, "k", ["office"], "2026-12-01")
+def test_run_difference(spark):
+    pred = spark.createDataFrame([("s1", 0.6), ("s2", 0.4), ("s3", 0.5)], "k string, share double")
     diff = {r.k: (r.status, r.difference) for r in forecasts.run_difference(pred, pred.where("k <> 's3'"), "k", "share").collect()}
     assert diff["s3"] == ("left_only", None) and diff["s1"] == ("both", 0.0)
 
 
+
 def test_spine_rates_archive_and_status(spark):
     seen = spark.createDataFrame([("1", 2), ("1", None), ("06", 1)], "f string, d int")
     assert forecasts.geography_spine(seen, "f", "d").count() == 5
