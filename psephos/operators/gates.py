@@ -135,20 +135,70 @@ def crosswalk(methods: Sequence[str]) -> dict[str, Column]:
     return {"method_known": F.col("match_method").isin(list(methods)) | F.col("match_method").rlike("^(state|ambiguous)_"), "ambiguous_unmatched": ~(matched & F.col("match_method").startswith("ambiguous"))}
 
 
+#: What a filing can say of an incumbent, and what it can't.
+FILING_STATUSES = ("filed", "not_found", "unknown", "nominated", "withdrawn")
+UNSUPPORTED = ("nominated", "withdrawn")
+
+
 def filings() -> dict[str, Column]:
-    return {"status_known": F.col("incumbent_status").isin("filed", "not_found", "unknown"), "filed_has_id": (F.col("incumbent_status") != "filed") | F.col("incumbent_candidate_id").isNotNull()}
+    """Resolved filings: statuses that no filing supports must not appear, and all but ``unknown`` say where they come from."""
+    status = F.col("incumbent_status")
+    return {
+        "status_known": status.isin(*FILING_STATUSES),
+        "no_unsupported_claims": ~status.isin(*UNSUPPORTED),
+        "evidence_present": (status == "unknown") | _filled("incumbent_status_evidence"),
+        "filed_has_id": (status != "filed") | F.col("incumbent_candidate_id").isNotNull(),
+    }
+
+
+#: The key of ``fundraising``.
+FUNDRAISING_KEY = ("cycle", "office", "state_po", "district_num")
+
+
+def fundraising(slack: float = 1e-6) -> dict[str, Column]:
+    """Receipts of a seat's parties and top filers, with the share and smoothed ratio made from them."""
+    least = lambda *columns: F.least(*(F.col(c) for c in columns))
+    known = lambda *columns: F.forall(F.array(*(F.col(c).cast("double") for c in columns)), lambda x: x.isNotNull())
+    receipts = ("dem_receipts", "rep_receipts", "dem_top_receipts", "rep_top_receipts")
+    ratio = F.col("log_receipt_ratio")
+    return {
+        "receipts_nonnegative": known(*receipts) & (least(*receipts) >= 0),
+        "top_within_party_total": (F.col("dem_top_receipts") <= F.col("dem_receipts") + slack) & (F.col("rep_top_receipts") <= F.col("rep_receipts") + slack),
+        "share_in_unit_interval": F.col("dem_receipt_share").between(0, 1),
+        "ratio_finite": ratio.isNotNull() & ~F.isnan(ratio) & (F.abs(ratio) < float("inf")),
+        "unusable_explained": F.col("usable") | _filled("unusable_reason"),
+    }
+
+
+def demographics(states: Sequence[str], numbers: Sequence[str], rates: Sequence[str]) -> dict[str, Column]:
+    """Features of states; their key is geoid."""
+    rate = F.lit(True)
+    for c in rates:
+        rate &= F.col(c).between(0, 1)
+    return {
+        "state_fips_known": F.col("state_fips").isin(list(states)),
+        "no_required_nulls": _filled("geoid", "state_fips", *numbers, *rates),
+        "positive_population": F.col("total_population") > 0,
+        "rates_in_range": rate,
+    }
 
 
-def fundraising() -> dict[str, Column]:
-    return {"amounts_nonnegative": (F.coalesce("dem_amount", F.lit(0)) >= 0) & (F.coalesce("rep_amount", F.lit(0)) >= 0), "covered_before_election": F.col("coverage_end").isNull() | (F.col("coverage_end") <= F.col("election_date"))}
+#: The key of ``ballots``.
+BALLOT_KEY = ("office", "district_num", "candidate_name", "party")
 
 
-def demographics() -> dict[str, Column]:
-    return {"geoid_width": F.length("geoid") == 2, "rates_in_unit_interval": _share("rate")}
+def ballots(state: str) -> dict[str, Column]:
+    """Candidates of one state's ballot; ``ballot_coverage`` says whether all its races are there."""
+    return {"one_state": F.col("state_po") == state, "facts_present": _filled("state_po", "office", "district_num", "candidate_name", "party", "source_url")}
 
 
-def ballots(states: Sequence[str]) -> dict[str, Column]:
-    return {"state_known": F.col("state_po").isin(list(states)), "candidate_present": _filled("candidate"), "party_present": _filled("party")}
+def ballot_coverage(rows: DataFrame, house_seats: int, senate_seats: int) -> DataFrame:
+    """One row: whether the districts are exactly 1 to ``house_seats`` (0 for a single one) and the Senate races as many as expected."""
+    expected = [0] if house_seats == 1 else list(range(1, house_seats + 1))
+    races = rows.select("office", F.col("district_num").cast("int").alias("d")).distinct()
+    house = F.col("office") == "us_house"
+    one = races.agg(F.count_if(house & F.col("d").isin(expected)).alias("n_house"), F.count_if(house & ~F.coalesce(F.col("d").isin(expected), F.lit(False))).alias("n_other"), F.count_if(F.col("office") == "us_senate").alias("n_senate"))
+    return one.select(((F.col("n_house") == len(expected)) & (F.col("n_other") == 0) & (F.col("n_senate") == senate_seats)).alias("passed"), "n_house", "n_other", "n_senate")
 
 
 def catalog(statuses: Sequence[str], access: Sequence[str], tested: Sequence[str]) -> dict[str, Column]:
