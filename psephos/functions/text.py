@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and the plain letters that stand for them.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿŠŽšžŁłŃńŚśŹźŻżĄąĘęĆćĞğİıŞş"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyySZszLlNnSsZzZzAaEeCcGgIiSs"
+
+def _plain_letters() -> dict[str, str]:
+    """Characters whose compatibility decomposition has one ASCII letter or digit, to it; and some letters that have none."""
+    plain = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if x < "\x80") for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)])}
+    return {c: x for c, x in plain.items() if len(x) == 1 and x.isalnum()} | {"ł": "l", "Ł": "L", "ı": "i"}
+
+
+_LETTERS = _plain_letters()
+#: The ligatures that fonts leave in extracted names.
+_LIGATURES = {"ﬁ": "fi", "ﬂ": "fl"}
 #: Words in ballot names that are no part of a name.
 NOISE = ("MR", "MRS", "MS", "MISS", "DR", "PHD", "MD", "ESQ", "HON", "REV", "JR", "SR", "II", "III", "IV", "V", "REP", "SEN", "THE")
 #: Entries of returns that are no persons.
@@ -34,8 +42,11 @@ PARTY_LABELS = {
 MAJOR = ("DEMOCRAT", "REPUBLICAN")
 #: Labels that hold a major party's name and are not it.
 NOT_MAJOR = ("DEMOCRATIC SOCIALIST", "NATIONAL DEMOCRATIC PARTY OF ALABAMA", "NATIONAL DEMOCRAT", "DEMOCRAT/REPUBLICAN", "UNAFFILIATED/REPUBLICAN")
-#: Ordinals of districts.
-ORDINALS = ("FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH", "SEVENTH", "EIGHTH", "NINTH", "TENTH")
+#: Ordinals of districts; those behind TWENTIETH are put together from tens and units.
+_UNITS = ("FIRST", "SECOND", "THIRD", "FOURTH", "FIFTH", "SIXTH", "SEVENTH", "EIGHTH", "NINTH")
+_TEENS = ("TENTH", "ELEVENTH", "TWELFTH", "THIRTEENTH", "FOURTEENTH", "FIFTEENTH", "SIXTEENTH", "SEVENTEENTH", "EIGHTEENTH", "NINETEENTH")
+_TENS = ("TWENT", "THIRT", "FORT", "FIFT")
+ORDINALS = (*_UNITS, *_TEENS, *(word for ten in _TENS for word in (f"{ten}IETH", *(f"{ten}Y-{unit}" for unit in _UNITS))))
 
 
 def squeezed(x: Column) -> Column:
@@ -44,8 +55,12 @@ def squeezed(x: Column) -> Column:
 
 
 def folded(x: Column) -> Column:
-    """Letters without marks; what has no plain letter is dropped."""
-    return F.regexp_replace(F.translate(x, MARKED, PLAIN), r"[^\x00-\x7F]", "")
+    """Letters without marks, by compatibility decomposition; the ligatures fi and fl are spelled out, what has no plain letter is dropped."""
+    # x stands here once: expressions of names hold this one several times.
+    out = F.translate(x, "".join(_LETTERS), "".join(_LETTERS.values()))
+    for letter, plain in _LIGATURES.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.regexp_replace(out, r"[^\x00-\x7F]", "")
 
 
 def unmangled(x: Column) -> Column:
@@ -187,7 +202,7 @@ def district_number(x: Column) -> Column:
     """A district as an integer: at-large labels are 0, ordinals and digits count, anything else is null."""
     label = squeezed(x)
     words = F.array(*map(F.lit, ORDINALS))
-    ordinal = F.array_position(words, F.regexp_extract(label, "^([A-Z]+)", 1)).cast("int")
+    ordinal = F.array_position(words, F.regexp_replace(F.regexp_extract(label, "^((?:TWENTY|THIRTY|FORTY|FIFTY)[- ][A-Z]+|[A-Z]+)", 1), " ", "-")).cast("int")
     return F.when(label.rlike("^(AT[- ]LARGE|STATEWIDE|AL)$"), 0).otherwise(F.coalesce(F.regexp_extract(label, r"(\d+)", 1).try_cast("int"), F.nullif(ordinal, F.lit(0))))
 
 

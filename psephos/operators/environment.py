@@ -162,15 +162,20 @@ def fundamentals_gate(backtest: DataFrame, least: int = 8, coverage: float = 0.8
     return one.withColumn("eligible", F.coalesce(good, F.lit(False)))
 
 
-def chamber_predictions(panel: DataFrame, state_history: DataFrame, features: Sequence[str], national: str, cycle: str, unit: str, state: str, share: str, sign: str, units: int, least: int = 4) -> DataFrame:
-    """Every unit of each whole chamber, predicted from earlier cycles: pred, sigma, source and train_through.
-
-    Cycles without exactly ``units`` units, with too few earlier cycles or with a unit that has neither features nor its
-    state's lean in ``state_history`` (state, cycle, share, national) are left out. The national share is forecast too,
-    and its past errors widen sigma by the slope on it. Sides without opponent (share 0 or 1) are known.
+def chamber(panel: DataFrame, state_history: DataFrame, features: Sequence[str], national: str, cycle: str, unit: str, state: str, share: str, sign: str, units: int, least: int = 4, winner: str | None = None, majors: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """Every unit of each whole chamber, predicted from earlier cycles (pred, sigma, source and train_through), and the cycles left out.
+
+    Left out, with reason, n_rows and n_units, are cycles without exactly ``units`` units (``incomplete``), with a
+    ``winner`` that is none of ``majors`` (``other_winner``), without ``least`` earlier contested cycles (``short_history``)
+    or with a unit that has neither features nor its state's lean in ``state_history`` (state, cycle, share, national;
+    ``missing_fallback``); the first reason counts. The national share is forecast too, and its past errors widen sigma by the
+    slope on it. Sides without opponent (share 0 or 1) are known.
     """
-    counts = panel.groupBy(cycle).agg(F.count("*").alias("_n"), F.countDistinct(unit).alias("_u"), F.max(national).alias("_true"))
-    whole = counts.where((F.col("_n") == units) & (F.col("_u") == units)).select(cycle, "_true")
+    other = F.max((~F.coalesce(F.col(winner).isin(list(majors)), F.lit(False))).cast("int")) if winner else F.lit(0)
+    counts = panel.groupBy(cycle).agg(F.count("*").alias("_n"), F.countDistinct(unit).alias("_u"), F.max(national).alias("_true"), other.alias("_other"))
+    early = F.when((F.col("_n") != units) | (F.col("_u") != units), "incomplete").when(F.col("_other") == 1, "other_winner")
+    judged = counts.withColumn("_reason", early)
+    whole = judged.where("_reason is null").select(cycle, "_true")
     contested = panel.where((F.col(share) > 0) & (F.col(share) < 1))
     parts = regression.grams(contested, features, share, cycle)
     total, fits = regression.Gram(np.zeros((len(features) + 2,) * 2)), []
@@ -207,8 +212,16 @@ def chamber_predictions(panel: DataFrame, state_history: DataFrame, features: Se
         ready.alias("_ready"),
         "_lean",
     )
-    missing = out.where(F.col("pred").isNull() | (~F.col("_ready") & F.col("_lean").isNull())).select(cycle).distinct()
-    return out.join(missing, cycle, "left_anti").drop("_ready", "_lean")
+    missing = out.where(F.col("pred").isNull() | (~F.col("_ready") & F.col("_lean").isNull())).select(cycle, F.lit(True).alias("_missing")).distinct()
+    late = judged.join(steps.select(cycle, F.lit(True).alias("_fitted")), cycle, "left").join(missing, cycle, "left")
+    reason = F.coalesce("_reason", F.when(F.col("_fitted").isNull(), "short_history").when(F.col("_missing"), "missing_fallback"))
+    omitted = late.select(cycle, reason.alias("reason"), F.col("_n").alias("n_rows"), F.col("_u").alias("n_units")).where("reason is not null")
+    return out.join(missing, cycle, "left_anti").drop("_ready", "_lean"), omitted
+
+
+def chamber_predictions(*args, **options) -> DataFrame:
+    """The predictions of ``chamber``."""
+    return chamber(*args, **options)[0]
 
 
 def interval_gate(folds: DataFrame, model: str, cycle: str, covered: str, score: str, units: str, expected: int, rival: str, least: int = 4, coverage: float = 0.85) -> DataFrame:

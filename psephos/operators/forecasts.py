@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text
 from . import allocation, matching, polls, reconcile, regression
 from .panels import weighted_mean
 from .windows import guarded_lag
@@ -35,18 +36,57 @@ def national_history(history: DataFrame, cycle: str, national: str, sign: str) -
     return out.select(cycle, regression.clipped(F.col("_last") + F.col("_m")).alias("forecast"))
 
 
-def select_specification(evaluations: Mapping[str, Mapping[str, float | None]], baseline: str, lower: Sequence[str], coverage: str, slack: float = 0.02) -> dict:
-    """The last candidate that is lower than the baseline in all of ``lower`` and loses at most ``slack`` coverage; reasons for each."""
-    base, selected, reasons = evaluations[baseline], baseline, []
-    for name, found in evaluations.items():
-        if name == baseline:
-            continue
-        failed = [m for m in lower if found.get(m) is None or base.get(m) is None or found[m] >= base[m]]
-        if found[coverage] < base[coverage] - slack:
-            failed.append(coverage)
-        reasons.append((name, failed))
-        selected = selected if failed else name
-    return {"selected": selected, "failed": dict(reasons)}
+def specification_gate(scores: DataFrame, name: str, baseline: str, lower: Sequence[str], coverage: str, order: str, slack: float = 0.02) -> DataFrame:
+    """A row per specification: failed (what keeps it from promotion), promoted, and selected (the last promoted one in ``order``, else the baseline).
+
+    One is promoted if it is lower than the baseline in all of ``lower``, known on both sides, and loses at most ``slack`` coverage.
+    """
+    base = scores.where(F.col(name) == baseline).select(*(F.col(c).alias(f"_b_{c}") for c in (*lower, coverage)))
+    both = scores.crossJoin(F.broadcast(base))  # one row
+    tests = [F.when(~F.coalesce(F.col(c) < F.col(f"_b_{c}"), F.lit(False)), F.lit(c)) for c in lower]
+    tests.append(F.when(~F.coalesce(F.col(coverage) >= F.col(f"_b_{coverage}") - slack, F.lit(False)), F.lit(coverage)))
+    failed = F.when(F.col(name) != baseline, F.array_compact(F.array(*tests))).otherwise(F.array().cast("array<string>"))
+    judged = both.withColumn("failed", failed).withColumn("promoted", (F.col(name) != baseline) & (F.size("failed") == 0))
+    best = judged.agg(F.coalesce(F.max_by(F.when(F.col("promoted"), F.col(name)), F.when(F.col("promoted"), F.col(order))), F.lit(baseline)).alias("_best"))
+    return judged.crossJoin(F.broadcast(best)).select(*scores.columns, "failed", "promoted", (F.col(name) == F.col("_best")).alias("selected"))  # one row
+
+
+def national_definitions(races: DataFrame, keys: Sequence[str], first: str, second: str, total: str, uncontested: str) -> DataFrame:
+    """(keys, definition, share): the national share as the ratio of all two-party votes, of contested ones, and as the mean of contested races' shares weighed by all their votes."""
+    a, b = (F.coalesce(F.col(c), F.lit(0)).cast("double") for c in (first, second))
+    open_ = ~F.coalesce(F.col(uncontested), F.lit(False))
+    ratio = lambda test: F.sum(F.when(test, a)) / F.nullif(F.sum(F.when(test, a + b)), F.lit(0.0))
+    known = open_ & (a + b > 0) & F.col(total).isNotNull()
+    weighed = F.sum(F.when(known, a / F.nullif(a + b, F.lit(0.0)) * F.col(total))) / F.nullif(F.sum(F.when(known, F.col(total))).cast("double"), F.lit(0.0))
+    sums = races.groupBy(*keys).agg(ratio(F.lit(True)).alias("all_races_ratio"), ratio(open_).alias("contested_ratio"), weighed.alias("contested_weighted_mean"))
+    return sums.unpivot(list(keys), ["all_races_ratio", "contested_ratio", "contested_weighted_mean"], "definition", "share")
+
+
+def chronological(df: DataFrame, features: Sequence[str], target: str, cycle: str, national: str, sign: str, least: int = 4) -> DataFrame:
+    """Rows predicted from earlier cycles only, the national share too: pred, sigma, train_through.
+
+    The national share of a cycle is ``national_history``'s forecast; sigma is widened by the spread of at least three earlier
+    errors of it, times its slope. Rows without all features or with a target outside (0, 1) take no part.
+    """
+    known = df.where(F.forall(F.array(*(F.col(c).cast("double") for c in (*features, target))), lambda x: x.isNotNull() & ~F.isnan(x)) & (F.col(target) > 0) & (F.col(target) < 1))
+    fits = regression.fits_before(known, features, target, cycle, least)
+    if not fits:
+        kinds = dict(df.dtypes)
+        return df.where("false").select(*df.columns, *(F.lit(None).cast(t).alias(c) for c, t in (("pred", "double"), ("sigma", "double"), ("train_through", kinds[cycle]))))
+    kind = dict(df.dtypes)[cycle]
+    rows = [(c, [float(b) for b in fit.coefficients], float(fit.sigma), before) for c, (fit, before) in fits.items()]
+    fitted = df.sparkSession.createDataFrame(rows, f"{cycle} {kind}, _b array<double>, _sigma double, train_through {kind}")  # a row per cycle
+    steps = fitted.join(national_history(df, cycle, national, sign), cycle).join(known.groupBy(cycle).agg(F.min(national).alias("_true")), cycle)
+    order = Window.orderBy(cycle).rowsBetween(Window.unboundedPreceding, -1)
+    error = F.col("forecast") - F.col("_true")
+    spread = F.when(F.count(error).over(order) >= 3, F.stddev_samp(error).over(order)).otherwise(0.0)
+    steps = steps.withColumn("_spread", spread).drop("_true")
+    model = F.col("_b")[0]
+    for k, name in enumerate(features):
+        model = model + F.col("_b")[k + 1] * (F.col("forecast") if name == national else F.col(name))
+    slope = F.abs(F.col("_b")[1 + list(features).index(national)])
+    out = known.join(F.broadcast(steps), cycle)
+    return out.select(*df.columns, model.alias("pred"), F.hypot(F.col("_sigma"), slope * F.col("_spread")).alias("sigma"), "train_through")
 
 
 def shrinkage_bounds(pairs: DataFrame, specials: str, general: str, least: int = 3) -> DataFrame:
@@ -129,12 +169,22 @@ def run_difference(run: DataFrame, sealed: DataFrame, key: str, value: str) -> D
     return both.withColumn("difference", F.col("run") - F.col("sealed"))
 
 
-def filing_status(seats: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, seat: Sequence[str], state: Sequence[str]) -> DataFrame:
-    """filed, not_found or unknown (no incumbent named) per seat, with the matching method. Not found is not retired."""
+def filing_status(seats: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, seat: Sequence[str], state: Sequence[str], party: str | None = None, roster_party: str | None = None) -> DataFrame:
+    """filed, not_found or unknown (no incumbent named) per seat, with the matching method and the evidence. Not found is not retired.
+
+    With ``party`` and ``roster_party``, resolved_party is the seat's own label where it is a party, else the filing's.
+    """
     named = seats.where(F.coalesce(F.trim(name), F.lit("")) != "")
     found = matching.seat_then_state(named, roster, row_id, name, roster_id, roster_name, seat, state)
+    if party and roster_party:
+        found = found.join(roster.select(roster_id, F.col(roster_party).alias("_filed_as")), roster_id, "left")
     status = F.when(F.col("method").isNull(), "unknown").when(F.col(roster_id).isNotNull(), "filed").otherwise("not_found")
-    return seats.join(found, row_id, "left").withColumn("incumbent_status", status)
+    evidence = F.when(F.col("method").isNull(), "no incumbent identified").when(F.col(roster_id).isNotNull(), F.concat(F.lit("filed as "), F.col(roster_id).cast("string"))).otherwise(F.concat(F.lit("not matched: "), F.col("method")))
+    out = seats.join(found, row_id, "left").withColumns({"incumbent_status": status, "incumbent_status_evidence": evidence})
+    if not (party and roster_party):
+        return out
+    own, filed = text.party(F.col(party)), text.party(F.col("_filed_as"))
+    return out.withColumn("resolved_party", F.when(~own.isin("OTHER", "UNKNOWN"), own).otherwise(F.when(F.col("_filed_as").isNotNull(), filed).otherwise("UNKNOWN"))).drop("_filed_as")
 
 
 def derived_rates(rows: DataFrame, rates: Mapping[str, tuple[str, str]], fips: str) -> DataFrame:

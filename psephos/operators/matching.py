@@ -91,3 +91,20 @@ def crosswalk(names: DataFrame, roster: DataFrame, covered: DataFrame, overrides
     known = names.select(row_id, *scope).join(covered.select(*scope).distinct().withColumn("_c", F.lit(True)), list(scope), "left").select(row_id, F.coalesce("_c", F.lit(False)).alias("_c"))
     method = F.when(~F.col("_c") & (F.col("method") == "none"), "no_roster").otherwise(F.col("method"))
     return matched.join(known, row_id).select(row_id, roster_id, method.alias("method"))
+
+
+#: Stages that decide a race after its general election.
+RUNOFFS = ("runoff", "gen runoff")
+
+
+def person_winners(links: DataFrame, votes: DataFrame, race: str, name: str, roster_id: str, stage: str, count: str) -> DataFrame:
+    """(race, name, roster_id, method, votes): the winner of each race among persons: the latest deciding stage, then votes, then the name.
+
+    ``links`` (race, name, roster_id, method) is a crosswalk; the most votes of a race may be those of exhausted ballots or
+    write-ins as a whole, which are no persons. All columns are of one row. Unknown votes come last.
+    """
+    people = links.where(text.is_person(F.col(name))).join(votes.select(race, name, stage, count), [race, name])
+    rank = F.struct(F.lower(F.trim(stage)).isin(*RUNOFFS).cast("int").alias("r"), F.coalesce(F.col(count), F.lit(-1)).alias("v"))
+    best = people.groupBy(race).agg(F.max(rank).alias("_m"))
+    tied = people.join(best, race).where(rank == F.col("_m"))
+    return tied.groupBy(race).agg(F.min_by(F.struct(name, roster_id, "method", F.col(count).alias("votes")), name).alias("w")).select(race, "w.*")

@@ -103,15 +103,20 @@ def leave_one_out(df: DataFrame, features: Sequence[str], target: str, group: st
     return _by_group(df, group, {g: solve(total - own, features) for g, own in parts.items()})
 
 
-def expanding(df: DataFrame, features: Sequence[str], target: str, period: str, least: int = 1) -> DataFrame:
-    """Each row predicted by the fit of all earlier periods, from the period on that has ``least`` before it."""
+def fits_before(df: DataFrame, features: Sequence[str], target: str, period: str, least: int = 1) -> dict:
+    """For each period that has ``least`` before it: the fit of all earlier periods, and the last of them."""
     parts = grams(df, features, target, period)
-    total, fits = Gram(np.zeros((len(features) + 2,) * 2)), {}
-    for k, p in enumerate(sorted(parts)):
+    total, fits, order = Gram(np.zeros((len(features) + 2,) * 2)), {}, sorted(parts)
+    for k, p in enumerate(order):
         if k >= least:
-            fits[p] = solve(total, features)
+            fits[p] = solve(total, features), order[k - 1] if k else None
         total = total + parts[p]
-    return _by_group(df, period, fits)
+    return fits
+
+
+def expanding(df: DataFrame, features: Sequence[str], target: str, period: str, least: int = 1) -> DataFrame:
+    """Each row predicted by the fit of all earlier periods, from the period on that has ``least`` before it."""
+    return _by_group(df, period, {p: fit for p, (fit, _) in fits_before(df, features, target, period, least).items()})
 
 
 def clipped(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

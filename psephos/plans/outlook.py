@@ -164,15 +164,16 @@ def fundamentals_gate(spark, sf_dir):
     return rounded(environment.fundamentals_gate(_fundamentals(spark, sf_dir)))
 
 
-def _chamber(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _chamber(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     odd = (F.col("nationkey") * 3 + F.col("year")) % 17 == 0
     panel = units(spark, sf_dir).withColumn("s", (F.col("year") % 3 - 1).cast("int")).withColumn("share", F.when(odd, 1.0).otherwise(F.col("share")))
     history = units(spark, sf_dir).where("year % 2 = 0").groupBy("region", "year").agg(F.avg("share").alias("share"), F.max("m").alias("national"))
-    return environment.chamber_predictions(panel, history, ["m"], "m", "year", "nationkey", "region", "share", "s", 25, 3)
+    panel = panel.withColumn("w", F.when((F.col("year") == 2000) & (F.col("nationkey") == 5), "I").otherwise("D"))
+    return environment.chamber(panel, history, ["m"], "m", "year", "nationkey", "region", "share", "s", 25, 3, "w", ["D", "R"])
 
 
 _CHAMBER_SQL = f"""u AS (SELECT nationkey, region, year, m, CAST(year % 3 AS INTEGER) - 1 AS s, CASE WHEN (nationkey * 3 + year) % 17 = 0 THEN 1.0 ELSE share END AS share FROM ({UNITS_SQL})),
-    k AS (SELECT year FROM u GROUP BY year HAVING count(*) = 25), q AS (SELECT DISTINCT year FROM u WHERE share > 0 AND share < 1),
+    k AS (SELECT year FROM u WHERE year <> 2000 GROUP BY year HAVING count(*) = 25), q AS (SELECT DISTINCT year FROM u WHERE share > 0 AND share < 1),
     f AS (SELECT t.year, max(p.year) AS through, count(*) AS n, regr_slope(p.share, p.m) AS b, regr_intercept(p.share, p.m) AS a, regr_sxy(p.share, p.m) AS sxy, regr_syy(p.share, p.m) AS syy FROM q t JOIN u p ON p.year < t.year AND p.share > 0 AND p.share < 1 GROUP BY t.year HAVING count(DISTINCT p.year) >= 3),
     h AS (SELECT year, min(m) AS n, min(s) AS s FROM u GROUP BY year), g AS (SELECT year, s, lag(n) OVER (ORDER BY year) AS l, n - lag(n) OVER (ORDER BY year) AS d FROM h),
     c AS (SELECT x.year, least(greatest(x.l + coalesce(avg(y.d), 0), 0), 1) AS forecast FROM g x LEFT JOIN g y ON y.year < x.year AND y.s = x.s AND x.s <> 0 WHERE x.l IS NOT NULL GROUP BY x.year, x.l),
@@ -186,7 +187,17 @@ _CHAMBER_SQL = f"""u AS (SELECT nationkey, region, year, m, CAST(year % 3 AS INT
     CASE WHEN share IN (0, 1) THEN 'one_sided' ELSE 'unit_model' END AS source, through AS train_through FROM u JOIN v ON v.year = u.year""",
 )
 def chamber_predictions(spark, sf_dir):
-    return rounded(_chamber(spark, sf_dir))
+    return rounded(_chamber(spark, sf_dir)[0])
+
+
+@register(
+    "chamber_omitted",
+    f"""WITH {_CHAMBER_SQL}, n AS (SELECT year, count(*) AS n_rows, count(DISTINCT nationkey) AS n_units FROM u GROUP BY year)
+    SELECT year, CASE WHEN n_rows <> 25 THEN 'incomplete' WHEN year = 2000 THEN 'other_winner' ELSE 'short_history' END AS reason, n_rows, n_units FROM n WHERE year NOT IN (SELECT year FROM v)""",
+)
+def chamber_omitted(spark, sf_dir):
+    """The cycles that are not predicted, with their reasons."""
+    return _chamber(spark, sf_dir)[1]
 
 
 @register(

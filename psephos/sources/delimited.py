@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,3 +64,18 @@ def files_of(spark: SparkSession, path: str, pattern: str, without: str = "(?i)r
 def path_value(key: str):
     """The value of ``key=value`` in the file's path."""
     return F.nullif(F.regexp_extract(F.input_file_name(), f"[/_]{key}=([^/.]+)", 1), F.lit(""))
+
+
+def precincts(spark: SparkSession, path: str, offices: Mapping[str, str], stages: Sequence[str] = ("GEN",), sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
+    """Rows of precinct files for some offices (label to name) at some stages: state, county, precinct, office, district, candidate, party, mode and votes.
+
+    The filters reach the scan; names of columns are looked up in any case. Rows without a stage are general ones.
+    """
+    rows = spark.read.option("header", True).option("sep", sep).option("encoding", encoding).csv(path)
+    rows = rows.toDF(*(c.strip().lower() for c in rows.columns))
+    named = {"state": "state_po", "county": "county_fips", "precinct": "precinct", "district": "district", "candidate": "candidate", "party": "party_simplified", "mode": "mode", "votes": "votes"}
+    office = F.try_element_at(F.create_map(*(F.lit(x) for label, name in offices.items() for x in (label.upper(), name))), F.upper(F.trim("office")))
+    stage = F.upper(F.trim(F.coalesce(F.col("stage") if "stage" in rows.columns else F.lit(None).cast("string"), F.lit("GEN"))))
+    kept = rows.where(F.upper(F.trim("office")).isin([o.upper() for o in offices]) & stage.isin([s.upper() for s in stages]))
+    value = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
+    return kept.select(office.alias("office"), *((F.regexp_replace(value(c), ",", "").try_cast("bigint") if n == "votes" else F.trim(value(c))).alias(n) for n, c in named.items()))

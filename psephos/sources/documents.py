@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -21,6 +21,28 @@ def xml_contests(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_text").alias("contest"), F.explode_outer("Choice").alias("c")).select("contest", F.col("c._text").alias("choice"), F.col("c._party").alias("party"), F.col("c._totalVotes").alias("votes"))
 
 
+#: Parties of the members' list.
+_MEMBER_PARTIES = {"D": "DEMOCRAT", "R": "REPUBLICAN", "I": "INDEPENDENT"}
+
+
+def xml_roster(spark: SparkSession, path: str, states: Sequence[str], seats: int | None = None) -> DataFrame:
+    """(state_po, district_num, holder, party) of a house's member list in XML: voting districts of ``states``; a vacant seat has no holder.
+
+    Raises, when run, if there are not exactly ``seats`` different districts.
+    """
+    schema = "statedistrict string, `member-info` struct<`official-name`:string,party:string>"
+    rows = spark.read.format("xml").option("rowTag", "member").schema(schema).load(path)
+    place, name = F.trim("statedistrict"), F.trim(F.coalesce(F.col("`member-info`.`official-name`"), F.lit("")))
+    party = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _MEMBER_PARTIES.items() for x in kv)), F.col("`member-info`.party")), F.lit("OTHER"))
+    found = rows.select(F.substring(place, 1, 2).alias("state_po"), F.substring(place, 3, 2).try_cast("int").alias("district_num"), F.when((name != "") & (F.lower(name) != "vacant"), name).alias("holder"), party.alias("party"), place.alias("_p"))
+    voting = found.where((F.length("_p") == 4) & F.col("state_po").isin(list(states)) & F.col("district_num").isNotNull()).drop("_p")
+    if seats is None:
+        return voting
+    counts = voting.agg(F.count("*").alias("_n"), F.countDistinct("state_po", "district_num").alias("_u"))  # one row
+    whole = F.when((F.col("_n") == seats) & (F.col("_u") == seats), True).otherwise(F.raise_error(F.concat_ws(" ", F.lit("roster has not all districts:"), F.col("_n").cast("string"), F.lit("rows,"), F.col("_u").cast("string"), F.lit("districts"))).cast("boolean"))
+    return voting.crossJoin(F.broadcast(counts.select(whole.alias("_ok")))).where("_ok").drop("_ok")
+
+
 def json_pages(spark: SparkSession, path: str, item: str) -> DataFrame:
     """The elements of ``results`` of multi-line JSON pages, with ``item`` as their DDL."""
     return spark.read.option("multiLine", True).schema(f"results array<struct<{item}>>").json(path).select(F.inline("results"))

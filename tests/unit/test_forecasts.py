@@ -22,9 +22,10 @@ def test_panel_needs_the_cycle_before(spark):
     assert got["a", 2018].lag_lean == 0.0
 
 
-def test_specification_gate():
-    found = forecasts.select_specification({"v0": {"mae": 2, "open": 3, "cov": 0.9}, "v1": {"mae": 1, "open": 2, "cov": 0.89}, "v2": {"mae": 1, "open": None, "cov": 0.9}}, "v0", ["mae", "open"], "cov")
-    assert found["selected"] == "v1" and found["failed"] == {"v1": [], "v2": ["open"]}
+def test_specification_gate(spark):
+    rows = [("v0", 2.0, 3.0, 0.9), ("v1", 1.0, 2.0, 0.89), ("v2", 1.0, None, 0.9), ("v3", 1.5, 2.5, 0.87)]
+    found = {r.s: r for r in forecasts.specification_gate(spark.createDataFrame(rows, "s string, mae double, open double, cov double"), "s", "v0", ["mae", "open"], "cov", "s").collect()}
+    assert [s for s, r in found.items() if r.selected] == ["v1"] and found["v2"].failed == ["open"] and found["v3"].failed == ["cov"] and not found["v0"].promoted
 
 
 def test_bounds_and_overperformance(spark):
