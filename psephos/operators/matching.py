@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.staging import stored
 
 TIERS = ("token_set", "last_first", "last_initial", "surname_unique", "tokens_within")
 
@@ -36,7 +37,8 @@ def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_i
     pairs. Only the last tier, words within a longer name, compares entries: those that have the name's rarest word in
     the pool, for names that no tier before has decided.
     """
-    left, right = _keyed(names, row_id, name, pool), _keyed(roster, roster_id, roster_name, pool)
+    # Names are taken apart once, whatever number of tiers looks at them.
+    left, right = stored(_keyed(names, row_id, name, pool), "name-keys"), stored(_keyed(roster, roster_id, roster_name, pool), "roster-keys")
     spread = lambda df: df.withColumn("last", F.explode("lasts")).withColumn("initial", F.substring("first", 1, 1))
     a, b = spread(left), spread(right)
     with_first = a.where(F.coalesce(F.col("first"), F.lit("")) != "")
@@ -47,7 +49,7 @@ def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_i
         _least_most(a, b, ["p", "last"]),
     ]
     hits = functools.reduce(DataFrame.unionByName, (found.withColumn("tier", F.lit(k)) for k, found in enumerate(tiers)))
-    decided = hits.groupBy("id").agg(F.min(F.struct("tier", "low", "high")).alias("m"))
+    decided = stored(hits.groupBy("id").agg(F.min(F.struct("tier", "low", "high")).alias("m")), "decided")
     word = right.select("p", F.explode(F.array_distinct("words")).alias("word"), "id", "words")
     often = word.groupBy("p", "word").agg(F.count("*").alias("n"))
     longer = left.select("id", "p", F.array_distinct("words").alias("own")).where(F.size("own") >= 2).join(decided.select("id"), "id", "left_anti")
@@ -66,7 +68,7 @@ def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_i
 def seat_then_state(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, seat: Sequence[str], state: Sequence[str]) -> DataFrame:
     """Match in the seat's pool; only where that finds nothing at all, in the state's. Not people: ``not_a_person``."""
     people = names.where(text.is_person(F.col(name)))
-    narrow = tiered(people, roster, row_id, name, roster_id, roster_name, seat)
+    narrow = stored(tiered(people, roster, row_id, name, roster_id, roster_name, seat), "seat-matches")
     rest = people.join(narrow.where("method = 'none'").select(row_id), row_id, "left_semi")
     wide = tiered(rest, roster, row_id, name, roster_id, roster_name, state).where(F.col(roster_id).isNotNull())
     wide = wide.select(row_id, F.col(roster_id).alias("_wide"), F.concat(F.lit("state_"), "method").alias("_method"))
