@@ -22,7 +22,6 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import contextlib
 import hashlib
 import itertools
 import os
@@ -31,10 +30,10 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import short_batches, stored
 from .words import release, runs, slices
 
 TOKENIZER_A = "/opt/tokenizers/byte_bpe_50k.json"
@@ -45,8 +44,6 @@ ENCODE, ALIGN = 1 << 22, 1 << 18
 ENCODE_SEGMENTS = 1 << 12
 #: Pairs of ids that are broadcast at once (17 bytes each), and links that a task counts or looks up at once.
 BLOCK_PAIRS, COUNT_LINKS = 2_000_000, 1_000_000
-#: Rows of links that are read, and that go to Python, at once.
-BATCH_ROWS = 256
 
 class Spelling:
     """The bytes of all tokens of a vocabulary."""
@@ -345,25 +342,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             at = to
 
 
-@contextlib.contextmanager
-def _short_batches(spark: SparkSession) -> Iterator[None]:
-    """Batches of ``BATCH_ROWS`` rows for what runs inside: a row of links may hold thousands of them."""
-    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
-    before = [spark.conf.get(name) for name in names]
-    for name in names:
-        spark.conf.set(name, str(BATCH_ROWS))
-    try:
-        yield
-    finally:
-        for name, value in zip(names, before, strict=True):
-            spark.conf.set(name, value)
-
-
 def link_support(docs: DataFrame, block_pairs: int = BLOCK_PAIRS, **options) -> DataFrame:
     """For each row: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 (see the module)."""
     spark = docs.sparkSession
     found = stored(links(docs, **options).withColumn("row", F.monotonically_increasing_id()), "token-links")
-    with _short_batches(spark):
+    with short_batches(spark):
         counts = stored(pair_counts(found), "pair-counts")
     n_blocks = max(1, -(-counts.count() // block_pairs))
     block = F.pmod(F.xxhash64("a", "b"), F.lit(n_blocks))
@@ -397,7 +380,7 @@ def link_support(docs: DataFrame, block_pairs: int = BLOCK_PAIRS, **options) ->
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
-    with _short_batches(spark):
+    with short_batches(spark):
         every = stored(every, "link-sums")
     if n_blocks > 1:
         every = every.groupBy(*facts).agg(F.first("n_links").alias("n_links"), F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))

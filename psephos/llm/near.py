@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import stored
+from .storage import short_batches, stored
 from .words import LOWER, SPACED, mix, powers, release, runs, slices, word_bounds, word_hashes
 
 K = 5
@@ -488,6 +488,11 @@ def _first_of(pairs: DataFrame, copies: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    with short_batches(docs.sparkSession, 1024):  # rows of whole sets and lists
+        return _near_duplicates(docs, k, range_bytes)
+
+
+def _near_duplicates(docs: DataFrame, k: int, range_bytes: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     measured = stored(sizes(docs, k), "set-sizes")
     known = measured.where("doc_id is not null and f is not null").select("doc_id", "f", "g", "n_shingles").distinct()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,3 +34,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def named(name: str) -> Column:
     """The column of this name, whatever signs stand in it."""
     return F.col(f"`{name.replace('`', '``')}`")
+
+
+#: Rows of long lists that are read, and that go to Python, at once.
+BATCH_ROWS = 256
+
+
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Batches of so many rows, from Parquet and to Python, for what runs inside: a row may hold thousands of values."""
+    names = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(name) for name in names]
+    for name in names:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before, strict=True):
+            spark.conf.set(name, value)
