@@ -36,6 +36,8 @@ from .storage import stored
 from .words import LOWER, slices, word_bounds, word_hashes
 
 THRESHOLD = 0.6
+#: The name of what reserves all rights.
+RESERVED_NAME = "Proprietary"
 
 #: Usual short notices of well-known licences, by SPDX name (a name may have several).
 TEMPLATES = [
@@ -299,22 +301,18 @@ def _reaching(texts: DataFrame, bound: Bound) -> DataFrame:
     return texts.mapInArrow(scan, texts.schema)
 
 
-def stated(texts: DataFrame, key: str, longest: int, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """The keys of (key, text) whose whole text, of at most ``longest`` characters, is a licence statement: key, license, cosine."""
-    templates = templates or TEMPLATES
-    short = texts.where(F.length("text") <= longest).select(key, F.lit(0).alias("part"), "text")
-    whole = _reaching(short, Bound(*template_weights(templates), threshold))
-    return _best(whole.dropDuplicates([key]), key, templates, threshold)
-
-
 def _parents(path: Column) -> Column:
     """The directories above a path, the nearest first, with "" as the root."""
     steps = F.split(path, "/")
     return F.transform(F.sequence(F.size(steps) - 1, F.lit(0), F.lit(-1)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
 
 
-def effective_licenses(files: DataFrame, key: str = "path", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """For each row of ``files`` (key, path, text): key, license, cosine, origin (header, file, inherited or none) and source_dir."""
+def effective_licenses(files: DataFrame, key: str = "path", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD, elect: bool = False) -> DataFrame:
+    """For each row of ``files`` (key, path, text): key, license, cosine, origin (header, file, inherited or none) and source_dir.
+
+    With ``elect``, a directory without a licence file's name has its plainest statement for one: the file whose header has the
+    highest cosine, reservations of all rights last, then the smallest key.
+    """
     templates = templates or TEMPLATES
     rows = files.select(F.col(key).alias("key"), "path", "text").withColumn("_row", F.xxhash64("key", "path", "text"))
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAMES), F.lit(False))
@@ -325,6 +323,12 @@ def effective_licenses(files: DataFrame, key: str = "path", templates: list[tupl
     facts = rows.select("_row", "key", "path", is_file.alias("is_file"))
     own = facts.join(direct, "_row", "left")
     folder = F.col("parents")[0]
+    if elect:
+        plain = own.where("path is not null").withColumn("folder", _parents(F.col("path"))[0])
+        rank = F.struct((F.col("license") == RESERVED_NAME).alias("w"), (-F.col("cosine")).alias("c"), "key", "_row")
+        best = plain.groupBy("folder").agg(F.max("is_file").alias("named"), F.min(F.when(F.col("license").isNotNull(), rank)).alias("b"))
+        elected = stored(best.where("not named and b is not null").select(F.col("b._row").alias("_row"), F.lit(True).alias("_elected")), "elected-files")
+        own = own.join(elected, "_row", "left").withColumn("is_file", F.col("is_file") | F.coalesce("_elected", F.lit(False))).drop("_elected")
     stated = own.where("is_file and license is not null and path is not null").withColumn("parents", _parents(F.col("path"))).select(folder.alias("dir"), "license", "cosine")
     stated = stated.groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license")).alias("b")).select("dir", F.col("b.license").alias("dir_license"), (-F.col("b.c")).alias("dir_cosine"))
     # Directories are few next to files: inheritance is found once per directory and joined back.
@@ -352,7 +356,7 @@ def _sql_text(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def oracle_sql(opening_chars: int) -> str:
+def oracle_sql() -> str:
     """DuckDB SQL for the query over documents, with the templates and the threshold of this module."""
     small = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')".format
     strong = "|".join(re.escape(c) for c in cue_terms(template_weights(TEMPLATES)[0], THRESHOLD) if c not in STOP_WORDS)
@@ -375,16 +379,16 @@ idf AS (SELECT term, ln((1 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS idf FROM
 o AS (SELECT ln((1 + {len(TEMPLATES)}) / 2) + 1 AS other),
 tw AS (SELECT k, term, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tb JOIN idf USING (term)),
 d AS (SELECT doc_id, text, concat_ws('/', source, lang) AS folder, string_split(text, chr(10)) AS lines FROM documents),
-f AS (SELECT DISTINCT doc_id FROM {scored("doc_id", f"(SELECT doc_id, lines[1] AS text FROM d WHERE length(lines[1]) <= {opening_chars})")}),
 l AS (SELECT doc_id, unnest(generate_series(1, len(lines))) AS pos, unnest(lines) AS text FROM d),
 c AS (SELECT * FROM l WHERE {cued}),
 r AS (SELECT *, row_number() OVER w AS i, sum(fresh) OVER w AS run FROM (SELECT *, CASE WHEN pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) <= 2 THEN 0 ELSE 1 END AS fresh FROM c) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 b AS (SELECT x.doc_id, string_agg(m.text, ' ' ORDER BY m.i) AS text FROM r x JOIN r y ON x.doc_id = y.doc_id AND x.run = y.run AND y.i > x.i AND y.i < x.i + {BLOCK_LINES}
     JOIN r m ON m.doc_id = x.doc_id AND m.i BETWEEN x.i AND y.i GROUP BY x.doc_id, x.i, y.i),
 s AS (SELECT doc_id, text FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?;]) +([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) AS text FROM c) WHERE {cued}),
-p AS (SELECT doc_id, text FROM l UNION ALL SELECT doc_id, text FROM s UNION ALL SELECT doc_id, text FROM b UNION ALL SELECT doc_id, text FROM d JOIN f USING (doc_id)),
+p AS (SELECT doc_id, text FROM l UNION ALL SELECT doc_id, text FROM s UNION ALL SELECT doc_id, text FROM b),
 h AS (SELECT doc_id, {best} AS b FROM {scored("doc_id", "p")} GROUP BY doc_id),
-w AS (SELECT d.doc_id, d.folder, f.doc_id IS NOT NULL AS is_file, h.b.license AS license, -h.b.c AS cosine FROM d LEFT JOIN f USING (doc_id) LEFT JOIN h USING (doc_id)),
+g AS (SELECT d.doc_id, d.folder, h.b.license AS license, -h.b.c AS cosine FROM d LEFT JOIN h USING (doc_id)),
+w AS (SELECT *, license IS NOT NULL AND row_number() OVER (PARTITION BY folder ORDER BY license IS NULL, license = '{RESERVED_NAME}', cosine DESC, doc_id) = 1 AS is_file FROM g),
 v AS (SELECT folder, min({{'c': -cosine, 'license': license}}) AS b FROM w WHERE is_file AND license IS NOT NULL GROUP BY folder)
 SELECT w.doc_id, coalesce(w.license, v.b.license, 'none') AS license, coalesce(w.cosine, -v.b.c, 0.0) AS cosine,
     CASE WHEN w.license IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN v.folder IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,

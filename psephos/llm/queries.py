@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import alignment, chat, credentials, decontaminate, langid, licenses, lines, mixing, near, oracles, pii, resampling, substrings, topk
-from .storage import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -123,27 +122,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_line_dedup"] = lines.ORACLE_SQL
 
 
-#: Characters of a first line that can make a document a licence file; the longest template has 242.
-OPENING_CHARS = 500
-
-
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Effective licences of the documents, each being a file of the tree given by its source and language.
 
-    A document that opens with a licence statement, its first line, is a licence file of its directory.
+    The document of a directory that states a licence most plainly, anywhere in its text, is the directory's licence file.
     """
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    mark = F.xxhash64("doc_id", "text")
-    opening = docs.select(mark.alias("_mark"), F.substring_index("text", "\n", 1).alias("text"))
-    # As small as the licence files are few: Spark broadcasts it or not by its size.
-    found = stored(licenses.stated(opening, "_mark", OPENING_CHARS).select("_mark"), "licence-files")
-    named = docs.join(found, mark == F.col("_mark"), "left")
-    name = F.when(F.col("_mark").isNotNull(), F.concat(F.lit("LICENSE."), "doc_id")).otherwise(F.concat("doc_id", F.lit(".txt")))
-    return licenses.effective_licenses(named.select("doc_id", F.concat_ws("/", "source", "lang", name).alias("path"), "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt"))).alias("path"), "text")
+    return licenses.effective_licenses(docs, "doc_id", elect=True)
 
 
-ORACLES["op3_license_scan"] = licenses.oracle_sql(OPENING_CHARS)
+ORACLES["op3_license_scan"] = licenses.oracle_sql()
 
 
 @query

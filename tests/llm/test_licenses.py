@@ -92,8 +92,13 @@ def brute(docs):
                     break
                 yield " ".join(lines[k] for k in at[i : j + 1])
 
-    is_file = {i: text is not None and len(text.split("\n")[0]) <= queries.OPENING_CHARS and best([text.split("\n")[0]]) is not None for i, text, *_ in docs}
-    own_of = {i: best([*parts(text or ""), *([text] if is_file[i] else [])]) for i, text, *_ in docs}
+    own_of = {i: best(parts(text or "")) for i, text, *_ in docs}
+    plainest = {}
+    for i, _, lang, source in docs:
+        if own_of[i]:
+            rank = own_of[i][0] == licenses.RESERVED_NAME, -own_of[i][1], i
+            plainest[source, lang] = min(plainest.get((source, lang), rank), rank)
+    is_file = {i: plainest.get((source, lang), (0, 0, None))[2] == i for i, _, lang, source in docs}
     folders = {}
     for i, _, lang, source in docs:
         if is_file[i] and own_of[i]:
