@@ -49,3 +49,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
     CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id
 """
+
+#: CRC-32 byte by byte: z is its table, by the polynomial's rule; each different feature is hashed once.
+RESAMPLE = f"""
+WITH z AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)),
+d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({_AZ}, {_ALNUM}) AS w FROM documents),
+n AS (SELECT unnest([1, 2, 3]) AS n),
+f AS MATERIALIZED (SELECT r, array_to_string(w[p:p + n - 1], ' ') AS f FROM (SELECT r, w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM d, n WHERE len(w) >= n)),
+g AS MATERIALIZED (SELECT array_to_string(w[p:p + n - 1], ' ') AS f FROM (SELECT w, n, unnest(generate_series(1, len(w) - n + 1)) AS p FROM (SELECT regexp_extract_all({_AZ}, {_ALNUM}) AS w FROM benchmark), n WHERE len(w) >= n)),
+c AS MATERIALIZED (SELECT f, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b
+    FROM (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM f UNION SELECT f FROM g)), z),
+fb AS (SELECT r, b FROM f JOIN c ON f.f = c.f), sb AS (SELECT b, count(*) AS s FROM fb GROUP BY b), tb AS (SELECT b, count(*) AS t FROM g JOIN c ON g.f = c.f GROUP BY b),
+gain AS (SELECT k.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM f) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM g) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM (SELECT DISTINCT b FROM c) k LEFT JOIN sb ON sb.b = k.b LEFT JOIN tb ON tb.b = k.b),
+x AS (SELECT r, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM fb JOIN gain ON gain.b = fb.b GROUP BY r),
+y AS (SELECT d.r, doc_id, len(w) >= 20 AS able, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM d LEFT JOIN x ON x.r = d.r),
+v AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id NULLS FIRST) AS place, 5 * (SELECT count(*) FROM y WHERE able) // 100 AS most FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND place <= most THEN place END AS rank FROM v
+"""

@@ -146,6 +146,9 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_features", "weight", "score", "rank")
 
 
+ORACLES["op12_importance_resampling"] = oracles.RESAMPLE
+
+
 @query
 def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = credentials.secret_scan(table(spark, sf_dir, "documents"))
