@@ -171,7 +171,7 @@ class _Reader(DataSourceReader):
         return self.source.plan() or [InputPartition(None)]
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        if isinstance(partition, Member):
+        if getattr(partition, "path", None):  # none where there is nothing to read
             yield from self.source.rows(partition)
 
 
