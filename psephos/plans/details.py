@@ -79,10 +79,16 @@ def worst_flags(spark, sf_dir):
     return allocation.worst_of(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_returnflag", ["R", "A", "N"])
 
 
-@register("usable_areas", "SELECT (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 60)) = 0 AND 0.95 >= 0.9 AS usable, CAST(0.95 AS DOUBLE) AS placed_share, (SELECT count(*) FROM nation WHERE n_nationkey NOT IN (SELECT c_nationkey FROM customer WHERE c_custkey <= 60)) AS missing")
+@register(
+    "usable_areas",
+    """WITH c AS (SELECT c_nationkey AS k, c_acctbal > -500 AS placed FROM customer), s AS (SELECT avg(CASE WHEN placed THEN 1.0 ELSE 0.0 END) AS share FROM c), m AS (SELECT count(*) AS missing FROM nation WHERE n_nationkey NOT IN (SELECT k FROM c WHERE placed))
+    SELECT missing = 0 AND share >= 0.9 AS usable, CAST(share AS DOUBLE) AS placed_share, missing FROM s, m""",
+)
 def usable_areas(spark, sf_dir):
-    areas = table(spark, sf_dir, "customer").where("c_custkey <= 60").select(F.col("c_nationkey").alias("k"))
-    return allocation.usable(0.95, areas, table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k")
+    """Whether enough customers are placed, those without a large debt, and every nation has one of them."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), (F.col("c_acctbal") > -500).alias("placed"))
+    share = rows.agg(F.avg(F.col("placed").cast("double"))).first()[0]
+    return allocation.usable(share, rows.where("placed").select("k"), table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k")
 
 
 @register(
