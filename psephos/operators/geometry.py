@@ -93,13 +93,17 @@ def cells(shapes: DataFrame, shape_id: str, shape: str = "shape") -> DataFrame:
 def points_in_shapes(points: DataFrame, shapes: DataFrame, point_id: str, shape_id: str, shape: str = "shape") -> DataFrame:
     """Each point (x, y) with its shape and status placed, unplaced or overlap (in several shapes, then none is named).
 
-    Points without a coordinate are unplaced; shapes that are null or empty hold nothing; ids of points are unique.
+    Points without a coordinate are unplaced; shapes that are null or empty hold nothing; ids of points are unique. Equal
+    points and equal shapes are looked at once, a shape with its number and least id.
     """
-    tiles = cells(shapes, shape_id, shape)
+    alike = shapes.groupBy(shape).agg(F.struct(F.min(shape_id).alias("id"), F.count("*").alias("n")).alias("_held"))
+    tiles = cells(alike, "_held", shape)
     levels = tiles.agg(F.sort_array(F.collect_set("level")).alias("_levels"))  # a number per size of cells
-    spread = points.select(F.col(point_id), "x", "y").where("x is not null and y is not null").crossJoin(F.broadcast(levels)).withColumn("level", F.explode("_levels"))
-    spread = spread.select(point_id, "x", "y", "level", _cell(F.col("x"), F.col("level")).alias("cx"), _cell(F.col("y"), F.col("level")).alias("cy"))
-    hits = spread.join(tiles, ["level", "cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("edges")))
-    found = hits.groupBy(point_id).agg(F.count("*").alias("_n"), F.min(shape_id).alias("_shape"))
+    spots = points.select("x", "y").where("x is not null and y is not null").distinct()
+    spread = spots.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("_levels"))
+    spread = spread.select("x", "y", "level", _cell(F.col("x"), F.col("level")).alias("cx"), _cell(F.col("y"), F.col("level")).alias("cy"))
+    # The cells are many times what Spark expects from the shapes' size, so they must not be broadcast for it.
+    hits = spread.join(tiles.hint("merge"), ["level", "cx", "cy"]).where(inside(F.col("x"), F.col("y"), F.col("edges")))
+    found = hits.groupBy("x", "y").agg(F.sum("_held.n").alias("_n"), F.min("_held.id").alias("_shape"))
     status = F.when(F.col("_n").isNull(), "unplaced").when(F.col("_n") > 1, "overlap").otherwise("placed")
-    return points.join(found, point_id, "left").select(*points.columns, F.when(F.col("_n") == 1, F.col("_shape")).alias(shape_id), status.alias("status"))
+    return points.join(found, ["x", "y"], "left").select(*points.columns, F.when(F.col("_n") == 1, F.col("_shape")).alias(shape_id), status.alias("status"))

@@ -36,6 +36,17 @@ def test_holes_islands_and_overlaps(spark):
     assert [(r.area, r.status) for r in geometry.points_in_shapes(one, over, "point", "area").collect()] == [(None, "overlap")]
 
 
+def test_copies_are_looked_at_once(spark):
+    """Hundreds of equal shapes and points: their cells and pairs are not multiplied, and cells are never broadcast."""
+    square = "POLYGON ((0 0, 2 0, 2 2, 0 2))"
+    many = spark.createDataFrame([(k, square) for k in range(300)] + [(300, "POLYGON ((4 4, 6 4, 6 6, 4 6))")], "area int, wkt string").select("area", geometry.shape(F.col("wkt")).alias("shape"))
+    points = spark.range(900).select(F.col("id").alias("point"), F.when(F.col("id") % 3 == 0, 1.0).when(F.col("id") % 3 == 1, 5.0).otherwise(9.0).alias("x")).withColumn("y", F.col("x"))
+    found = geometry.points_in_shapes(points, many, "point", "area")
+    assert {(r.x, r.area, r.status, r["count"]) for r in found.groupBy("x", "area", "status").count().collect()} == {(1.0, None, "overlap", 300), (5.0, 300, "placed", 300), (9.0, None, "unplaced", 300)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [level" in plan and "BroadcastHashJoin [level" not in plan
+
+
 def brute(x, y, rings):
     odd = False
     for ring in rings:
