@@ -14,19 +14,32 @@ from ..sources.staging import stored
 TIERS = ("token_set", "last_first", "last_initial", "surname_unique", "tokens_within")
 
 
-def _keyed(df: DataFrame, id_: str, name: str, pool: Sequence[str]) -> DataFrame:
-    """id, p (the pool as one key, null as null), and the name's key, surname variants, first name and words."""
-    c = F.col(name)
+def _placed(df: DataFrame, id_: str, name: str, pool: Sequence[str]) -> DataFrame:
+    """id, p (the pool as one key, null as null) and name."""
     place = F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(pool))), {"ignoreNullFields": "false"})
+    return df.select(F.col(id_).alias("id"), place.alias("p"), F.col(name).alias("name"))
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """``df`` with the name's key, surname variants, first name and words."""
+    c = F.col("name")
     parts = {"words": c, "before": F.substring_index(c, ",", 1), "after": F.substring_index(c, ",", -1)}
-    taken = df.select(F.col(id_).alias("id"), place.alias("p"), *(text.name_tokens(part).alias(n) for n, part in parts.items()))
-    return taken.select("id", "p", text.key_of(F.col("words")).alias("key"), text.variants_of(F.col("before")).alias("lasts"), F.try_element_at("after", F.lit(1)).alias("first"), "words")
+    taken = df.select(*df.columns, *(text.name_tokens(part).alias(n) for n, part in parts.items()))
+    return taken.select(*df.columns, text.key_of(F.col("words")).alias("key"), text.variants_of(F.col("before")).alias("lasts"), F.try_element_at("after", F.lit(1)).alias("first"), "words")
+
+
+def _met(df: DataFrame, other: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join that never passes a side through the driver: stored files and columns left out make names look small to Spark."""
+    return df.join(other.hint("merge"), list(on), how)
+
+
+_NAME = ("p", "name")
 
 
 def _least_most(hits: DataFrame, roster: DataFrame, on: list[str]) -> DataFrame:
-    """(id, low, high): the least and the greatest roster id that a name meets by equal keys; equal ones mean a single hit."""
-    ends = roster.groupBy(*on).agg(F.min("id").alias("low"), F.max("id").alias("high"))
-    return hits.join(ends, on).groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    """(p, name, low, high): the least and the greatest roster id that a name meets by equal keys; equal ones mean a single hit."""
+    ends = roster.groupBy(*on).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    return _met(hits, ends, on).groupBy(*_NAME).agg(F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, pool: Sequence[str]) -> DataFrame:
@@ -35,10 +48,13 @@ def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_i
     The strictest tier with any hit decides; several hits there give method ``ambiguous_<tier>`` and no id. A tier is an
     equality join on its key with the roster's least and greatest id per key, so names that many entries share cost no
     pairs. Only the last tier, words within a longer name, compares entries: those that have the name's rarest word in
-    the pool, for names that no tier before has decided.
+    the pool, for names that no tier before has decided. A pool's equal names are decided once, and are one roster entry
+    with its least and greatest id.
     """
+    asked = _placed(names, row_id, name, pool)
+    listed = _placed(roster, roster_id, roster_name, pool).groupBy(*_NAME).agg(F.min("id").alias("low"), F.max("id").alias("high"))
     # Names are taken apart once, whatever number of tiers looks at them.
-    left, right = stored(_keyed(names, row_id, name, pool), "name-keys"), stored(_keyed(roster, roster_id, roster_name, pool), "roster-keys")
+    left, right = stored(_keyed(asked.select(*_NAME).distinct()), "name-keys"), stored(_keyed(listed), "roster-keys")
     spread = lambda df: df.withColumn("last", F.explode("lasts")).withColumn("initial", F.substring("first", 1, 1))
     a, b = spread(left), spread(right)
     with_first = a.where(F.coalesce(F.col("first"), F.lit("")) != "")
@@ -49,31 +65,31 @@ def tiered(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_i
         _least_most(a, b, ["p", "last"]),
     ]
     hits = functools.reduce(DataFrame.unionByName, (found.withColumn("tier", F.lit(k)) for k, found in enumerate(tiers)))
-    decided = stored(hits.groupBy("id").agg(F.min(F.struct("tier", "low", "high")).alias("m")), "decided")
-    word = right.select("p", F.explode(F.array_distinct("words")).alias("word"), "id", "words")
+    decided = stored(hits.groupBy(*_NAME).agg(F.min(F.struct("tier", "low", "high")).alias("m")), "decided")
+    word = right.select("p", F.explode(F.array_distinct("words")).alias("word"), "low", "high", "words")
     often = word.groupBy("p", "word").agg(F.count("*").alias("n"))
-    longer = left.select("id", "p", F.array_distinct("words").alias("own")).where(F.size("own") >= 2).join(decided.select("id"), "id", "left_anti")
+    longer = _met(left.select(*_NAME, F.array_distinct("words").alias("own")).where(F.size("own") >= 2), decided.select(*_NAME), _NAME, "left_anti")
     # A word that the pool does not have rules all its entries out.
-    known = longer.select("id", "p", "own", F.explode("own").alias("word")).join(often, ["p", "word"])
-    rarest = known.groupBy("id", "p", "own").agg(F.min(F.struct("n", "word")).alias("m"), F.count("*").alias("known")).where(F.col("known") == F.size("own"))
-    inside = rarest.select("id", "p", "own", F.col("m.word").alias("word")).join(word.select("p", "word", F.col("id").alias("other"), "words"), ["p", "word"])
-    within = inside.where(F.size(F.array_except("own", "words")) == 0).groupBy("id").agg(F.min("other").alias("low"), F.max("other").alias("high"))
-    every = decided.select("id", "m.*").unionByName(within.withColumn("tier", F.lit(len(TIERS) - 1)))
+    known = _met(longer.select(*_NAME, "own", F.explode("own").alias("word")), often, ["p", "word"])
+    rarest = known.groupBy(*_NAME, "own").agg(F.min(F.struct("n", "word")).alias("m"), F.count("*").alias("known")).where(F.col("known") == F.size("own"))
+    inside = _met(rarest.select(*_NAME, "own", F.col("m.word").alias("word")), word, ["p", "word"])
+    within = inside.where(F.size(F.array_except("own", "words")) == 0).groupBy(*_NAME).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    every = decided.select(*_NAME, "m.*").unionByName(within.withColumn("tier", F.lit(len(TIERS) - 1)))
     method = F.element_at(F.array(*map(F.lit, TIERS)), F.col("tier") + 1)
     single = F.col("low") == F.col("high")
-    found = every.select(F.col("id").alias(row_id), F.when(single, F.col("low")).alias(roster_id), F.when(single, method).otherwise(F.concat(F.lit("ambiguous_"), method)).alias("method"))
-    return names.select(row_id).join(found, row_id, "left").withColumn("method", F.coalesce("method", F.lit("none")))
+    found = every.select(*_NAME, F.when(single, F.col("low")).alias("hit"), F.when(single, method).otherwise(F.concat(F.lit("ambiguous_"), method)).alias("method"))
+    return _met(asked, found, _NAME, "left").select(F.col("id").alias(row_id), F.col("hit").alias(roster_id), F.coalesce("method", F.lit("none")).alias("method"))
 
 
 def seat_then_state(names: DataFrame, roster: DataFrame, row_id: str, name: str, roster_id: str, roster_name: str, seat: Sequence[str], state: Sequence[str]) -> DataFrame:
     """Match in the seat's pool; only where that finds nothing at all, in the state's. Not people: ``not_a_person``."""
     people = names.where(text.is_person(F.col(name)))
     narrow = stored(tiered(people, roster, row_id, name, roster_id, roster_name, seat), "seat-matches")
-    rest = people.join(narrow.where("method = 'none'").select(row_id), row_id, "left_semi")
+    rest = _met(people, narrow.where("method = 'none'").select(row_id), [row_id], "left_semi")
     wide = tiered(rest, roster, row_id, name, roster_id, roster_name, state).where(F.col(roster_id).isNotNull())
     wide = wide.select(row_id, F.col(roster_id).alias("_wide"), F.concat(F.lit("state_"), "method").alias("_method"))
-    both = narrow.join(wide, row_id, "left").select(row_id, F.coalesce("_wide", roster_id).alias(roster_id), F.coalesce("_method", "method").alias("method"))
-    return names.select(row_id).join(both, row_id, "left").withColumn("method", F.coalesce("method", F.lit("not_a_person")))
+    both = _met(narrow, wide, [row_id], "left").select(row_id, F.coalesce("_wide", roster_id).alias(roster_id), F.coalesce("_method", "method").alias("method"))
+    return _met(names.select(row_id), both, [row_id], "left").withColumn("method", F.coalesce("method", F.lit("not_a_person")))
 
 
 def resolved(matches: DataFrame, overrides: DataFrame, row_id: str, roster_id: str) -> tuple[DataFrame, DataFrame]:

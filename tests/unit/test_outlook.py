@@ -47,6 +47,16 @@ def test_matching_of_odd_names(spark):
     assert found == {0: (1, "token_set"), 1: (None, "none"), 2: (None, "none"), 3: (0, "token_set"), 4: (None, "none"), 5: (3, "tokens_within"), 6: (None, "none"), 7: (None, "none")}
 
 
+def test_matching_decides_equal_names_once(spark):
+    """Copies of names and entries: an entry's copies make it ambiguous, names are keyed once, and no join is broadcast."""
+    roster = spark.range(500).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") < 499, "Smith, Ann").otherwise("Ray Bo Lu").alias("rname"), F.lit("p").alias("pool"))
+    names = spark.range(600).select(F.col("id").cast("int").alias("row"), F.when(F.col("id") % 3 == 0, "Ann Smith").when(F.col("id") % 3 == 1, "Bo Ray").alias("name"), F.lit("p").alias("pool"))
+    out = matching.tiered(names, roster, "row", "name", "id", "rname", ["pool"])
+    assert {(r.id, r.method, r["count"]) for r in out.groupBy("id", "method").count().collect()} == {(None, "ambiguous_token_set", 200), (499, "tokens_within", 200), (None, "none", 200)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [p" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_crosswalk(spark):
     roster = spark.createDataFrame([("A", "SMITH, ANN", 2020, "PA", "1"), ("B", "JONES, BO", 2020, "PA", "2")], "id string, rname string, c int, st string, seat string")
     names = spark.createDataFrame([(1, "Ann Smith", 2020, "PA", "1"), (2, "Bo Jones", 2020, "PA", "1"), (3, "Write-in", 2020, "PA", "1"), (4, "Ann Smith", 2018, "PA", "1"), (5, "No One", 2020, "PA", "2"), (6, "Odd Name", 2020, "PA", "2")], "row int, name string, c int, st string, seat string")
