@@ -177,10 +177,10 @@ def filing_status(seats: DataFrame, roster: DataFrame, row_id: str, name: str, r
     named = seats.where(F.coalesce(F.trim(name), F.lit("")) != "")
     found = matching.seat_then_state(named, roster, row_id, name, roster_id, roster_name, seat, state)
     if party and roster_party:
-        found = found.join(roster.select(roster_id, F.col(roster_party).alias("_filed_as")), roster_id, "left")
+        found = found.join(roster.select(roster_id, F.col(roster_party).alias("_filed_as")).hint("merge"), roster_id, "left")  # a whole roster looks small to Spark by two columns
     status = F.when(F.col("method").isNull(), "unknown").when(F.col(roster_id).isNotNull(), "filed").otherwise("not_found")
     evidence = F.when(F.col("method").isNull(), "no incumbent identified").when(F.col(roster_id).isNotNull(), F.concat(F.lit("filed as "), F.col(roster_id).cast("string"))).otherwise(F.concat(F.lit("not matched: "), F.col("method")))
-    out = seats.join(found, row_id, "left").withColumns({"incumbent_status": status, "incumbent_status_evidence": evidence})
+    out = seats.join(found.hint("merge"), row_id, "left").withColumns({"incumbent_status": status, "incumbent_status_evidence": evidence})
     if not (party and roster_party):
         return out
     own, filed = text.party(F.col(party)), text.party(F.col("_filed_as"))

@@ -76,6 +76,8 @@ def test_spine_rates_archive_and_status(spark):
     seats = spark.createDataFrame([(1, "Ann Lee", "x", "s"), (2, None, "x", "s"), (3, "Bo Ray", "x", "s")], "row int, name string, seat string, state string")
     roster = spark.createDataFrame([("A", "LEE, ANN", "x", "s")], "id string, rname string, seat string, state string")
     assert {x.row: x.incumbent_status for x in forecasts.filing_status(seats, roster, "row", "name", "id", "rname", ["seat"], ["state"]).collect()} == {1: "filed", 2: "unknown", 3: "not_found"}
+    plan = forecasts.filing_status(seats.withColumn("label", F.lit("")), roster.withColumn("filed_label", F.lit("DEM")), "row", "name", "id", "rname", ["seat"], ["state"], "label", "filed_label")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan  # rosters must not pass the driver, however small Spark takes them to be
 
 
 def test_poll_gate(spark):
