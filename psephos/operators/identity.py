@@ -5,8 +5,8 @@ are joined by it, reviewed pairs are joined or kept apart whatever their keys. I
 strictest tier with any partner left; a pair in which each is the other's only partner there is fixed, and both leave the
 graph. That can make others unique, so rounds go on until nothing changes, at most ``ROUNDS`` times. The rest abstains.
 
-Edges are never made: a key's group is its two counts and least ids, and only nodes with a reviewed rejection look at
-their group's entries one by one. A round is three aggregates over the nodes that are left.
+Edges are never made: a key's group is its two counts and least ids, and reviewed rejections within a group are taken off
+its count. A round is three aggregates over the nodes that are left.
 """
 
 from __future__ import annotations
@@ -29,17 +29,30 @@ def _nodes(df: DataFrame, id_: str, pool: Sequence[str], tiers: Sequence[str]) -
     return df.select(F.col(id_).alias("id"), F.explode(keys).alias("n")).select("id", "n.tier", "n.key").where("key is not null")
 
 
+def _shared(apart: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """(l, r, tier, key) of the pairs (l, r) with an equal key in a tier; keeping others apart changes nothing."""
+    left, right = a.select(F.col("id").alias("l"), "tier", "key"), b.select(F.col("id").alias("r"), "tier", "key")
+    return apart.join(left.hint("merge"), "l").join(right.hint("merge"), ["r", "tier", "key"]).select("l", "r", "tier", "key")
+
+
 def _partners(own: DataFrame, other: DataFrame, kept_apart: DataFrame) -> DataFrame:
     """(id, tier, n, sole) of each node of ``own``: its strictest tier with a partner, how many it has there, and the partner if it is one.
 
-    ``kept_apart`` has (id, not_id) pairs that are no partners.
+    ``kept_apart`` has (id, not_id, tier, key) of pairs that share the key and are no partners. They are taken off the
+    key's count; entries are looked at one by one only where that leaves a single one, so by one more than are taken off.
     """
     groups = other.groupBy("tier", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    free = own.join(kept_apart.select("id").distinct(), "id", "left_anti").join(groups, ["tier", "key"]).select("id", "tier", "n", "least")
-    bound = own.join(kept_apart.select("id").distinct(), "id").join(other.withColumnRenamed("id", "not_id"), ["tier", "key"])
-    bound = bound.join(kept_apart, ["id", "not_id"], "left_anti").groupBy("id", "tier").agg(F.count("*").alias("n"), F.min("not_id").alias("least"))
-    best = free.unionByName(bound).groupBy("id").agg(F.min(F.struct("tier", "n", "least")).alias("b"))
-    return best.select("id", "b.tier", "b.n", F.when(F.col("b.n") == 1, F.col("b.least")).alias("sole"))
+    lost = other.withColumnRenamed("id", "not_id").join(kept_apart, ["not_id", "tier", "key"])
+    gone = lost.groupBy("id", "tier", "key").agg(F.count("*").alias("lost"))
+    last = gone.join(groups, ["tier", "key"]).where(F.col("n") - F.col("lost") == 1).select("id", "tier", "key")
+    last = last.join(other.withColumnRenamed("id", "not_id"), ["tier", "key"]).join(lost.select("id", "not_id", "tier"), ["id", "not_id", "tier"], "left_anti")
+    none = F.lit(None).cast(dict(other.dtypes)["id"])
+    rows = own.join(groups, ["tier", "key"]).select("id", "tier", "n", F.lit(0).alias("lost"), "least", none.alias("last"))
+    rows = rows.unionByName(gone.select("id", "tier", (-F.col("lost")).alias("n"), "lost", none.alias("least"), none.alias("last")))
+    rows = rows.unionByName(last.select("id", "tier", F.lit(0).alias("n"), F.lit(0).alias("lost"), none.alias("least"), F.col("not_id").alias("last")))
+    tiers = rows.repartition("id").groupBy("id", "tier").agg(F.sum("n").alias("n"), F.when(F.sum("lost") == 0, F.min("least")).otherwise(F.min("last")).alias("sole"))
+    best = tiers.where("n > 0").groupBy("id").agg(F.min(F.struct("tier", "n", "sole")).alias("b"))
+    return best.select("id", "b.tier", "b.n", F.when(F.col("b.n") == 1, F.col("b.sole")).alias("sole"))
 
 
 def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, pool: Sequence[str], tiers: Sequence[str], accepted: DataFrame | None = None, rejected: DataFrame | None = None, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
@@ -53,7 +66,6 @@ def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, po
     spark = left.sparkSession
     kinds = dict(left.dtypes)[left_id], dict(right.dtypes)[right_id]
     pairs = lambda df: df.select(F.col(left_id).alias("l"), F.col(right_id).alias("r")).distinct() if df is not None else spark.createDataFrame([], f"l {kinds[0]}, r {kinds[1]}")
-    apart = stored(pairs(rejected), "rejected-pairs")
     said = pairs(accepted)
     once = lambda c: said.groupBy(c).count().where("count = 1").select(c)
     known = said.join(left.select(F.col(left_id).alias("l")), "l", "left_semi").join(right.select(F.col(right_id).alias("r")), "r", "left_semi")
@@ -61,11 +73,13 @@ def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, po
     clash = stored(said.join(taken, "l", "left_anti").select("l").distinct(), "conflicts")
     a = stored(_nodes(left, left_id, pool, tiers).join(taken, F.col("id") == F.col("l"), "left_anti").join(clash, F.col("id") == F.col("l"), "left_anti"), "names")
     b = stored(_nodes(right, right_id, pool, tiers).join(taken, F.col("id") == F.col("r"), "left_anti"), "entries")
+    apart = stored(_shared(pairs(rejected), a, b), "rejected-pairs")
+    of_left, of_right = apart.withColumnsRenamed({"l": "id", "r": "not_id"}), apart.withColumnsRenamed({"r": "id", "l": "not_id"})
     found, changed = [taken], True
     method = F.element_at(F.array(*map(F.lit, tiers)), F.col("tier") + 1)
     for k in range(1, rounds + 1):
-        own = _partners(a, b, apart.select(F.col("l").alias("id"), F.col("r").alias("not_id")))
-        back = _partners(b, a, apart.select(F.col("r").alias("id"), F.col("l").alias("not_id")))
+        own = _partners(a, b, of_left)
+        back = _partners(b, a, of_right)
         mutual = own.where("sole is not null").select(F.col("id").alias("l"), F.col("sole").alias("r"), "tier").join(back.where("sole is not null").select(F.col("id").alias("r"), F.col("sole").alias("l")), ["l", "r"])
         fixed = stored(mutual.select("l", "r", method.alias("method"), F.lit(k).alias("round")), "assigned")
         changed = not fixed.isEmpty()
@@ -78,7 +92,7 @@ def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, po
     for more in found[1:]:
         assigned = assigned.unionByName(more)
     rest = left.select(F.col(left_id).alias("id")).join(assigned, F.col("id") == F.col("l"), "left_anti")
-    seen = _partners(a, b, apart.select(F.col("l").alias("id"), F.col("r").alias("not_id")))
+    seen = _partners(a, b, of_left)
     left_over = rest.join(seen, "id", "left").join(clash.select(F.col("l").alias("id"), F.lit(True).alias("_clash")), "id", "left")
     reason = F.when(F.col("_clash"), "conflicting_review").when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").otherwise("rounds" if changed and rounds else "contested")
     names = [F.col("l").alias(left_id), F.col("r").alias(right_id), "method", "round"]

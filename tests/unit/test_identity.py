@@ -55,6 +55,21 @@ def test_a_fixed_pair_frees_the_next(spark):
     assert [tuple(x) for x in rest.collect()] == [(3, "ambiguous", 2)]
 
 
+def test_rejections_are_taken_off_the_count(spark):
+    """A rejection costs a row where the pair shares a key, not its group's entries; the last one left is still found."""
+    names = spark.range(200).selectExpr("id AS l", "IF(id = 0, 'only', 'all') AS full", "'' AS last")
+    entries = spark.range(200).selectExpr("id + 1000 AS r", "IF(id < 3, 'only', 'all') AS full", "'' AS last")
+    apart = spark.range(200).selectExpr("id AS l", "explode(array(1000L, 1002L, 1100L)) AS r")
+    assigned, rest = identity.two_sided(names, entries, "l", "r", [], TIERS, None, apart)
+    assert [tuple(x) for x in assigned.collect()] == [(0, 1001, "full", 1)]
+    assert {(x.reason, x.n) for x in rest.collect()} == {("ambiguous", 196)}
+    a, b = identity._nodes(names, "l", [], TIERS), identity._nodes(entries, "r", [], TIERS)
+    shared = identity._shared(apart, a, b)
+    assert shared.count() == 201
+    found = identity._partners(a, b, shared.withColumnsRenamed({"l": "id", "r": "not_id"}))
+    assert {(x.id == 0, x.n, x.sole) for x in found.collect()} == {(True, 1, 1001), (False, 196, None)}
+
+
 CANDIDATE = "state string, office string, district int, candidate string, party string, partial boolean"
 ROSTER = "state string, office string, district int, holder string, party string"
 REVIEW = "state string, office string, candidate string, holder string, same_person string, retrieved_on string"
