@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins, windows
+from ..sources import staging
 from .catalog import register, table
 from .contests import ROLLUP_SQL, races
 
@@ -67,11 +68,12 @@ PANEL_SQL = f"""SELECT c_nationkey AS nationkey, CAST(year(held_on) AS INTEGER)
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two-party share by nation and year."""
+    """Two-party share by nation and year, stored: it is a few rows, and those who use it look at them many times."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("nationkey"))
     votes = races(spark, sf_dir).join(customers, "custkey").groupBy("nationkey", F.year("held_on").alias("year"))
     sums = votes.agg(F.sum("first_votes").alias("first_votes"), F.sum("second_votes").alias("second_votes"))
-    return sums.withColumn("share", F.col("first_votes") / F.nullif(F.col("first_votes") + F.col("second_votes"), F.lit(0)))
+    share = F.col("first_votes") / F.nullif(F.col("first_votes") + F.col("second_votes"), F.lit(0))
+    return staging.stored(sums.withColumn("share", share), "panel")
 
 
 @register("lag_consecutive", f"WITH p AS ({PANEL_SQL}) SELECT b.nationkey, b.year, round(b.share, 9) AS share, round(a.share, 9) AS lag_share FROM (SELECT * FROM p WHERE (nationkey + year) % 4 <> 0) b LEFT JOIN (SELECT * FROM p WHERE (nationkey + year) % 4 <> 0) a ON a.nationkey = b.nationkey AND a.year = b.year - 1")
