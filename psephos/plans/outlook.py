@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import environment, panels
+from ..sources import staging
 from .averages import weighted
 from .catalog import register, table
 from .timing import PANEL_SQL
@@ -140,7 +141,7 @@ def _fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.when(F.col("o_orderstatus") == "F", price).otherwise(price / 2)).alias("a"), F.sum(price).alias("b"), (F.avg(F.col("o_orderkey") % 100) / 100).alias("x")
     )
     party = winners(spark, sf_dir).select(F.col("year").alias("cycle"), "party")
-    rows = months.join(party, "cycle").select((F.col("cycle") * 12 + F.col("month")).alias("year"), (F.col("a") / (F.col("a") + F.col("b"))).alias("y"), "x", "party", F.when(F.col("month") % 3 == 0, 1.0).otherwise(0.0).alias("z"))
+    rows = staging.stored(months, "months").join(party, "cycle").select((F.col("cycle") * 12 + F.col("month")).alias("year"), (F.col("a") / (F.col("a") + F.col("b"))).alias("y"), "x", "party", F.when(F.col("month") % 3 == 0, 1.0).otherwise(0.0).alias("z"))
     return environment.fundamentals_backtest(rows, ["x"], "year", "y", "party", "A", "z")
 
 
