@@ -209,3 +209,9 @@ def test_streams_end_in_a_table(spark, tmp_path, mode):
         (tmp_path / "in" / f"{k}.csv").write_text(f"1,{k}\n2,{k}\n")
     found = sorted(tuple(r) for r in sink.finished(stream, mode).collect())
     assert found == ([(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2)] if mode == "append" else [(1, 3), (2, 3)])
+
+
+def test_panel_is_computed_once(spark):
+    from psephos.plans import timing
+
+    assert all("/panel-" in f for f in timing.panel(spark, "/root/testdata/sf0.001").inputFiles())
