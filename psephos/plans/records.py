@@ -196,7 +196,8 @@ def streaming_changes(spark, sf_dir):
     The events come in slices of time, each fifth one slice late, with a run of the stream from its checkpoint for each.
     """
     events = table(spark, sf_dir, "events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "event_id")
-    low, high = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    low, high, kinds = events.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.approx_count_distinct(F.struct("user_id", "event_type"))).first()
+    groups = max(latest.GROUPS, kinds // latest.GROUP_KEYS)
     width = (high - low) // _SLICES + 1
     late = F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)
     slices = staging.stored(events.withColumn("slice", F.floor((F.unix_micros("ts") - low) / width).cast("int") + late), "event-slices")
@@ -207,7 +208,7 @@ def streaming_changes(spark, sf_dir):
         for k in range(_SLICES + 1):
             slices.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
             stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
-            changes = latest.latest_changes(stream, ["user_id", "event_type"], "ts", ["event_id"], f"{-(-(high - low) // _SLICES // 1_000_000)} seconds", _EXPIRY)
+            changes = latest.latest_changes(stream, ["user_id", "event_type"], "ts", ["event_id"], f"{-(-(high - low) // _SLICES // 1_000_000)} seconds", _EXPIRY, groups)
             sink.appended(changes, f"{folder}/changes", f"{folder}/state")
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -3,8 +3,11 @@
 ``streams.latest_per_key`` gives every key again with every batch; here a key is heard of only when something changes. Its
 state is one observation. An observation replaces it if it is greater by (time, values), nulls first, so late and
 repeated observations change nothing unless they would win in a batch over all rows, and the order of arrival within the
-lateness does not matter. A timer per key fires when the watermark passes the observation's time and the expiry; the
-key's state is then dropped and an ``expired`` row says so, so the store holds only keys seen within expiry and lateness.
+lateness does not matter. When the watermark passes the observation's time and the expiry, the key's state is dropped and
+an ``expired`` row says so, so the store holds only keys seen within expiry and lateness.
+
+Calls between Spark and Python cost far more than rows. So state and timer belong to groups of keys by hash, not to single
+keys: a batch reads and writes a group once, and the group's timer stands at the first expiry among its keys.
 """
 
 from __future__ import annotations
@@ -21,6 +24,12 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 _AT = "_observed_us"
 
 
+_GROUP = "_group"
+_NAN = float("nan")
+#: Groups of keys unless the caller knows better, and keys that a group may well hold.
+GROUPS, GROUP_KEYS = 1024, 500
+
+
 def _utc(values: Sequence) -> tuple:
     """Times with their zone: Arrow gives them so, state without it in the local zone."""
     return tuple(v.astimezone(datetime.UTC) if isinstance(v, datetime.datetime) else v for v in values)
@@ -31,62 +40,99 @@ def _rank(values: Sequence) -> tuple:
     return tuple((v is not None, v) for v in values)
 
 
+def _same(v):
+    """One hashable value for what Arrow and state give of equal key values."""
+    if isinstance(v, (int, str)):
+        return v
+    if isinstance(v, float) and v != v:
+        return _NAN
+    if isinstance(v, Row):
+        v = v.asDict()
+    if isinstance(v, dict):
+        return Row(**{k: _same(x) for k, x in v.items()})
+    if isinstance(v, (list, tuple)):
+        return tuple(map(_same, v))
+    return bytes(v) if isinstance(v, bytearray) else v
+
+
 class Latest(StatefulProcessor):
-    """Keeps one observation (microseconds, time, values) per key."""
+    """Keeps one observation (microseconds, values) for each key of a group; state is a list per column."""
 
-    def __init__(self, keys: Sequence[str], observed: str, values: Sequence[str], state: T.StructType, expiry_ms: int):
-        self.keys, self.observed, self.values, self.schema, self.expiry_ms = list(keys), observed, list(values), state, expiry_ms
+    def __init__(self, keys: Sequence[str], values: Sequence[str], state: T.StructType, expiry_ms: int):
+        self.keys, self.values, self.schema, self.expiry_ms = list(keys), list(values), state, expiry_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.latest = handle.getValueState("latest", self.schema)
+        self.row = Row(*self.keys, _AT, *self.values, "change")
 
-    def _row(self, key: tuple, held: tuple, change: str) -> Row:
-        return Row(*self.keys, self.observed, *self.values, "change")(*_utc(key), *held[1:], change)
+    def _held(self) -> dict[tuple, tuple]:
+        rows, n = zip(*self.latest.get(), strict=True) if self.latest.exists() else (), len(self.keys)
+        return {tuple(map(_same, _utc(row[:n]))): _utc(row[n:]) for row in rows}
 
-    def _held(self) -> tuple | None:
-        return _utc(self.latest.get()) if self.latest.exists() else None
+    def _keep(self, held: dict[tuple, tuple]) -> None:
+        if held:
+            self.latest.update(tuple(map(list, zip(*((*key, *seen) for key, seen in held.items()), strict=True))))
+        else:
+            self.latest.clear()
 
-    def _due(self, held: tuple) -> int:
-        return held[0] // 1000 + self.expiry_ms
+    def _due(self, held: dict[tuple, tuple]) -> int | None:
+        """When the group's first key expires; the group's only timer stands there."""
+        return min(seen[0] for seen in held.values()) // 1000 + self.expiry_ms if held else None
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        names = [_AT, self.observed, *self.values]
-        before = self._held()
-        best = before
+        n = 3 + len(self.keys)
+        held, fresh = self._held(), {}
         for row in rows:
-            seen = _utc([row[c] for c in names])
-            if best is None or _rank(seen) > _rank(best):
-                best = seen
-        if best == before:
+            name, seen = tuple(map(_same, _utc(row[3:n]))), (row[1], *_utc(row[n:]))
+            best = fresh.get(name) or held.get(name)
+            if best is None or seen[0] > best[0] or seen[0] == best[0] and _rank(seen) > _rank(best):
+                fresh[name] = seen
+        if not fresh:
             return
-        if before is not None:
-            self.handle.deleteTimer(self._due(before))
-        self.handle.registerTimer(self._due(best))
-        self.latest.update(best)
-        yield self._row(key, best, "new" if before is None else "corrected" if best[0] == before[0] else "changed")
+        after = held | fresh
+        before_due, due = self._due(held), self._due(after)
+        if before_due != due:
+            if before_due is not None:
+                self.handle.deleteTimer(before_due)
+            self.handle.registerTimer(due)
+        self._keep(after)
+        for name, seen in fresh.items():
+            before = held.get(name)
+            yield self.row(*name, *seen, "new" if before is None else "corrected" if seen[0] == before[0] else "changed")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self._held()
-        if held is not None and self._due(held) <= expiredTimerInfo.getExpiryTimeInMs():
-            self.latest.clear()
-            yield self._row(key, held, "expired")
+        """Every key of the group that is due; the timer that fired is Spark's to delete."""
+        held, now = self._held(), timerValues.getCurrentWatermarkInMs()
+        left = {name: seen for name, seen in held.items() if seen[0] // 1000 + self.expiry_ms > now}
+        if left:
+            self.handle.registerTimer(self._due(left))
+        self._keep(left)
+        for name, seen in held.items():
+            if name not in left:
+                yield self.row(*name, *seen, "expired")
 
     def close(self) -> None:
         pass
 
 
-def latest_changes(stream: DataFrame, keys: Sequence[str], observed: str, values: Sequence[str], lateness: str = "7 days", expiry_days: float = 400) -> DataFrame:
+def latest_changes(stream: DataFrame, keys: Sequence[str], observed: str, values: Sequence[str], lateness: str = "7 days", expiry_days: float = 400, groups: int = GROUPS) -> DataFrame:
     """keys, observed, values and change (new, changed, corrected, expired), a row per change, for append or update mode.
 
-    Rows of null time are left out. Needs RocksDB as state store; ``use_store`` sets it.
+    Rows of null time are left out. Needs RocksDB as state store; ``use_store`` sets it. ``groups`` must stay the same as
+    long as a checkpoint is used; a batch reads and writes the state of each group that it has rows of, so there should be
+    about a group for ``GROUP_KEYS`` keys.
     """
     rows = stream.where(F.col(observed).isNotNull()).withWatermark(observed, lateness)
-    taken = rows.select(*keys, observed, *values, F.unix_micros(F.col(observed)).alias(_AT))
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups)).cast("int").alias(_GROUP)
+    # The time itself goes along for the watermark, which leaves out late rows.
+    taken = rows.select(group, F.unix_micros(F.col(observed)).alias(_AT), observed, *keys, *values)
     field = {f.name: f for f in taken.schema}
-    state = T.StructType([T.StructField(c, field[c].dataType) for c in (_AT, observed, *values)])
-    out = T.StructType([*(T.StructField(c, field[c].dataType) for c in (*keys, observed, *values)), T.StructField("change", T.StringType())])
-    return taken.groupBy(*keys).transformWithState(Latest(keys, observed, values, state, int(expiry_days * 86_400_000)), out, "Update", "EventTime")
+    names = (*keys, _AT, *values)
+    state = T.StructType([T.StructField(c, T.ArrayType(field[c].dataType)) for c in names])
+    out = T.StructType([*(T.StructField(c, field[c].dataType) for c in names), T.StructField("change", T.StringType())])
+    changes = taken.groupBy(_GROUP).transformWithState(Latest(keys, values, state, int(expiry_days * 86_400_000)), out, "Update", "EventTime")
+    return changes.select(*keys, F.timestamp_micros(_AT).cast(field[observed].dataType).alias(observed), *values, "change")
 
 
 def use_store(spark) -> None:

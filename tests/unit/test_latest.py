@@ -67,3 +67,30 @@ def test_same_as_batch_in_any_order(spark, store, tmp_path):
     found = latest.standing(x.changes(), ["seat"], "seen", ["holder"]).drop("expired")
     assert sorted(found.collect()) == sorted(batch.collect())
     assert x.changes().count() < 40
+
+
+def test_state_belongs_to_groups_of_keys(spark, store, tmp_path):
+    """5000 keys take up far fewer entries of state; each still expires by itself, at the watermark too."""
+    n = 5000
+    entries = []
+
+    def observe(frame):
+        frame.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in")
+        changes = latest.latest_changes(stream, ["seat", "district"], "seen", ["holder"], "10 days", 100)
+        write = lambda rows, k: rows.write.mode("overwrite").parquet(f"{tmp_path}/out/{k}")
+        run = changes.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert run.awaitTermination(300)
+        entries.extend(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"])
+
+    seat, district = F.concat(F.lit("s"), F.col("id")), F.when(F.col("id") % 2 == 0, F.col("id"))
+    seen = lambda days: F.timestamp_seconds(F.lit(1767225600) + days * 86400)
+    observe(spark.range(n).select(seat.alias("seat"), district.alias("district"), seen(F.col("id") % 50).alias("seen"), F.lit("p").alias("holder")))
+    observe(spark.range(1).select(F.lit("last").alias("seat"), F.lit(None).cast("long").alias("district"), seen(F.lit(130)).alias("seen"), F.lit("q").alias("holder")))
+    changes = spark.read.parquet(f"{tmp_path}/out/*")
+    # The watermark is day 120, so what was seen by day 20 has expired.
+    expired = changes.where("change = 'expired'").groupBy("seen").count().orderBy("seen").collect()
+    assert [((r.seen - day(0)).days, r["count"]) for r in expired] == [(k, n // 50) for k in range(21)]
+    standing = latest.standing(changes, ["seat", "district"], "seen", ["holder"])
+    assert standing.count() == n + 1 and standing.where("expired").count() == 21 * n // 50
+    assert max(entries) < n
