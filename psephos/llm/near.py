@@ -1,20 +1,23 @@
 """Exact n-gram Jaccard join with set-relation skipping, and the classes of documents that its links make.
 
-A document's set holds its distinct shingles of ``K`` lower-cased words. Sets are ordered by one global order (shingles
-that many documents have come last), and the first part of each set, long enough that two sets over the threshold must
-share a shingle of it, goes to an inverted index dealt by shingle. Lists of one document are dropped at once.
+A document's set holds its distinct shingles of ``K`` lower-cased words. First, sets that have more shingles to
+themselves than a similar set may lack are left out, told by their first shingles by hash, and equal sets by all but
+one. The others are ordered by one global order, from shingles that few of these sets have to those that many have, by
+exact counts in steps of powers of two. The first part of each set, long enough that two sets over the threshold must
+share a shingle of it, goes to an inverted index dealt by shingle. Lists of one document are never made.
 
 * Index-level skipping: an entry knows its set's size and the shingle's position in it, so a pair is dropped where what
   is left behind the positions can't reach the threshold; lists are cut in blocks by (size, position), whose extremes
   drop whole blocks of partners. The indexed part of a set is longer by ``SHARED`` - 1 shingles than the least that finds
-  all pairs, so a pair must share that many more, and chance meetings of long documents are no candidates.
+  all pairs, so a pair must share that many more. Chance meetings of documents are no candidates: they share what many
+  have, and that comes last, however large the corpus.
 * Answer-level skipping: equal sets share one set of answers, and a set that is linked with a similar set takes over
   that set's class: pairs are compared only while their sets are in different classes. Small clusters of candidates
   meet in one task each; the sets of large ones are first joined along spanning pairs, then dealt in tiles of one class
   each, and only tiles of different classes and of sizes that may link meet, each pair of tiles a task of its own.
 
-All candidates are verified by their whole sets. Only the order of shingles comes from counts with a bound
-(``FREQUENT`` shingles); it changes the work, never the result.
+All candidates are verified by their whole sets. No text is sent to be counted: a task sends the hashes of its sets and
+gets back those that others have too.
 
 Cases: null or blank text, no words: empty set, linked with nothing; fewer than ``K`` words: one shingle of the whole
 sequence; rows of one doc_id are one document with several sets, each with its own n_shingles; a null doc_id gets a
@@ -27,22 +30,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import short_batches, stored
+from .storage import short_batches, split_by, stored
 from .words import LOWER, SPACED, mix, powers, release, runs, slices, word_bounds, word_hashes
 
 K = 5
 #: Jaccard similarity as a fraction.
 NUM, DEN = 3, 4
-#: Shingles that come last in the global order, at most; those that a task meets COMMON times among GATHER are candidates.
-FREQUENT, COMMON = 1 << 19, 2
 #: Shingles that a task gathers before it sends them on.
 GATHER = 1 << 19
 #: Bytes of text whose index entries meet in one range of hashes.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 16 << 20
 #: Lists up to this length are compared pair by pair at once, longer ones along their order first.
 SHORT = 24
 BLOCK = 64
@@ -121,53 +123,117 @@ def _gathered(batches: Iterator[pa.RecordBatch], k: int, limit: int = GATHER) ->
         yield flush()
 
 
-def frequent_shingles(docs: DataFrame, k: int = K, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Up to ``most`` hashes that many documents have, sorted, and the rank of each from rare to frequent (from 1)."""
+def _spare(n):
+    """How many of its shingles a set may lack in a similar one."""
+    return n - -(-NUM * n // DEN)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes in _gathered(batches, k):
-            found, times = np.unique(hashes, return_counts=True)
-            many = times >= COMMON
-            yield pa.record_batch({"hash": pa.array(found[many].view(np.int64)), "n": pa.array(times[many], pa.int64())})
 
-    counted = docs.mapInArrow(count, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    rows = counted.orderBy(F.desc("n"), "hash").limit(most).select("hash").toArrow()  # 8 bytes each
-    hashes = rows["hash"].to_numpy().view(np.uint64)
-    rank = np.arange(len(hashes), 0, -1)
-    order = np.argsort(hashes)
-    return hashes[order], rank[order]
+def _looked_at(n):
+    """How many of a set's shingles, in the order of their hashes, tell whether it can be similar to any other."""
+    return np.minimum(n, _spare(n) + SHARED + n // 8)
 
 
-LIST_SCHEMA = "token bigint, docs array<bigint>, sizes array<int>, places array<int>"
+def _cells(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
 
 
-def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_ranges: int, k: int = K) -> DataFrame:
-    """The inverted index of the sets' first parts: a list per shingle that more than one set has there, by size and position."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+def _joined(cells: list[bytes], kind) -> np.ndarray:
+    return np.frombuffer(b"".join(cells), kind)
+
+
+def shared_entries(docs: DataFrame, n_ranges: int, k: int = K, whole: bool = True) -> DataFrame:
+    """The entries of shingles that more than one set has, for each block of sets that was sent; sets and sizes stand in one row of a block.
+
+    Entries meet by hash, and each gets a rank by how many there are of its shingle, in steps of powers of two (0: one).
+    Not ``whole``: of each set only the first shingles by hash, and 32 bits of a hash besides its range, so some
+    shingles may be taken for shared that aren't.
+    """
     cuts = np.array([-(-i * 2**64 // n_ranges) for i in range(1, n_ranges)], np.uint64)
+    kind = np.uint64 if whole else np.uint32
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, rank = sent.value
-        seen = np.zeros(1 << 23, bool)  # by the upper bits; most shingles are told rare by one look
-        seen[common >> np.uint64(41)] = True
-        for ids, doc, hashes in _gathered(batches, k):
-            last = np.zeros(len(hashes), np.int64)
-            maybe = np.flatnonzero(seen[hashes >> np.uint64(41)])
-            if len(maybe):
-                at = np.minimum(np.searchsorted(common, hashes[maybe]), len(common) - 1)
-                last[maybe] = np.where(common[at] == hashes[maybe], rank[at], 0)
-            order = np.argsort(doc * np.int64(2 * FREQUENT) + last, kind="stable")  # hashes are in order, and few move
-            doc, hashes = doc[order], hashes[order]
+        task = TaskContext.get().partitionId()
+        for i, (ids, doc, hashes) in enumerate(_gathered(batches, k)):
             n = np.bincount(doc, minlength=len(ids))
-            place = runs(n)
-            head = place < n[doc] - -(-NUM * n[doc] // DEN) + SHARED
-            doc, hashes, place = doc[head], hashes[head], place[head]
+            if not whole:
+                first = runs(n) < _looked_at(n)[doc]
+                doc, hashes = doc[first], hashes[first]
             order = np.argsort(hashes)
-            doc, hashes, place = doc[order], hashes[order], place[order]
+            doc, hashes = doc[order].astype(np.min_scalar_type(len(ids))), hashes[order]
             edge = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
             full = np.flatnonzero(np.diff(edge))
-            columns = {"hashes": hashes, "docs": ids[doc].astype(np.int64), "sizes": n[doc].astype(np.int32), "places": place.astype(np.int32)}
-            yield pa.record_batch({"range": pa.array(full, pa.int32())} | {c: pa.array([v[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary()) for c, v in columns.items()})
+            hashes = hashes.astype(kind)
+            once = lambda v, m=len(full): pa.array([v.tobytes(), *[b""] * (m - 1)][:m], pa.binary())
+            cells = {c: pa.array([v[edge[j] : edge[j + 1]].tobytes() for j in full], pa.binary()) for c, v in (("hashes", hashes), ("owners", doc))}
+            yield pa.record_batch({"range": pa.array(full, pa.int32()), "block": pa.array(np.full(len(full), task << 32 | i), pa.int64())} | cells | {"ids": once(ids.astype(np.int64)), "sizes": once(n.astype(np.int32))})
+
+    def count(rows: pa.Table) -> pa.Table:
+        cells = rows["hashes"].to_pylist()
+        edge = _cells([len(x) // np.dtype(kind).itemsize for x in cells])
+        hashes = _joined(cells, kind)
+        order = np.argsort(hashes)
+        new = np.ones(len(order) + 1, bool)
+        new[1:-1] = hashes[order][1:] != hashes[order][:-1]
+        times = np.diff(np.flatnonzero(new))
+        ranks = np.empty(len(order), np.uint8)
+        ranks[order] = np.repeat(np.frexp(times - 1)[1], times)
+        out = {"hashes": [], "owners": [], "ranks": []}
+        for i, owners in enumerate(rows["owners"].to_pylist()):
+            here = slice(edge[i], edge[i + 1])
+            many = ranks[here] > 0
+            out["hashes"].append(hashes[here][many].tobytes() if whole else b"")
+            out["owners"].append(np.frombuffer(owners, f"u{len(owners) // len(many)}")[many].astype(np.uint32).tobytes())
+            out["ranks"].append(ranks[here][many].tobytes())
+        table = pa.table({"block": rows["block"]} | {c: pa.array(v, pa.binary()) for c, v in out.items()} | {"ids": rows["ids"], "sizes": rows["sizes"]})
+        return table.filter(pa.array([bool(r or i) for r, i in zip(out["ranks"], rows["ids"].to_pylist(), strict=True)], pa.bool_()))
+
+    entries = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(send, "range int, block bigint, hashes binary, owners binary, ids binary, sizes binary")
+    return entries.groupBy("range").applyInArrow(count, "block bigint, hashes binary, owners binary, ranks binary, ids binary, sizes binary")
+
+
+def _block(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc_ids and sizes of a block's sets, and the owners of its entries."""
+    return tuple(_joined(rows[c].to_pylist(), t) for c, t in (("ids", np.int64), ("sizes", np.int32), ("owners", np.uint32)))
+
+
+def promising(docs: DataFrame, n_ranges: int, k: int = K) -> DataFrame:
+    """doc_id of every set that may be similar to another one; of equal sets that a task gathers at once, one is named.
+
+    A set that has more shingles to itself than it may lack in a similar one is not; those looked at are enough to tell.
+    """
+
+    def settle(rows: pa.Table) -> pa.Table:
+        ids, n, owners = _block(rows)
+        n = n.astype(np.int64)
+        shared = np.bincount(owners, minlength=len(ids))
+        return pa.table({"doc_id": pa.array(ids[(n > 0) & (shared >= _looked_at(n) - _spare(n))])})
+
+    return shared_entries(docs, n_ranges, k, False).groupBy("block").applyInArrow(settle, "doc_id bigint")
+
+
+LIST_SCHEMA = "token bigint, docs array<bigint>, sizes array<int>, places array<int>"
+
+
+def index_lists(docs: DataFrame, n_ranges: int, k: int = K) -> DataFrame:
+    """The inverted index of the sets' first parts: a list per shingle that more than one set has there, by size and position."""
+    cuts = np.array([-(-i * 2**64 // n_ranges) for i in range(1, n_ranges)], np.uint64)
+
+    def send(rows: pa.Table) -> pa.Table:
+        ids, n, doc = _block(rows)
+        n = n.astype(np.int64)
+        hashes, ranks = (_joined(rows[c].to_pylist(), t) for c, t in (("hashes", np.uint64), ("ranks", np.uint8)))
+        order = np.lexsort((hashes, ranks, doc))
+        doc, hashes = doc[order], hashes[order]
+        shared = np.bincount(doc, minlength=len(ids))
+        place = (n - shared)[doc] + runs(shared)  # shingles of one set come first
+        head = place < (_spare(n) + SHARED)[doc]
+        doc, hashes, place = doc[head], hashes[head], place[head]
+        order = np.argsort(hashes)
+        doc, hashes, place = doc[order], hashes[order], place[order]
+        edge = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
+        full = np.flatnonzero(np.diff(edge))
+        columns = {"hashes": hashes, "docs": ids[doc], "sizes": n[doc].astype(np.int32), "places": place.astype(np.int32)}
+        return pa.table({"range": pa.array(full, pa.int32())} | {c: pa.array([v[edge[i] : edge[i + 1]].tobytes() for i in full], pa.binary()) for c, v in columns.items()})
 
     def gather(rows: pa.Table) -> pa.Table:
         kinds = {"hashes": np.uint64, "docs": np.int64, "sizes": np.int32, "places": np.int32}
@@ -187,7 +253,7 @@ def index_lists(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], n_rang
         as_list = lambda v, t: pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(v, t))
         return pa.table({"token": pa.array(hashes[edge[:-1]].view(np.int64)), "docs": as_list(ids, pa.int64()), "sizes": as_list(size, pa.int32()), "places": as_list(place, pa.int32())})
 
-    entries = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(send, "range int, hashes binary, docs binary, sizes binary, places binary")
+    entries = shared_entries(docs, n_ranges, k).groupBy("block").applyInArrow(send, "range int, hashes binary, docs binary, sizes binary, places binary")
     return entries.groupBy("range").applyInArrow(gather, LIST_SCHEMA)
 
 
@@ -478,14 +544,6 @@ def classified(docs: DataFrame, pairs: DataFrame, measured: DataFrame, k: int =
     return stored(found.unionByName(components(links.unionByName(stored(more, "tile-links")))), "classes")
 
 
-def _first_of(pairs: DataFrame, copies: DataFrame) -> DataFrame:
-    """The pairs between the first documents of equal sets."""
-    for c in ("a", "b"):
-        pairs = pairs.join(copies.select(F.col("doc_id").alias(c), "first"), c, "left").withColumn(c, F.coalesce("first", c)).drop("first")
-    pairs = pairs.where("a <> b").withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
-    return pairs.groupBy("a", "b").agg(F.bool_or("long").alias("long")) if "long" in pairs.columns else pairs.distinct()
-
-
 def near_duplicates(docs: DataFrame, k: int = K, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """For each row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     with short_batches(docs.sparkSession, 1024):  # rows of whole sets and lists
@@ -505,8 +563,16 @@ def _near_duplicates(docs: DataFrame, k: int, range_bytes: int) -> DataFrame:
     lowest = stored(single.groupBy("first").agg(F.min("doc_id").alias("single")), "first-documents")
     # The first document of equal sets is one of a single text, if there is any.
     copies = single.join(lowest, "first").where(F.col("doc_id") != F.col("single")).select("doc_id", F.col("single").alias("first"))
-    lists = index_lists(docs, frequent_shingles(docs, k), max(1, -(-size // range_bytes)), k)
-    classes = classified(docs, stored(_first_of(first_pairs(lists), copies), "pairs"), measured, k)
+    # Only sets that may be similar to others go on, each by its first document, so texts are dealt out once.
+    found = promising(docs, max(1, -(-size // range_bytes)), k).distinct()
+    # A first document of several texts goes besides the single one, as it may be the first of several sets.
+    firsts = same.join(stored(found, "promising-sets"), "doc_id", "left_semi").select("first").distinct().join(lowest, "first", "left")
+    firsts = stored(firsts.select(F.explode(F.array("first", "single")).alias("doc_id")).where("doc_id is not null").distinct(), "first-documents")
+    some = split_by(docs.select("doc_id", "text"), F.col("doc_id"), firsts).where("_maybe").drop("_maybe")
+    docs = stored(some.join(firsts, "doc_id", "left_semi"), "first-texts")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pairs = stored(first_pairs(index_lists(docs, max(1, -(-size // range_bytes)), k)), "pairs")
+    classes = classified(docs, pairs, measured, k)
     classes = classes.unionByName(copies.join(classes.withColumnRenamed("node", "first"), "first", "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "first").alias("component")))
     if not several.isEmpty():
         ends = same.join(several, "doc_id").join(lowest, "first", "left").select(F.col("doc_id").alias("a"), F.coalesce("single", "first").alias("b"))

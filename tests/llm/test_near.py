@@ -2,8 +2,10 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from psephos.llm import near
+from psephos.llm.storage import split_by
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,3 +107,39 @@ def test_blocks_are_skipped():
 def test_one_id_of_several_texts_is_one_document(spark):
     texts = ["a b c d e f g", "h i j k l m n", "o p q"]
     assert result(spark, [(3, texts[0]), (2, texts[0]), (3, texts[1]), (1, texts[1]), (4, texts[2])]) == [(1, 3, 1), (2, 3, 1), (3, 3, 1), (3, 3, 1), (4, 1, 4)]
+
+
+def stopword_docs(n, words=150):
+    """Documents of few frequent words and many words of their own: they share shingles by chance only."""
+    rng = random.Random(3)
+    return [(i, " ".join(f"s{rng.randrange(4)}" if rng.random() < 0.75 else f"d{i}w{j}" for j in range(words))) for i in range(n)]
+
+
+def lists_of(spark, docs, n_ranges=3):
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    return [r.docs for r in near.index_lists(d, n_ranges).collect()]
+
+
+def test_chance_meetings_are_not_indexed(spark):
+    """What is sent grows with the input, not with its square."""
+    docs = stopword_docs(240)
+    copies = [(1000 + i, docs[i][1].replace(f"d{i}w", f"c{i}w", 2)) for i in range(20)]
+    assert lists_of(spark, docs) == []
+    found = lists_of(spark, docs + copies)
+    assert found and all({x % 1000 for x in xs} == {xs[0] % 1000} for xs in found)
+    assert result(spark, docs + copies) == brute(docs + copies)
+
+
+def test_promising_sets(spark):
+    docs = stopword_docs(60)
+    near_copy = (1000, docs[7][1].replace("d7w", "c7w", 2))
+    d = spark.createDataFrame([*docs, near_copy, (2000, docs[9][1]), (None, docs[3][1]), (3000, None)], "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id for r in near.promising(d, 4).collect()}
+    assert {7, 1000} <= found <= {7, 1000, 9, 2000}
+
+
+def test_rows_are_told_apart_by_their_ids(spark):
+    rows = spark.createDataFrame([(i if i else None, f"t{i}") for i in range(3000)], "doc_id bigint, text string")
+    ids = spark.createDataFrame([(i,) for i in range(5, 3000, 7)], "d bigint")
+    told = {r.doc_id: r._maybe for r in split_by(rows, F.col("doc_id"), ids).collect()}
+    assert all(told[i] for i in range(5, 3000, 7)) and sum(told.values()) < 450 and not told[None]
