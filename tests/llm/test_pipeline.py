@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from psephos.llm import langid, lines, mixing
+from psephos.llm.storage import split_by
 
 from .test_decontaminate import brute as brute_leaks
 from .test_near import brute as brute_near
@@ -84,3 +85,13 @@ def test_maps_and_other_types(spark):
         rows = stage(spark, docs, "/root/testdata/sf0.001").collect()
         assert all(r.m == {"k": 1} for r in rows)
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_near_stage_joins_only_rows_that_may_go(spark, monkeypatch):
+    told = []
+    monkeypatch.setattr(corpus_pipeline, "split_by", lambda *a: told.append(split_by(*a)) or told[-1])
+    text = lambda i: " ".join(f"d{i}w{j}" for j in range(30))
+    rows = [(i, text(i), "en", "a", 5) for i in range(200)] + [(500, text(7) + " x", "en", "a", 5), (501, text(9), "en", "a", 5), (None, text(3), "en", "a", 5)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted((r.doc_id if r.doc_id is not None else -1) for r in out.collect()) == [-1, *range(200)]
+    assert {500, 501} <= {r.r.doc_id for r in told[0].where("_maybe").collect()} and told[0].where("_maybe").count() <= 6
