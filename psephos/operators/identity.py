@@ -22,6 +22,11 @@ from ..sources.staging import stored
 ROUNDS = 8
 
 
+def _joined(a: DataFrame, b: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` by merging: both grow with the input, and stored keys are far larger than their files, so neither is broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _nodes(df: DataFrame, id_: str, pool: Sequence[str], tiers: Sequence[str]) -> DataFrame:
     """(id, tier, key) for each key that is there; null pools are equal, null and empty keys are none."""
     place = lambda t: F.to_json(F.struct(*(F.col(c).cast("string").alias(f"p{i}") for i, c in enumerate(pool)), F.col(t).cast("string").alias("k")), {"ignoreNullFields": "false"})
@@ -32,7 +37,7 @@ def _nodes(df: DataFrame, id_: str, pool: Sequence[str], tiers: Sequence[str]) -
 def _shared(apart: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """(l, r, tier, key) of the pairs (l, r) with an equal key in a tier; keeping others apart changes nothing."""
     left, right = a.select(F.col("id").alias("l"), "tier", "key"), b.select(F.col("id").alias("r"), "tier", "key")
-    return apart.join(left.hint("merge"), "l").join(right.hint("merge"), ["r", "tier", "key"]).select("l", "r", "tier", "key")
+    return _joined(_joined(apart, left, "l"), right, ["r", "tier", "key"]).select("l", "r", "tier", "key")
 
 
 def _partners(own: DataFrame, other: DataFrame, kept_apart: DataFrame) -> DataFrame:
@@ -42,12 +47,12 @@ def _partners(own: DataFrame, other: DataFrame, kept_apart: DataFrame) -> DataFr
     key's count; entries are looked at one by one only where that leaves a single one, so by one more than are taken off.
     """
     groups = other.groupBy("tier", "key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
-    lost = other.withColumnRenamed("id", "not_id").join(kept_apart, ["not_id", "tier", "key"])
+    lost = _joined(kept_apart, other.withColumnRenamed("id", "not_id"), ["not_id", "tier", "key"])
     gone = lost.groupBy("id", "tier", "key").agg(F.count("*").alias("lost"))
-    last = gone.join(groups, ["tier", "key"]).where(F.col("n") - F.col("lost") == 1).select("id", "tier", "key")
-    last = last.join(other.withColumnRenamed("id", "not_id"), ["tier", "key"]).join(lost.select("id", "not_id", "tier"), ["id", "not_id", "tier"], "left_anti")
+    last = _joined(gone, groups, ["tier", "key"]).where(F.col("n") - F.col("lost") == 1).select("id", "tier", "key")
+    last = _joined(_joined(last, other.withColumnRenamed("id", "not_id"), ["tier", "key"]), lost.select("id", "not_id", "tier"), ["id", "not_id", "tier"], "left_anti")
     none = F.lit(None).cast(dict(other.dtypes)["id"])
-    rows = own.join(groups, ["tier", "key"]).select("id", "tier", "n", F.lit(0).alias("lost"), "least", none.alias("last"))
+    rows = _joined(own, groups, ["tier", "key"]).select("id", "tier", "n", F.lit(0).alias("lost"), "least", none.alias("last"))
     rows = rows.unionByName(gone.select("id", "tier", (-F.col("lost")).alias("n"), "lost", none.alias("least"), none.alias("last")))
     rows = rows.unionByName(last.select("id", "tier", F.lit(0).alias("n"), F.lit(0).alias("lost"), none.alias("least"), F.col("not_id").alias("last")))
     tiers = rows.repartition("id").groupBy("id", "tier").agg(F.sum("n").alias("n"), F.when(F.sum("lost") == 0, F.min("least")).otherwise(F.min("last")).alias("sole"))
@@ -68,11 +73,11 @@ def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, po
     pairs = lambda df: df.select(F.col(left_id).alias("l"), F.col(right_id).alias("r")).distinct() if df is not None else spark.createDataFrame([], f"l {kinds[0]}, r {kinds[1]}")
     said = pairs(accepted)
     once = lambda c: said.groupBy(c).count().where("count = 1").select(c)
-    known = said.join(left.select(F.col(left_id).alias("l")), "l", "left_semi").join(right.select(F.col(right_id).alias("r")), "r", "left_semi")
-    taken = stored(known.join(once("l"), "l").join(once("r"), "r").select("l", "r", F.lit("reviewed").alias("method"), F.lit(0).alias("round")), "assigned")
-    clash = stored(said.join(taken, "l", "left_anti").select("l").distinct(), "conflicts")
-    a = stored(_nodes(left, left_id, pool, tiers).join(taken, F.col("id") == F.col("l"), "left_anti").join(clash, F.col("id") == F.col("l"), "left_anti"), "names")
-    b = stored(_nodes(right, right_id, pool, tiers).join(taken, F.col("id") == F.col("r"), "left_anti"), "entries")
+    known = _joined(_joined(said, left.select(F.col(left_id).alias("l")), "l", "left_semi"), right.select(F.col(right_id).alias("r")), "r", "left_semi")
+    taken = stored(_joined(_joined(known, once("l"), "l"), once("r"), "r").select("l", "r", F.lit("reviewed").alias("method"), F.lit(0).alias("round")), "assigned")
+    clash = stored(_joined(said, taken, "l", "left_anti").select("l").distinct(), "conflicts")
+    a = stored(_joined(_joined(_nodes(left, left_id, pool, tiers), taken, F.col("id") == F.col("l"), "left_anti"), clash, F.col("id") == F.col("l"), "left_anti"), "names")
+    b = stored(_joined(_nodes(right, right_id, pool, tiers), taken, F.col("id") == F.col("r"), "left_anti"), "entries")
     apart = stored(_shared(pairs(rejected), a, b), "rejected-pairs")
     of_left, of_right = apart.withColumnsRenamed({"l": "id", "r": "not_id"}), apart.withColumnsRenamed({"r": "id", "l": "not_id"})
     found, changed = [taken], True
@@ -80,20 +85,20 @@ def two_sided(left: DataFrame, right: DataFrame, left_id: str, right_id: str, po
     for k in range(1, rounds + 1):
         own = _partners(a, b, of_left)
         back = _partners(b, a, of_right)
-        mutual = own.where("sole is not null").select(F.col("id").alias("l"), F.col("sole").alias("r"), "tier").join(back.where("sole is not null").select(F.col("id").alias("r"), F.col("sole").alias("l")), ["l", "r"])
+        mutual = _joined(own.where("sole is not null").select(F.col("id").alias("l"), F.col("sole").alias("r"), "tier"), back.where("sole is not null").select(F.col("id").alias("r"), F.col("sole").alias("l")), ["l", "r"])
         fixed = stored(mutual.select("l", "r", method.alias("method"), F.lit(k).alias("round")), "assigned")
         changed = not fixed.isEmpty()
         if not changed:
             break
         found.append(fixed)
-        a = stored(a.join(fixed, F.col("id") == F.col("l"), "left_anti"), "names")
-        b = stored(b.join(fixed, F.col("id") == F.col("r"), "left_anti"), "entries")
+        a = stored(_joined(a, fixed, F.col("id") == F.col("l"), "left_anti"), "names")
+        b = stored(_joined(b, fixed, F.col("id") == F.col("r"), "left_anti"), "entries")
     assigned = found[0]
     for more in found[1:]:
         assigned = assigned.unionByName(more)
-    rest = left.select(F.col(left_id).alias("id")).join(assigned, F.col("id") == F.col("l"), "left_anti")
+    rest = _joined(left.select(F.col(left_id).alias("id")), assigned, F.col("id") == F.col("l"), "left_anti")
     seen = _partners(a, b, of_left)
-    left_over = rest.join(seen, "id", "left").join(clash.select(F.col("l").alias("id"), F.lit(True).alias("_clash")), "id", "left")
+    left_over = _joined(_joined(rest, seen, "id", "left"), clash.select(F.col("l").alias("id"), F.lit(True).alias("_clash")), "id", "left")
     reason = F.when(F.col("_clash"), "conflicting_review").when(F.col("n").isNull(), "none").when(F.col("n") > 1, "ambiguous").otherwise("rounds" if changed and rounds else "contested")
     names = [F.col("l").alias(left_id), F.col("r").alias(right_id), "method", "round"]
     return assigned.select(*names), left_over.select(F.col("id").alias(left_id), reason.alias("reason"), F.coalesce("n", F.lit(0)).alias("n"))

@@ -123,3 +123,19 @@ def test_one_holder_is_not_used_twice(spark):
     ballot = [("TX", "house", 1, "Ann Lee", D, False), ("TX", "house", 1, "LEE, ANN", R, False)]
     settled, open_ = evidence(spark, ballot, roster)
     assert not settled and "several" in open_["TX", 1]
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Keys and pairs grow with the input, and their stored files say little of their size in memory."""
+    plans = []
+    plan = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    kept = identity.stored
+    monkeypatch.setattr(identity, "stored", lambda df, name: plan(df) or kept(df, name))
+    left = spark.createDataFrame([(k, "p", f"a {k}", f"{k % 4}") for k in range(12)], "l bigint, pool string, full string, last string")
+    right = spark.createDataFrame([(100 + k, "p", f"a {k}", f"{k % 4}") for k in range(12)], "r bigint, pool string, full string, last string")
+    pairs = lambda rows: spark.createDataFrame(rows, "l bigint, r bigint")
+    assigned, rest = identity.two_sided(left, right, "l", "r", ["pool"], TIERS, pairs([(0, 105)]), pairs([(1, 101), (2, 106)]))
+    assert assigned.count() + rest.count() == 12
+    for df in (assigned, rest):
+        plan(df)
+    assert len(plans) > 6 and not [p for p in plans if "Broadcast" in p]
